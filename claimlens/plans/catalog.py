@@ -12,7 +12,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimlens.operators import explore, fraud, report
+import datetime as _dt
+
+from claimlens.operators import audit, clean, explore, fraud, report
+from claimlens.sources import ingest
 from claimlens.plans import sql as S
 from claimlens.sources import fixtures as fx
 
@@ -228,6 +231,139 @@ for _t, _sql in [("summary", S.CR_SUMMARY), ("monthly", S.CR_MONTHLY),
     register(f"client_report_{_t}", _sql)(_cr(_t))
 
 
+# ------------------------------------------------------------------ ingest
+
+AS_OF = _dt.date(2002, 1, 1)
+
+
+def _raw(spark, d):
+    return fx.raw_claims(spark, d)
+
+
+def _loaded(spark, d):
+    return ingest.load_claims(_raw(spark, d))
+
+
+@register("schema_map", S.SCHEMA_MAP)
+def _q(spark, d):
+    return ingest.schema_map(_raw(spark, d))
+
+
+@register("parse_dates", S.PARSE_DATES)
+def _q(spark, d):
+    return ingest.parse_dates(ingest.schema_map(_raw(spark, d)), "date")
+
+
+@register("parse_amount", S.PARSE_AMOUNT)
+def _q(spark, d):
+    return ingest.parse_amount(ingest.schema_map(_raw(spark, d)), "amount")
+
+
+@register("load_claims", S.LOAD_CLAIMS)
+def _q(spark, d):
+    return _loaded(spark, d)
+
+
+@register("load_validation", S.LOAD_VALIDATION)
+def _q(spark, d):
+    return ingest.load_gate(_loaded(spark, d))
+
+
+@register("lines_to_claims", S.LINES_TO_CLAIMS)
+def _q(spark, d):
+    return ingest.lines_to_claims(_loaded(spark, d), AS_OF)
+
+
+@register("icd10_validate", S.ICD10_VALIDATE)
+def _q(spark, d):
+    return ingest.icd10_validate(_claims(spark, d))
+
+
+@register("icd10_summary", S.ICD10_SUMMARY)
+def _q(spark, d):
+    return ingest.icd10_summary(_claims(spark, d))
+
+
+# ------------------------------------------------------------------ cleaning
+
+@register("coerce_types", S.COERCE_TYPES)
+def _q(spark, d):
+    return clean.coerce_types(ingest.schema_map(_raw(spark, d)), {"amount": "float", "DOB": "date"})
+
+
+@register("missing_report", S.MISSING_REPORT)
+def _q(spark, d):
+    return clean.missing_report(_claims(spark, d))
+
+
+@register("impute", S.IMPUTE)
+def _q(spark, d):
+    return clean.impute(_claims(spark, d))
+
+
+@register("fix_amount", S.FIX_AMOUNT)
+def _q(spark, d):
+    return clean.fix_amount(_loaded(spark, d))
+
+
+@register("clip_age", S.CLIP_AGE)
+def _q(spark, d):
+    return clean.clip_age(_claims(spark, d).select("claim_id", "line_no", "employee_age"))
+
+
+@register("tenure_group", S.TENURE_GROUP)
+def _q(spark, d):
+    return clean.tenure_group(_claims(spark, d).select("claim_id", "line_no", "hire_date"), AS_OF)
+
+
+@register("age_group", S.AGE_GROUP)
+def _q(spark, d):
+    return clean.age_group(_claims(spark, d).select("claim_id", "line_no", "employee_age"))
+
+
+@register("claim_size", S.CLAIM_SIZE)
+def _q(spark, d):
+    return clean.claim_size(_claims(spark, d).select("claim_id", "line_no", "amount"))
+
+
+@register("calendar_features", S.CALENDAR_FEATURES)
+def _q(spark, d):
+    return clean.calendar_features(_claims(spark, d).select("claim_id", "line_no", "submission_date"))
+
+
+@register("clean_claims", S.CLEAN_CLAIMS)
+def _q(spark, d):
+    return clean.clean_claims(_claims(spark, d), AS_OF)
+
+
+@register("pseudonymize", S.PSEUDONYMIZE)
+def _q(spark, d):
+    return clean.pseudonymize(_claims(spark, d).select("claim_id", "line_no", "employee_id", "amount"),
+                              S.PSEUDO_KEY)
+
+
+@register("isin_filter", S.ISIN_FILTER)
+def _q(spark, d):
+    return clean.isin_filter(_claims(spark, d), {"employer": ["BUILDING", "MACHINERY"],
+                                                 "category": ["1-URGENT", "2-HIGH"]})
+
+
+# ------------------------------------------------------------------ audit events
+
+def _audit(spark, d):
+    return fx.audit_events(spark, d)
+
+
+@register("audit_tail", S.AUDIT_TAIL)
+def _q(spark, d):
+    return audit.audit_tail(_audit(spark, d), 20)
+
+
+@register("failed_login_burst", S.FAILED_LOGIN_BURST)
+def _q(spark, d):
+    return audit.failed_login_burst(_audit(spark, d), 3)
+
+
 # ------------------------------------------------------------------ public views
 
 def queries() -> dict[str, Builder]:

@@ -330,3 +330,177 @@ FROM (SELECT employer, {col}, COUNT(*) AS fraud_count FROM claims
 
 CR_FRAUD_CATEGORY = _cr_flagged("category")
 CR_FRAUD_DIAGNOSIS = _cr_flagged("diagnosis")
+
+# ----------------------------------------------------------------- ingest
+
+MAPPED = """, mapped AS (
+  SELECT CLAIM_CENTRAL_ID, CLAIM_MEMBER_NUMBER AS employee_id, CLAIM_PROV_DATE AS date,
+         PROV_NAME AS provider_id, POL_NAME AS employer, Ailment AS diagnosis,
+         Department AS department, SERVICE_DESCRIPTION AS treatment, Gender, DOB, AMOUNT AS amount
+  FROM raw)"""
+
+_FMTS = ["%d/%m/%Y", "%m/%d/%Y", "%Y-%m-%d", "%d-%m-%Y", "%Y/%m/%d"]
+_HITS = ", hits AS (SELECT " + ", ".join(
+    f"count(try_strptime(date, '{f}')) AS h{i}" for i, f in enumerate(_FMTS)) + " FROM mapped)"
+_PARSED = ("CAST(CASE " + " ".join(
+    f"WHEN h{i} > 0 THEN try_strptime(date, '{f}')" for i, f in enumerate(_FMTS)) + " END AS DATE)")
+_DATED = f""", dated AS (
+  SELECT * REPLACE ({_PARSED} AS date) FROM mapped CROSS JOIN hits
+  WHERE {_PARSED} IS NOT NULL)"""
+_AMT = "TRY_CAST(regexp_replace(CAST(amount AS VARCHAR), '[^0-9.]', '', 'g') AS DOUBLE)"
+_LOADED = f""", loaded AS (
+  SELECT CLAIM_CENTRAL_ID, employee_id, date, provider_id, employer, diagnosis, department,
+         treatment, Gender, DOB, COALESCE({_AMT}, 0.0) AS amount,
+         CAST({_AMT} IS NULL AS INTEGER) AS amount_invalid
+  FROM dated)"""
+
+SCHEMA_MAP = with_raw(MAPPED + " SELECT * FROM mapped")
+PARSE_DATES = with_raw(MAPPED + _HITS + _DATED + """
+SELECT CLAIM_CENTRAL_ID, employee_id, date, provider_id, employer, diagnosis, department,
+       treatment, Gender, DOB, amount FROM dated""")
+PARSE_AMOUNT = with_raw(MAPPED + f"""
+SELECT * REPLACE (COALESCE({_AMT}, 0.0) AS amount), CAST({_AMT} IS NULL AS INTEGER) AS amount_invalid
+FROM mapped""")
+LOAD_CLAIMS = with_raw(MAPPED + _HITS + _DATED + _LOADED + " SELECT * FROM loaded")
+LOAD_VALIDATION = with_raw(MAPPED + _HITS + _DATED + _LOADED + """
+SELECT * FROM (VALUES ('required:amount', true, 'present'), ('required:date', true, 'present'),
+                      ('required:employee_id', true, 'present')) v(rule, passed, detail)
+UNION ALL
+SELECT 'min_rows', COUNT(*) >= 100, CAST(COUNT(*) AS VARCHAR) || ' rows (need >= 100)' FROM loaded
+""")
+LINES_TO_CLAIMS = with_raw(MAPPED + _HITS + _DATED + _LOADED + f"""
+, g AS (
+  SELECT CLAIM_CENTRAL_ID AS claim_id, employee_id, date, provider_id, employer, diagnosis, department,
+         COALESCE({msum('amount')}, 0.0) AS amount,
+         array_to_string(list_sort(list_distinct(list(treatment))), '|') AS treatment,
+         min(Gender) AS employee_gender, min(CAST(DOB AS DATE)) AS dob
+  FROM loaded
+  WHERE CLAIM_CENTRAL_ID IS NOT NULL AND employee_id IS NOT NULL AND date IS NOT NULL
+    AND provider_id IS NOT NULL AND employer IS NOT NULL AND diagnosis IS NOT NULL AND department IS NOT NULL
+  GROUP BY ALL)
+SELECT *, CAST(floor(datediff('day', dob, DATE '2002-01-01') / 365) AS INTEGER) AS employee_age,
+       amount * CAST(0.1 AS DOUBLE) AS co_payment, 'Paid' AS status, 'Standard' AS category
+FROM g""")
+ICD10_SUMMARY = with_claims("""
+SELECT COUNT(*) FILTER (WHERE COALESCE(regexp_matches(icd_code, '^[A-TV-Z][0-9][0-9AB]'), false)) AS n_valid,
+       COUNT(*) FILTER (WHERE NOT COALESCE(regexp_matches(icd_code, '^[A-TV-Z][0-9][0-9AB]'), false)) AS n_invalid
+FROM claims""")
+ICD10_VALIDATE = with_claims("""
+SELECT *, COALESCE(regexp_matches(icd_code, '^[A-TV-Z][0-9][0-9AB]'), false) AS icd_valid FROM claims""")
+
+# ----------------------------------------------------------------- cleaning
+
+COERCE_TYPES = with_raw(MAPPED + f"""
+SELECT * REPLACE ({_AMT} AS amount, CAST(TRY_CAST(DOB AS TIMESTAMP) AS DATE) AS DOB) FROM mapped""")
+
+CLAIM_COLUMNS = ["claim_id", "line_no", "employee_id", "employee_gender", "employee_age", "dob",
+                 "hire_date", "employer", "department", "provider_id", "diagnosis", "icd_code",
+                 "treatment", "category", "visit_type", "status", "amount", "co_payment", "date",
+                 "submission_date", "fraud_flag"]
+
+MISSING_REPORT = with_claims("\nUNION ALL\n".join(
+    f"SELECT '{c}' AS column_name, COUNT(*) FILTER (WHERE {c} IS NULL) AS missing, "
+    f"round(CAST(COUNT(*) FILTER (WHERE {c} IS NULL) AS DOUBLE) * 100.0 / COUNT(*), 6) AS pct_missing FROM claims"
+    for c in CLAIM_COLUMNS))
+
+_STRING_COLS = ["claim_id", "employee_id", "employee_gender", "employer", "department", "provider_id",
+                "diagnosis", "icd_code", "treatment", "category", "visit_type", "status"]
+_NUM_COLS = ["line_no", "employee_age", "amount", "co_payment", "fraud_flag"]
+_NUM_TYPES = {"line_no": "INTEGER", "employee_age": "INTEGER", "amount": "DOUBLE",
+              "co_payment": "DOUBLE", "fraud_flag": "INTEGER"}
+
+IMPUTE = with_claims(
+    ", med AS (SELECT " + ", ".join(f"median(CAST({c} AS DOUBLE)) AS m_{c}" for c in _NUM_COLS) + " FROM claims)\n"
+    "SELECT " + ", ".join(
+        (f"COALESCE({c}, 'Unknown') AS {c}" if c in _STRING_COLS else
+         f"COALESCE({c}, CAST(m_{c} AS {_NUM_TYPES[c]})) AS {c}" if c in _NUM_COLS else c)
+        for c in CLAIM_COLUMNS) + " FROM claims CROSS JOIN med")
+
+FIX_AMOUNT = with_raw(MAPPED + _HITS + _DATED + _LOADED + """
+, m AS (SELECT median(abs(amount)) AS med FROM loaded)
+SELECT loaded.* REPLACE (CASE WHEN abs(amount) <= 0 THEN m.med ELSE abs(amount) END AS amount)
+FROM loaded CROSS JOIN m""")
+
+CLIP_AGE = with_claims("""
+SELECT claim_id, line_no, CAST(CASE WHEN employee_age < 18 THEN 18 WHEN employee_age > 100 THEN 100
+       ELSE employee_age END AS INTEGER) AS employee_age FROM claims""")
+
+_TENURE = "CAST(datediff('day', hire_date, DATE '2002-01-01') AS DOUBLE) / CAST(365.0 AS DOUBLE)"
+
+
+def _bins(x: str, edges, labels) -> str:
+    return "CASE " + " ".join(f"WHEN {x} > {lo} AND {x} <= {hi} THEN '{lab}'"
+                              for lo, hi, lab in zip(edges[:-1], edges[1:], labels)) + " END"
+
+
+TENURE_GROUP = with_claims(f"""
+SELECT claim_id, line_no, hire_date, {_TENURE} AS tenure,
+       {_bins(_TENURE, [0, 1, 5, 100], ['<1yr', '1-5yrs', '5+yrs'])} AS tenure_group FROM claims""")
+AGE_GROUP = with_claims(f"""
+SELECT claim_id, line_no, employee_age,
+       {_bins('employee_age', [0, 25, 35, 45, 55, 65, 100], ['<25', '25-35', '35-45', '45-55', '55-65', '65+'])} AS age_group
+FROM claims""")
+_SIZE = """CASE WHEN amount IS NULL THEN NULL
+  WHEN amount >= q.lo AND amount <= q.q1 THEN 'Small' WHEN amount > q.q1 AND amount <= q.q2 THEN 'Medium'
+  WHEN amount > q.q2 AND amount <= q.q3 THEN 'Large' WHEN amount > q.q3 AND amount <= q.hi THEN 'Very Large' END"""
+_Q = """, q AS (SELECT min(amount) AS lo, quantile_cont(amount, 0.25) AS q1, quantile_cont(amount, 0.5) AS q2,
+              quantile_cont(amount, 0.75) AS q3, max(amount) AS hi FROM claims)"""
+CLAIM_SIZE = with_claims(_Q + f"\nSELECT claim_id, line_no, amount, {_SIZE} AS claim_size FROM claims CROSS JOIN q")
+CALENDAR_FEATURES = with_claims("""
+SELECT claim_id, line_no, submission_date, dayname(submission_date) AS claim_weekday,
+       monthname(submission_date) AS claim_month, CAST(quarter(submission_date) AS INTEGER) AS claim_quarter
+FROM claims""")
+
+CLEAN_CLAIMS = with_claims("""
+, c1 AS (SELECT * REPLACE (abs(amount) AS amount, abs(co_payment) AS co_payment) FROM claims),
+med AS (SELECT """ + ", ".join(f"median(CAST({c} AS DOUBLE)) AS m_{c}" for c in _NUM_COLS) + """ FROM c1),
+c2 AS (SELECT """ + ", ".join(
+    (f"COALESCE({c}, 'Unknown') AS {c}" if c in _STRING_COLS else
+     f"COALESCE({c}, CAST(m_{c} AS {_NUM_TYPES[c]})) AS {c}" if c in _NUM_COLS else c)
+    for c in CLAIM_COLUMNS) + """ FROM c1 CROSS JOIN med),
+am AS (SELECT median(abs(amount)) AS med FROM c2),
+c3 AS (SELECT c2.* REPLACE (CASE WHEN abs(amount) <= 0 THEN am.med ELSE abs(amount) END AS amount,
+        CAST(CASE WHEN employee_age < 18 THEN 18 WHEN employee_age > 100 THEN 100 ELSE employee_age END AS INTEGER) AS employee_age)
+       FROM c2 CROSS JOIN am),
+q AS (SELECT min(amount) AS lo, quantile_cont(amount, 0.25) AS q1, quantile_cont(amount, 0.5) AS q2,
+             quantile_cont(amount, 0.75) AS q3, max(amount) AS hi FROM c3)
+SELECT c3.*, """ + _TENURE + """ AS tenure,
+       """ + _bins(_TENURE, [0, 1, 5, 100], ['<1yr', '1-5yrs', '5+yrs']) + """ AS tenure_group,
+       """ + _bins('employee_age', [0, 25, 35, 45, 55, 65, 100], ['<25', '25-35', '35-45', '45-55', '55-65', '65+']) + """ AS age_group,
+       """ + _SIZE + """ AS claim_size,
+       dayname(submission_date) AS claim_weekday, monthname(submission_date) AS claim_month,
+       CAST(quarter(submission_date) AS INTEGER) AS claim_quarter
+FROM c3 CROSS JOIN q""")
+
+
+def _blob(b: bytes) -> str:
+    return "'" + "".join(f"\\x{x:02X}" for x in b) + "'::BLOB"
+
+
+def _pseudo_sql(key: str) -> str:
+    k = key.encode().ljust(64, b"\x00")
+    ipad = bytes(x ^ 0x36 for x in k)
+    opad = bytes(x ^ 0x5C for x in k)
+    h = (f"substr(sha256({_blob(opad)} || unhex(sha256({_blob(ipad)} || encode(CAST(employee_id AS VARCHAR))))), 1, 12)")
+    mask = "CAST((CAST(trunc(amount * CAST(100.0 AS DOUBLE)) AS BIGINT) * 7919) % 999999 AS VARCHAR)"
+    return with_claims(f"SELECT claim_id, line_no, {h} AS employee_id, {mask} AS amount FROM claims")
+
+
+PSEUDO_KEY = "tenant-key"
+PSEUDONYMIZE = _pseudo_sql(PSEUDO_KEY)
+
+ISIN_FILTER = with_claims("""
+SELECT * FROM claims WHERE employer IN ('BUILDING', 'MACHINERY') AND category IN ('1-URGENT', '2-HIGH')""")
+
+# ----------------------------------------------------------------- audit events
+
+AUDIT_TAIL = with_audit("""SELECT * FROM audit ORDER BY "timestamp" DESC, event_id DESC LIMIT 20""")
+
+FAILED_LOGIN_BURST = with_audit("""
+, ev AS (SELECT event_id, "user", "timestamp", action FROM audit
+         WHERE action IN ('error', 'signup') AND "user" IS NOT NULL),
+r AS (SELECT *, SUM(CASE WHEN action = 'signup' THEN 1 ELSE 0 END)
+                  OVER (PARTITION BY "user" ORDER BY "timestamp", event_id ROWS UNBOUNDED PRECEDING) AS run FROM ev),
+f AS (SELECT *, SUM(CASE WHEN action = 'error' THEN 1 ELSE 0 END)
+                  OVER (PARTITION BY "user", run ORDER BY "timestamp", event_id ROWS UNBOUNDED PRECEDING) AS n FROM r)
+SELECT event_id, "user", "timestamp", action, CAST(n AS BIGINT) AS failures_in_run, n >= 3 AS locked FROM f""")
