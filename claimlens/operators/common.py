@@ -81,7 +81,11 @@ def monthly(df: DataFrame, aggs: Sequence[Column], date_col: str = "date",
                       *[c for c in agg.columns if c not in keys])
 
 
-def prefix_sums(df: DataFrame, order_cols: Sequence[str], sum_cols: Sequence[str],
+def _sort_cols(cols: Sequence[str | Column]) -> list[Column]:
+    return [F.col(c).asc_nulls_last() if isinstance(c, str) else c for c in cols]
+
+
+def prefix_sums(df: DataFrame, order_cols: Sequence[str | Column], sum_cols: Sequence[str],
                 n_parts: int | None = None, prefix: str = "cum_") -> DataFrame:
     """Inclusive running sums of ``sum_cols`` in the global order of ``order_cols``.
 
@@ -95,7 +99,8 @@ def prefix_sums(df: DataFrame, order_cols: Sequence[str], sum_cols: Sequence[str
     n_parts = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sum_cols = list(sum_cols)
     cum_names = [prefix + c for c in sum_cols]
-    ranged = df.repartitionByRange(n_parts, *order_cols).sortWithinPartitions(*order_cols)
+    order = _sort_cols(order_cols)
+    ranged = df.repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
     out_schema = T.StructType(
         list(ranged.schema.fields)
         + [T.StructField(n, T.DoubleType(), False) for n in cum_names]
@@ -129,9 +134,51 @@ def prefix_sums(df: DataFrame, order_cols: Sequence[str], sum_cols: Sequence[str
                                      for cn in cum_names])
 
 
-def global_rank(df: DataFrame, order_cols: Sequence[str], n_parts: int | None = None,
+def global_rank(df: DataFrame, order_cols: Sequence[str | Column], n_parts: int | None = None,
                 rank_col: str = "rank") -> DataFrame:
     """1-based position of each row in the total order of ``order_cols``."""
     withone = df.withColumn("_one", F.lit(1.0))
     ranked = prefix_sums(withone, order_cols, ["_one"], n_parts)
     return ranked.withColumn(rank_col, F.col("cum__one").cast("long")).drop("_one", "cum__one")
+
+
+def exact_percentile(df: DataFrame, col: str, q: float, accuracy: int = 10000) -> float | None:
+    """Exact linear-interpolated percentile (as numpy's default) of a column
+    without holding all values in one task.
+
+    A sketch (``percentile_approx``) brackets the wanted order statistics; one
+    count finds how many rows fall below the bracket, and only the rows inside
+    the bracket are ranked (``global_rank``). If the bracket misses (possible
+    only when the sketch's error bound is exceeded), the whole column is ranked.
+    """
+    x = F.col(col).cast("double")
+    vals = df.select(x.alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    eps = 2.0 / accuracy
+    lo_q, hi_q = max(0.0, q - eps), min(1.0, q + eps)
+    stats = vals.agg(F.count(F.lit(1)).alias("n"),
+                     F.percentile_approx("_v", [lo_q, hi_q], accuracy).alias("b")).first()
+    n = stats["n"]
+    if not n:
+        return None
+    pos = q * (n - 1)
+    r1, r2 = int(pos // 1), int(-(-pos // 1))  # floor, ceil (0-based ranks)
+    lo, hi = stats["b"]
+    if lo_q == 0.0:
+        lo = None
+    if hi_q == 1.0:
+        hi = None
+    cond = F.lit(True)
+    if lo is not None:
+        cond = cond & (F.col("_v") >= lo)
+    if hi is not None:
+        cond = cond & (F.col("_v") <= hi)
+    below = vals.filter(F.col("_v") < lo).count() if lo is not None else 0
+    band = vals.filter(cond)
+    base = below
+    if not (below <= r1 and r2 < below + band.count()):
+        band, base = vals, 0
+    ranked = global_rank(band, ["_v"])
+    picks = {r["rank"] - 1 + base: r["_v"] for r in
+             ranked.filter(F.col("rank").isin(r1 - base + 1, r2 - base + 1)).collect()}
+    v1, v2 = picks[r1], picks[r2]
+    return v1 + (v2 - v1) * (pos - r1)

@@ -14,8 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 import datetime as _dt
 
-from claimlens.operators import audit, clean, explore, fraud, report
-from claimlens.sources import ingest
+from pyspark.sql import functions as F
+
+from claimlens.operators import audit, clean, drift, explore, fraud, report
+from claimlens.operators import iforest as IF
+from claimlens.operators import model as M
+from claimlens.session import work_dir
+from claimlens.sources import ingest, sinks
+from claimlens.sources.audit import audit_append
+from claimlens.streaming import audit_stream as ST
 from claimlens.plans import sql as S
 from claimlens.sources import fixtures as fx
 
@@ -364,6 +371,223 @@ def _q(spark, d):
     return audit.failed_login_burst(_audit(spark, d), 3)
 
 
+# ------------------------------------------------------------------ sources and sinks
+
+@register("read_claims", S.READ_CLAIMS)
+def _q(spark, d):
+    """Write the dirty client lines as CSV, read them back as text columns."""
+    path = work_dir(spark, "csv")
+    _raw(spark, d).write.option("header", True).csv(path)
+    df = ingest.read_claims(spark, path)
+    return df.drop("_corrupt_record", "_source_file")
+
+
+@register("share_by_client", S.SHARE_BY_CLIENT)
+def _q(spark, d):
+    path = work_dir(spark, "share")
+    sinks.share_by_client(_claims(spark, d), path)
+    return sinks.read_client(spark, path, S.CLIENT)
+
+
+@register("workbook_summary", S.WORKBOOK_SUMMARY)
+def _q(spark, d):
+    return sinks.report_workbook_tables(_claims(spark, d))["summary"]
+
+
+@register("workbook_provider_analysis", S.WORKBOOK_PROVIDERS)
+def _q(spark, d):
+    return sinks.report_workbook_tables(_claims(spark, d))["provider_analysis"]
+
+
+@register("client_report_json", None, "one JSON document per client; rows-only check")
+def _q(spark, d):
+    return report.report_json(report.client_report(_claims(spark, d), 5))
+
+
+@register("audit_stream", S.AUDIT_STREAM)
+def _q(spark, d):
+    """Events written as audit JSON files, counted by a Structured Streaming
+    query (availableNow) into a parquet sink that is read back."""
+    base = work_dir(spark, "stream")
+    ev = fx.audit_events(spark, d).select(
+        F.lit("events").alias("tenant"), F.col("timestamp").alias("ts"), "user", "action", "target",
+        F.lit("").alias("ip"))
+    audit_append(ev, f"{base}/source")
+    q = ST.start_counts(spark, f"{base}/source", f"{base}/sink", f"{base}/checkpoint")
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/sink")
+
+
+# ------------------------------------------------------------------ drift
+
+def _ref_cur(spark, d):
+    c = _claims(spark, d)
+    return c.filter(F.col("date") >= F.lit(_dt.date(1998, 1, 1))), c.filter(F.col("date") < F.lit(_dt.date(1998, 1, 1)))
+
+
+@register("drift_ks", S.DRIFT_KS)
+def _q(spark, d):
+    cur, ref = _ref_cur(spark, d)
+    return drift.drift_ks(cur, ref, "amount")
+
+
+@register("drift_psi", S.DRIFT_PSI)
+def _q(spark, d):
+    cur, ref = _ref_cur(spark, d)
+    return drift.drift_psi(cur, ref, "treatment")
+
+
+@register("drift_report", S.DRIFT_REPORT)
+def _q(spark, d):
+    cur, ref = _ref_cur(spark, d)
+    return drift.drift_report(cur, ref, S.DRIFT_NUMERIC, S.DRIFT_CATEGORICAL)
+
+
+# ------------------------------------------------------------------ modelling
+
+@register("temporal_split", S.TEMPORAL_SPLIT)
+def _q(spark, d):
+    return M.temporal_split(_claims(spark, d), 0.2)
+
+
+@register("feature_scaling", S.FEATURE_SCALING)
+def _q(spark, d):
+    return M.scaled_columns(_claims(spark, d), ["employee_age", "co_payment"], ["claim_id", "line_no"])
+
+
+@register("evaluate_baseline", S.EVALUATE_BASELINE)
+def _q(spark, d):
+    c = _claims(spark, d)
+    means = explore.claim_distribution(c, "diagnosis", "mean").withColumnRenamed("average_amount", "prediction")
+    return M.evaluate(c.join(means, "diagnosis"), "amount", "prediction")
+
+
+@register("fill_defaults", S.FILL_DEFAULTS)
+def _q(spark, d):
+    req = ["employee_age", "co_payment", "inpatient_cap_utilization", "employer", "department",
+           "claim_weekday", "claim_month", "age_group", "tenure_group", "same_day_claims"]
+    num = ["employee_age", "co_payment", "inpatient_cap_utilization", "same_day_claims"]
+    src = _claims(spark, d).select("employee_age", "co_payment", "employer", "department")
+    return M.fill_defaults(src, req, AS_OF, num)
+
+
+def _split(spark, d):
+    return M.temporal_split(clean.clean_claims(_claims(spark, d), AS_OF), 0.2)
+
+
+def _metrics_row(spark, name, t):
+    return spark.createDataFrame([(name, t.metrics["mae"], t.metrics["rmse"], t.metrics["r2"])],
+                                 "model string, mae double, rmse double, r2 double")
+
+
+# defaults of the original estimators, in Spark ML terms
+GBT_PARAMS = {"maxIter": 100, "maxDepth": 3, "stepSize": 0.1}
+RF_PARAMS = {"numTrees": 100, "maxDepth": 10}
+BOOSTED_PARAMS = {"maxIter": 100, "maxDepth": 6, "stepSize": 0.3}
+
+
+@register("train_gbt", None, "randomised model; property-tested")
+def _q(spark, d):
+    return _metrics_row(spark, "GradientBoosting",
+                        M.train_and_evaluate(_split(spark, d), "gbt", M.gbt(**GBT_PARAMS)))
+
+
+@register("train_rf", None, "randomised model; property-tested")
+def _q(spark, d):
+    return _metrics_row(spark, "RandomForest",
+                        M.train_and_evaluate(_split(spark, d), "rf", M.random_forest(**RF_PARAMS)))
+
+
+@register("train_boosted", None, "randomised model; property-tested")
+def _q(spark, d):
+    return _metrics_row(spark, "BoostedSubsampled",
+                        M.train_and_evaluate(_split(spark, d), "xgb", M.boosted_subsampled(**BOOSTED_PARAMS)))
+
+
+@register("train_mlp", None, "randomised model; property-tested")
+def _q(spark, d):
+    return _metrics_row(spark, "NeuralNetwork",
+                        M.train_and_evaluate(_split(spark, d), "mlp", M.mlp(hidden=(50,), max_iter=100)))
+
+
+@register("auto_select", None, "leaderboard of randomised models")
+def _q(spark, d):
+    board, _ = M.auto_select(_split(spark, d), {
+        "GradientBoosting": M.gbt(**GBT_PARAMS), "RandomForest": M.random_forest(**RF_PARAMS),
+        "BoostedSubsampled": M.boosted_subsampled(**BOOSTED_PARAMS)})
+    return board
+
+
+@register("random_search", None, "cross-validated search; registry runs 4 draws x 3 folds")
+def _q(spark, d):
+    sp = _split(spark, d)
+    est = M.random_forest()
+    maps = M.sample_param_maps(est, {"numTrees": [20, 50], "maxDepth": [5, 8], "minInstancesPerNode": [2, 5]}, 4)
+    _, table = M.random_search(sp.filter(F.col("split") == "train"), est, maps, folds=3)
+    return table
+
+
+@register("feature_importance", None, "importances of a randomised model")
+def _q(spark, d):
+    sp = _split(spark, d)
+    t = M.train_and_evaluate(sp, "gbt", M.gbt(**GBT_PARAMS))
+    return M.feature_importance(t.model, sp)
+
+
+def _scored(spark, d):
+    sp = _split(spark, d)
+    t = M.train_and_evaluate(sp, "gbt", M.gbt(**GBT_PARAMS))
+    fm = M.fit_fraud_model(sp.filter(F.col("split") == "train"), t.model.stages[0], n_trees=100,
+                           contamination=0.01)
+    return M.score_claims(sp.filter(F.col("split") == "test"), t.model, fm)
+
+
+@register("score_claims", None, "predictions and isolation-forest flags")
+def _q(spark, d):
+    return _scored(spark, d).select("claim_id", "line_no", "amount", "predicted_amount",
+                                    "is_potential_fraud", "fraud_confidence")
+
+
+@register("prediction_summary", None, "summary of randomised predictions")
+def _q(spark, d):
+    return M.prediction_summary(_scored(spark, d))
+
+
+@register("shapley_contributions", None, "Monte-Carlo Shapley values; additivity-tested")
+def _q(spark, d):
+    sp = _split(spark, d)
+    t = M.train_and_evaluate(sp, "gbt", M.gbt(**GBT_PARAMS))
+    test = sp.filter(F.col("split") == "test").withColumn(
+        "row_id", F.xxhash64("claim_id", "line_no", "amount", "date"))
+    explain = test.orderBy("row_id").limit(20)   # the explained sample is the operator's input
+    background = sp.filter(F.col("split") == "train").orderBy(F.xxhash64("claim_id", "line_no", "amount")).limit(100)
+    return M.shapley_contributions(explain, background, t.model, t.numeric + t.categorical, permutations=20)
+
+
+# ------------------------------------------------------------------ isolation forest
+
+def _iforest_flags(spark, d):
+    c = _claims(spark, d).drop("fraud_flag")
+    return IF.detect_fraud_anomalies(c, ["amount", "co_payment"], contamination=0.05, n_trees=100)
+
+
+@register("iforest_scores", None, "isolation-forest scores; property-tested")
+def _q(spark, d):
+    c = _claims(spark, d)
+    forest = IF.iforest_fit(c, ["amount", "co_payment"], n_trees=100, seed=42)
+    return IF.iforest_score(c, forest).select("claim_id", "line_no", "amount", "co_payment", "anomaly_score")
+
+
+@register("iforest_fraud_summary", None, "fraud roll-up over isolation-forest flags")
+def _q(spark, d):
+    return fraud.fraud_summary(_iforest_flags(spark, d))
+
+
+@register("iforest_fraud_by_provider", None, "fraud roll-up over isolation-forest flags")
+def _q(spark, d):
+    return fraud.fraud_by_provider(_iforest_flags(spark, d), 10)
+
+
 # ------------------------------------------------------------------ public views
 
 def queries() -> dict[str, Builder]:

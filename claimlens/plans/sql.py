@@ -504,3 +504,109 @@ r AS (SELECT *, SUM(CASE WHEN action = 'signup' THEN 1 ELSE 0 END)
 f AS (SELECT *, SUM(CASE WHEN action = 'error' THEN 1 ELSE 0 END)
                   OVER (PARTITION BY "user", run ORDER BY "timestamp", event_id ROWS UNBOUNDED PRECEDING) AS n FROM r)
 SELECT event_id, "user", "timestamp", action, CAST(n AS BIGINT) AS failures_in_run, n >= 3 AS locked FROM f""")
+
+# ----------------------------------------------------------------- drift
+
+DRIFT_CUT = "DATE '1998-01-01'"
+
+
+def _ks_block(col: str) -> str:
+    return f"""SELECT '{col}' AS column_name, CAST(nr AS BIGINT) AS n_ref, CAST(nc AS BIGINT) AS n_cur,
+       max(abs(CAST(cr AS DOUBLE) / CAST(nr AS DOUBLE) - CAST(cc AS DOUBLE) / CAST(nc AS DOUBLE))) AS ks_stat
+FROM (SELECT v, SUM(r) OVER (ORDER BY v ROWS UNBOUNDED PRECEDING) AS cr,
+             SUM(c) OVER (ORDER BY v ROWS UNBOUNDED PRECEDING) AS cc
+      FROM (SELECT v, SUM(is_ref) AS r, SUM(1 - is_ref) AS c FROM (
+              SELECT CAST({col} AS DOUBLE) AS v, 1 AS is_ref FROM claims WHERE date < {DRIFT_CUT} AND {col} IS NOT NULL
+              UNION ALL
+              SELECT CAST({col} AS DOUBLE), 0 FROM claims WHERE date >= {DRIFT_CUT} AND {col} IS NOT NULL) b
+            GROUP BY v) cnt) cum,
+     (SELECT SUM(CASE WHEN date < {DRIFT_CUT} THEN 1 ELSE 0 END) AS nr,
+             SUM(CASE WHEN date >= {DRIFT_CUT} THEN 1 ELSE 0 END) AS nc FROM claims WHERE {col} IS NOT NULL) tot
+GROUP BY nr, nc"""
+
+
+_KS_P = """round(CASE WHEN lam < 0.05 THEN 1.0 ELSE least(greatest(2.0 * (
+    SELECT SUM(pow(-1.0, k - 1) * exp(CAST(-2.0 AS DOUBLE) * k * k * lam * lam)) FROM range(1, 101) t(k)), 0.0), 1.0) END, 6)"""
+
+
+def _ks_sql(cols) -> str:
+    blocks = "\nUNION ALL\n".join(_ks_block(c) for c in cols)
+    return f"""
+, ks AS ({blocks}),
+ks2 AS (SELECT *, (sqrt(CAST(n_ref AS DOUBLE) * n_cur / (n_ref + n_cur)) + CAST(0.12 AS DOUBLE)
+                   + CAST(0.11 AS DOUBLE) / sqrt(CAST(n_ref AS DOUBLE) * n_cur / (n_ref + n_cur))) * ks_stat AS lam FROM ks)
+"""
+
+
+def _psi_block(col: str) -> str:
+    def shares(cond):
+        return f"""(SELECT {col} AS category, CAST(COUNT(*) AS DOUBLE) / CAST(SUM(COUNT(*)) OVER () AS DOUBLE) AS s
+           FROM claims WHERE {cond} AND {col} IS NOT NULL GROUP BY {col})"""
+    return f"""SELECT '{col}' AS column_name, round(SUM((c.s - r.s) * ln(c.s / r.s)), 6) AS psi
+FROM {shares(f'date >= {DRIFT_CUT}')} c JOIN {shares(f'date < {DRIFT_CUT}')} r USING (category)"""
+
+
+DRIFT_KS = with_claims(_ks_sql(["amount"]) + f"SELECT column_name, n_ref, n_cur, ks_stat, {_KS_P} AS ks_p FROM ks2")
+DRIFT_PSI = with_claims("\n" + _psi_block("treatment").replace("SELECT", "SELECT", 1))
+
+DRIFT_NUMERIC = ["amount", "co_payment", "employee_age"]
+DRIFT_CATEGORICAL = ["employer", "category", "treatment", "visit_type"]
+DRIFT_REPORT = with_claims(_ks_sql(DRIFT_NUMERIC) + f""", psi AS ({' UNION ALL '.join(_psi_block(c) for c in DRIFT_CATEGORICAL)})
+SELECT column_name, 'ks_stat' AS metric, ks_stat AS value FROM ks2
+UNION ALL SELECT column_name, 'ks_p', {_KS_P} FROM ks2
+UNION ALL SELECT column_name, 'psi', psi FROM psi""")
+
+# ----------------------------------------------------------------- modelling (value-checkable parts)
+
+_SPLIT_ORDER = ", ".join(["submission_date"] + [c for c in CLAIM_COLUMNS if c != "submission_date"])
+TEMPORAL_SPLIT = with_claims(f"""
+SELECT *, CASE WHEN row_number() OVER (ORDER BY {_SPLIT_ORDER} NULLS LAST)
+                    <= (SELECT CAST(floor(COUNT(*) * CAST(0.8 AS DOUBLE)) AS BIGINT) FROM claims)
+               THEN 'train' ELSE 'test' END AS split
+FROM claims""")
+
+FEATURE_SCALING = with_claims("""
+SELECT claim_id, line_no,
+  round((CAST(employee_age AS DOUBLE) - avg(CAST(employee_age AS DOUBLE)) OVER ()) / stddev_pop(CAST(employee_age AS DOUBLE)) OVER (), 6) AS employee_age_scaled,
+  round((CAST(co_payment AS DOUBLE) - avg(CAST(co_payment AS DOUBLE)) OVER ()) / stddev_pop(CAST(co_payment AS DOUBLE)) OVER (), 6) AS co_payment_scaled
+FROM claims""")
+
+EVALUATE_BASELINE = with_claims(f"""
+, m AS (SELECT diagnosis, {mmean('amount')} AS prediction FROM claims WHERE diagnosis IS NOT NULL GROUP BY diagnosis),
+e AS (SELECT CAST(c.amount AS DOUBLE) AS y, m.prediction AS p FROM claims c JOIN m USING (diagnosis)
+      WHERE c.amount IS NOT NULL AND m.prediction IS NOT NULL),
+yb AS (SELECT avg(y) AS ybar FROM e)
+SELECT round(avg(abs(y - p)), 6) AS mae, round(sqrt(avg((y - p) * (y - p))), 6) AS rmse,
+       round(1.0 - SUM((y - p) * (y - p)) / NULLIF(SUM((y - ybar) * (y - ybar)), 0), 6) AS r2
+FROM e CROSS JOIN yb""")
+
+FILL_DEFAULTS = with_claims("""
+SELECT COALESCE(CAST(employee_age AS DOUBLE), 0.0) AS employee_age,
+       COALESCE(CAST(co_payment AS DOUBLE), 0.0) AS co_payment,
+       CAST(0.5 AS DOUBLE) AS inpatient_cap_utilization,
+       CAST(employer AS VARCHAR) AS employer, CAST(department AS VARCHAR) AS department,
+       'Tuesday' AS claim_weekday, 'January' AS claim_month, '35-45' AS age_group,
+       '1-5yrs' AS tenure_group, CAST(0.0 AS DOUBLE) AS same_day_claims
+FROM claims""")
+
+# ----------------------------------------------------------------- sinks / stream
+
+READ_CLAIMS = with_raw("SELECT * FROM raw")
+SHARE_BY_CLIENT = CLIENT_CLAIMS
+
+WORKBOOK_SUMMARY = with_claims(f"""
+SELECT 'Total Claims' AS metric, CAST(COUNT(*) AS DOUBLE) AS value FROM claims
+UNION ALL SELECT 'Total Amount', COALESCE({msum('amount')}, 0.0) FROM claims
+UNION ALL SELECT 'Average Claim', {mmean('amount')} FROM claims
+UNION ALL SELECT 'Potential Fraud Cases', CAST(COALESCE(SUM(fraud_flag), 0) AS DOUBLE) FROM claims""")
+WORKBOOK_PROVIDERS = with_claims(f"""
+SELECT provider_id, COALESCE({msum('amount')}, 0.0) AS total_amount, COUNT(amount) AS claim_count,
+       CAST(COALESCE(SUM(fraud_flag), 0) AS BIGINT) AS fraud_count
+FROM claims WHERE provider_id IS NOT NULL GROUP BY provider_id""")
+
+AUDIT_STREAM = """
+WITH a AS (SELECT ts, event_type AS action FROM events WHERE ts IS NOT NULL),
+mx AS (SELECT max(ts) AS m FROM a),
+c AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, action, COUNT(*) AS events FROM a GROUP BY 1, 2)
+SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, 'events' AS tenant, action, events
+FROM c, mx WHERE window_start + INTERVAL 1 HOUR <= mx.m - INTERVAL 10 MINUTE"""

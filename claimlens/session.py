@@ -46,6 +46,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def work_dir(spark: SparkSession, name: str = "work") -> str:
+    """A fresh folder under the shared checkpoint location for intermediate
+    tables (never a machine-local folder when the cluster names one)."""
+    import uuid
+    base = checkpoint_dir(spark).rstrip("/")
+    return f"{base}/claimlens-{name}-{uuid.uuid4().hex[:12]}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     checkpoint_dir(df.sparkSession)
