@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from claimlens.operators import audit, clean, drift, explore, fraud, report
 from claimlens.operators import iforest as IF
 from claimlens.operators import model as M
-from claimlens.session import work_dir
+from claimlens.session import cut_lineage, work_dir
 from claimlens.sources import ingest, sinks
 from claimlens.sources.audit import audit_append
 from claimlens.streaming import audit_stream as ST
@@ -472,7 +472,10 @@ def _q(spark, d):
 
 
 def _split(spark, d):
-    return M.temporal_split(clean.clean_claims(_claims(spark, d), AS_OF), 0.2)
+    """Cleaned claims with the temporal split, materialised once in the shared
+    checkpoint folder so feature fitting, training and evaluation do not
+    recompute the joins and statistics passes."""
+    return cut_lineage(M.temporal_split(clean.clean_claims(_claims(spark, d), AS_OF), 0.2))
 
 
 def _metrics_row(spark, name, t):
