@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimlens.functions.exprs import right_closed_bins
+from claimlens.operators.common import exact_percentiles
 
 # ---------------------------------------------------------------- fixed values
 # Bins and labels of the original feature engineering.
@@ -100,13 +101,16 @@ def drop_sparse_columns(df: DataFrame, threshold: float = SPARSE_PCT) -> DataFra
 
 
 def medians(df: DataFrame, cols: Sequence[str], approx: bool = False) -> dict[str, float]:
-    """Exact (interpolated) medians of several columns in one aggregate."""
+    """Medians of several columns: exact and interpolated (``exact_percentiles``:
+    shared passes, no column gathered in one task), or sketches with ``approx``."""
     if not cols:
         return {}
-    fn = (lambda c: F.percentile_approx(F.col(c).cast("double"), 0.5, 10000)) if approx \
-        else (lambda c: F.median(F.col(c).cast("double")))
-    row = df.agg(*[fn(c).alias(c) for c in cols]).first()
-    return {c: row[c] for c in cols}
+    if approx:
+        row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5, 10000).alias(c)
+                       for c in cols]).first()
+        return {c: row[c] for c in cols}
+    got = exact_percentiles(df, [(c, 0.5) for c in cols])
+    return {c: got[(c, 0.5)] for c in cols}
 
 
 def impute(df: DataFrame, skip: Sequence[str] = ()) -> DataFrame:
@@ -131,7 +135,7 @@ def fix_amount(df: DataFrame, amount: str = "amount") -> DataFrame:
     """Absolute value; non-positive amounts become the median of the absolute
     amounts (zeros included in that median)."""
     a = F.abs(F.col(amount).cast("double"))
-    med = df.select(a.alias("_a")).agg(F.median("_a").alias("m")).first()["m"]
+    med = exact_percentiles(df.select(a.alias("_a")), [("_a", 0.5)])[("_a", 0.5)]
     return df.withColumn(amount, F.when(a <= 0, F.lit(med)).otherwise(a))
 
 
@@ -158,11 +162,9 @@ def age_group(df: DataFrame, age: str = "employee_age") -> DataFrame:
 
 def quartile_edges(df: DataFrame, amount: str = "amount") -> list[float]:
     """Exact linear-interpolated quartiles plus min and max (one aggregate)."""
-    x = F.col(amount).cast("double")
-    r = df.agg(F.min(x).alias("lo"),
-               F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"),
-               F.max(x).alias("hi")).first()
-    return [r["lo"], *r["q"], r["hi"]]
+    q = exact_percentiles(df, [(amount, 0.0), (amount, 0.25), (amount, 0.5), (amount, 0.75),
+                               (amount, 1.0)])
+    return [q[(amount, p)] for p in (0.0, 0.25, 0.5, 0.75, 1.0)]
 
 
 def size_label(x: Column, edges: list[float]) -> Column:

@@ -142,43 +142,110 @@ def global_rank(df: DataFrame, order_cols: Sequence[str | Column], n_parts: int
     return ranked.withColumn(rank_col, F.col("cum__one").cast("long")).drop("_one", "cum__one")
 
 
-def exact_percentile(df: DataFrame, col: str, q: float, accuracy: int = 10000) -> float | None:
-    """Exact linear-interpolated percentile (as numpy's default) of a column
-    without holding all values in one task.
-
-    A sketch (``percentile_approx``) brackets the wanted order statistics; one
-    count finds how many rows fall below the bracket, and only the rows inside
-    the bracket are ranked (``global_rank``). If the bracket misses (possible
-    only when the sketch's error bound is exceeded), the whole column is ranked.
+SMALL_BAND_ROWS = 2_000_000
+
+
+def exact_percentiles(df: DataFrame, specs: Sequence[tuple[str, float]],
+                      accuracy: int = 10000,
+                      small_band_rows: int = SMALL_BAND_ROWS) -> dict[tuple[str, float], float | None]:
+    """Exact linear-interpolated percentiles (numpy's default) of one or more
+    columns, without holding a column's values in one task.
+
+    Three passes shared by all requested (column, q) pairs:
+      1. one aggregate: non-null counts and sketch brackets around each q
+         (``percentile_approx``: bounded memory, partial aggregation);
+      2. one aggregate: rows below each bracket and rows inside it;
+      3. only the bracketed rows are ranked and the two order statistics
+         around each q are picked out: a band of at most ``small_band_rows``
+         (a fixed memory bound, ~16 MB of doubles) is ranked by a window per
+         requested percentile; larger bands by ``global_rank`` (range
+         partitions), so no task ever sorts an unbounded band.
+    If a bracket misses (the sketch's error bound exceeded) that column is
+    ranked whole, still distributed.
     """
-    x = F.col(col).cast("double")
-    vals = df.select(x.alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    specs = list(dict.fromkeys(specs))
+    cols = list(dict.fromkeys(c for c, _ in specs))
+    x = {c: F.col(c).cast("double") for c in cols}
+    ok = {c: x[c].isNotNull() & ~F.isnan(x[c]) for c in cols}
     eps = 2.0 / accuracy
-    lo_q, hi_q = max(0.0, q - eps), min(1.0, q + eps)
-    stats = vals.agg(F.count(F.lit(1)).alias("n"),
-                     F.percentile_approx("_v", [lo_q, hi_q], accuracy).alias("b")).first()
-    n = stats["n"]
-    if not n:
-        return None
-    pos = q * (n - 1)
-    r1, r2 = int(pos // 1), int(-(-pos // 1))  # floor, ceil (0-based ranks)
-    lo, hi = stats["b"]
-    if lo_q == 0.0:
-        lo = None
-    if hi_q == 1.0:
-        hi = None
-    cond = F.lit(True)
-    if lo is not None:
-        cond = cond & (F.col("_v") >= lo)
-    if hi is not None:
-        cond = cond & (F.col("_v") <= hi)
-    below = vals.filter(F.col("_v") < lo).count() if lo is not None else 0
-    band = vals.filter(cond)
-    base = below
-    if not (below <= r1 and r2 < below + band.count()):
-        band, base = vals, 0
-    ranked = global_rank(band, ["_v"])
-    picks = {r["rank"] - 1 + base: r["_v"] for r in
-             ranked.filter(F.col("rank").isin(r1 - base + 1, r2 - base + 1)).collect()}
-    v1, v2 = picks[r1], picks[r2]
-    return v1 + (v2 - v1) * (pos - r1)
+    bq = {sp: (max(0.0, sp[1] - eps), min(1.0, sp[1] + eps)) for sp in specs}
+    aggs = [F.count_if(ok[c]).alias(f"n{i}") for i, c in enumerate(cols)]
+    aggs += [F.min(F.when(ok[c], x[c])).alias(f"mn{i}") for i, c in enumerate(cols)]
+    aggs += [F.max(F.when(ok[c], x[c])).alias(f"mx{i}") for i, c in enumerate(cols)]
+    for j, sp in enumerate(specs):
+        c = sp[0]
+        aggs.append(F.percentile_approx(F.when(ok[c], x[c]), list(bq[sp]), accuracy).alias(f"b{j}"))
+    st = df.agg(*aggs).first()
+    n = {c: st[f"n{i}"] for i, c in enumerate(cols)}
+    lohi = {}
+    for j, sp in enumerate(specs):
+        b = st[f"b{j}"] or [None, None]
+        lo = None if bq[sp][0] == 0.0 else b[0]
+        hi = None if bq[sp][1] == 1.0 else b[1]
+        lohi[sp] = (lo, hi)
+
+    def inside(sp):
+        c = sp[0]
+        lo, hi = lohi[sp]
+        cond = ok[c]
+        if lo is not None:
+            cond = cond & (x[c] >= F.lit(lo))
+        if hi is not None:
+            cond = cond & (x[c] <= F.lit(hi))
+        return cond
+
+    aggs2 = []
+    for j, sp in enumerate(specs):
+        lo = lohi[sp][0]
+        below = F.count_if(ok[sp[0]] & (x[sp[0]] < F.lit(lo))) if lo is not None else F.lit(0)
+        aggs2 += [below.alias(f"u{j}"), F.count_if(inside(sp)).alias(f"w{j}")]
+    st2 = df.agg(*aggs2).first()
+    want = {}
+    bands = []
+    out: dict[tuple[str, float], float | None] = {sp: None for sp in specs}
+    for j, sp in enumerate(specs):
+        c, q = sp
+        if not n[c]:
+            continue
+        if q in (0.0, 1.0):  # the extremes are exact aggregates
+            out[sp] = st[f"{'mn' if q == 0.0 else 'mx'}{cols.index(c)}"]
+            continue
+        pos = q * (n[c] - 1)
+        r1, r2 = int(pos // 1), int(-(-pos // 1))
+        below, width = st2[f"u{j}"], st2[f"w{j}"]
+        cond, base, size = inside(sp), below, width
+        if not (below <= r1 and r2 < below + width):
+            cond, base, size = ok[c], 0, n[c]
+        want[j] = (pos, r1, r2, base, size)
+        bands.append(df.filter(cond).select(F.lit(j).alias("_spec"), x[c].alias("_v")))
+    if not bands:
+        return out
+    band = bands[0]
+    for b in bands[1:]:
+        band = band.unionByName(b)
+    cum, first = 0, {}
+    if max(w[4] for w in want.values()) <= small_band_rows:
+        ranked = band.withColumn("_r", F.row_number().over(
+            Window.partitionBy("_spec").orderBy("_v")))
+        first = {j: 0 for j in want}
+    else:
+        ranked = global_rank(band, ["_spec", "_v"], rank_col="_r")
+        for j in sorted(want):  # bands are ranked one after another in _spec order
+            first[j] = cum
+            cum += want[j][4]
+    picks_cond = F.lit(False)
+    for j, (pos, r1, r2, base, _) in want.items():
+        for r in {r1, r2}:
+            picks_cond = picks_cond | ((F.col("_spec") == j) & (F.col("_r") == first[j] + r - base + 1))
+    got = {}
+    for r in ranked.filter(picks_cond).collect():
+        j = r["_spec"]
+        got[(j, r["_r"] - first[j] - 1 + want[j][3])] = r["_v"]
+    for j, (pos, r1, r2, base, _) in want.items():
+        v1, v2 = got[(j, r1)], got[(j, r2)]
+        out[specs[j]] = v1 + (v2 - v1) * (pos - r1)
+    return out
+
+
+def exact_percentile(df: DataFrame, col: str, q: float, accuracy: int = 10000) -> float | None:
+    return exact_percentiles(df, [(col, q)], accuracy)[(col, q)]

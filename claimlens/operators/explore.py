@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from claimlens.functions.exprs import (money, money_mean, money_std, money_sum, rounded,
                                        safe_div)
-from claimlens.operators.common import top_n
+from claimlens.operators.common import exact_percentiles, top_n
 
 # ---------------------------------------------------------------- A1 / A2
 
@@ -263,12 +263,15 @@ def data_profile(df: DataFrame, numeric: Sequence[str] | None = None,
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for c in cols:
         aggs.append(F.count(F.col(c)).alias(f"{c}__count"))
+    exact_q = {} if approx or not numeric else exact_percentiles(
+        df, [(c, q) for c in numeric for q in (0.25, 0.5, 0.75)])
     for c in numeric:
         x = F.col(c).cast("double")
         q = (F.percentile_approx(x, [0.25, 0.5, 0.75], 10000) if approx
-             else F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))
+             else F.array(*[F.lit(exact_q[(c, p)]).cast("double") for p in (0.25, 0.5, 0.75)]))
         aggs += [F.avg(x).alias(f"{c}__mean"), F.stddev_samp(x).alias(f"{c}__std"),
-                 F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max"), q.alias(f"{c}__q"),
+                 F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max"),
+                 (F.first(q) if not approx else q).alias(f"{c}__q"),
                  F.count_if(x == 0).alias(f"{c}__zeros")]
     wide = df.agg(*aggs)
     dbl = "double"

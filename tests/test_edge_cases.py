@@ -286,6 +286,10 @@ def test_exact_percentile_matches_numpy(spark):
     df = spark.createDataFrame([(float(v),) for v in vals], "x double")
     for q in (0.01, 0.05, 0.5, 0.99):
         assert common.exact_percentile(df, "x", q) == pytest.approx(np.percentile(vals, q * 100), abs=0, rel=1e-12)
+    # the distributed ranking path (band larger than the in-task bound) agrees
+    got = common.exact_percentiles(df, [("x", 0.3), ("x", 0.0), ("x", 1.0)], small_band_rows=0)
+    assert got[("x", 0.3)] == pytest.approx(np.percentile(vals, 30), abs=0, rel=1e-12)
+    assert got[("x", 0.0)] == vals.min() and got[("x", 1.0)] == vals.max()
 
 
 def test_ks_and_psi_against_bruteforce(spark):
