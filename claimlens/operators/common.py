@@ -172,16 +172,18 @@ def exact_percentiles(df: DataFrame, specs: Sequence[tuple[str, float]],
     aggs = [F.count_if(ok[c]).alias(f"n{i}") for i, c in enumerate(cols)]
     aggs += [F.min(F.when(ok[c], x[c])).alias(f"mn{i}") for i, c in enumerate(cols)]
     aggs += [F.max(F.when(ok[c], x[c])).alias(f"mx{i}") for i, c in enumerate(cols)]
-    for j, sp in enumerate(specs):
-        c = sp[0]
-        aggs.append(F.percentile_approx(F.when(ok[c], x[c]), list(bq[sp]), accuracy).alias(f"b{j}"))
+    # one sketch per column, asked for every bracket edge of that column
+    edges = {c: sorted({e for sp in specs if sp[0] == c for e in bq[sp]}) for c in cols}
+    for i, c in enumerate(cols):
+        aggs.append(F.percentile_approx(F.when(ok[c], x[c]), edges[c], accuracy).alias(f"b{i}"))
     st = df.agg(*aggs).first()
     n = {c: st[f"n{i}"] for i, c in enumerate(cols)}
     lohi = {}
-    for j, sp in enumerate(specs):
-        b = st[f"b{j}"] or [None, None]
-        lo = None if bq[sp][0] == 0.0 else b[0]
-        hi = None if bq[sp][1] == 1.0 else b[1]
+    for sp in specs:
+        c = sp[0]
+        got_edges = dict(zip(edges[c], st[f"b{cols.index(c)}"] or [None] * len(edges[c])))
+        lo = None if bq[sp][0] == 0.0 else got_edges[bq[sp][0]]
+        hi = None if bq[sp][1] == 1.0 else got_edges[bq[sp][1]]
         lohi[sp] = (lo, hi)
 
     def inside(sp):
@@ -217,12 +219,12 @@ def exact_percentiles(df: DataFrame, specs: Sequence[tuple[str, float]],
         if not (below <= r1 and r2 < below + width):
             cond, base, size = ok[c], 0, n[c]
         want[j] = (pos, r1, r2, base, size)
-        bands.append(df.filter(cond).select(F.lit(j).alias("_spec"), x[c].alias("_v")))
+        bands.append(F.when(cond, F.struct(F.lit(j).alias("_spec"), x[c].alias("_v"))))
     if not bands:
         return out
-    band = bands[0]
-    for b in bands[1:]:
-        band = band.unionByName(b)
+    # every band from a single scan: each row contributes to the brackets it falls in
+    band = (df.select(F.explode(F.array(*bands)).alias("_b"))
+              .filter(F.col("_b").isNotNull()).select("_b._spec", "_b._v"))
     cum, first = 0, {}
     if max(w[4] for w in want.values()) <= small_band_rows:
         ranked = band.withColumn("_r", F.row_number().over(

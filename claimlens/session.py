@@ -55,9 +55,16 @@ def work_dir(spark: SparkSession, name: str = "work") -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` as a parquet table in the shared checkpoint folder and
+    return a fresh scan of it.
+
+    Reliable like ``checkpoint()`` (a lost executor recomputes nothing before
+    this point) but one job instead of two (``checkpoint`` recomputes its input
+    to write the files unless it is cached) and columnar on disk."""
+    spark = df.sparkSession
+    path = work_dir(spark, "cut")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def table_path(spark: SparkSession, sf_dir: str, name: str) -> str:
