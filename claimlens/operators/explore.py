@@ -292,13 +292,23 @@ def data_profile(df: DataFrame, numeric: Sequence[str] | None = None,
             rounded(F.col(f"{c}__q")[2] if isnum else F.lit(None).cast(dbl)).alias("p75"),
             g("max").alias("max"), g("zeros", "long").alias("n_zeros")))
     stats = wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v")) for c in cols
-    ])).alias("kv")).select("kv.*").filter(F.col("v").isNotNull())
-    if approx:
-        distinct = long.groupBy("column_name").agg(F.approx_count_distinct("v").alias("n_distinct"))
-    else:
-        distinct = (long.distinct()
-                        .groupBy("column_name").agg(F.count(F.lit(1)).alias("n_distinct")))
+    # distinct counts from typed long forms (numbers as double, text as is):
+    # grouped twice, partially aggregated, no per-value text formatting
+    def long_of(names, cast):
+        return df.select(F.explode(F.array(*[
+            F.struct(F.lit(c).alias("column_name"), F.col(c).cast(cast).alias("v")) for c in names
+        ])).alias("kv")).select("kv.*").filter(F.col("v").isNotNull())
+
+    parts = []
+    for names, cast in ((numeric, "double"), (categorical, "string")):
+        if not names:
+            continue
+        lf = long_of(names, cast)
+        parts.append(lf.groupBy("column_name").agg(F.approx_count_distinct("v").alias("n_distinct"))
+                     if approx else
+                     lf.distinct().groupBy("column_name").agg(F.count(F.lit(1)).alias("n_distinct")))
+    distinct = parts[0]
+    for p_ in parts[1:]:
+        distinct = distinct.unionByName(p_)
     return (stats.join(distinct, "column_name", "left")
                  .withColumn("n_distinct", F.coalesce(F.col("n_distinct"), F.lit(0)).cast("long")))

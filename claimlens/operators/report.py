@@ -171,3 +171,18 @@ def report_json(tables: dict[str, DataFrame], employer: str = "employer") -> Dat
         docs = part if docs is None else docs.join(part, employer, "full")
     cols = [c for c in docs.columns if c != employer]
     return docs.select(employer, F.to_json(F.struct(*cols)).alias("report"))
+
+
+def year_over_year(df: DataFrame, per: list[str] | None = None, date: str = "date",
+                   amount: str = "amount") -> DataFrame:
+    """Monthly totals next to the same month one year earlier (a self-join of
+    the monthly table on ``add_months(month, -12)``; the monthly table has one
+    row per group and month, so the join is small whatever the claim count)."""
+    per = list(per or [])
+    m = monthly_trend(df, per, date, amount)
+    prev = m.select(*per, F.last_day(F.add_months(F.col("month"), 12)).alias("month"),
+                    F.col("total_amount").alias("prev_year_amount"),
+                    F.col("claim_count").alias("prev_year_count"))
+    out = m.join(prev, per + ["month"], "left")
+    return out.withColumn("yoy_change", F.round(safe_div(
+        F.col("total_amount") - F.col("prev_year_amount"), F.col("prev_year_amount")), 6))

@@ -225,6 +225,11 @@ def _q(spark, d):
     return report.fraud_by_diagnosis_count(_client(spark, d), 5)
 
 
+@register("year_over_year", S.YEAR_OVER_YEAR)
+def _q(spark, d):
+    return report.year_over_year(_client(spark, d))
+
+
 def _cr(table: str) -> Builder:
     def build(spark, d):
         return report.client_report(_claims(spark, d), 5)[table]

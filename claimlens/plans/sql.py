@@ -610,3 +610,13 @@ mx AS (SELECT max(ts) AS m FROM a),
 c AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, action, COUNT(*) AS events FROM a GROUP BY 1, 2)
 SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, 'events' AS tenant, action, events
 FROM c, mx WHERE window_start + INTERVAL 1 HOUR <= mx.m - INTERVAL 10 MINUTE"""
+
+YEAR_OVER_YEAR = with_claims(_monthly_sql(
+    f"COALESCE({msum('amount')}, 0.0) AS total_amount, COUNT(amount) AS claim_count",
+    "COALESCE(a.total_amount, 0.0) AS total_amount, COALESCE(a.claim_count, 0) AS claim_count",
+    src=f"(SELECT * FROM claims WHERE employer = '{CLIENT}')").replace(
+    "SELECT last_day(s.month_start) AS month,", ", m AS (SELECT last_day(s.month_start) AS month,", 1)
+    + """)
+SELECT m.*, p.total_amount AS prev_year_amount, p.claim_count AS prev_year_count,
+       round((m.total_amount - p.total_amount) / NULLIF(p.total_amount, 0), 6) AS yoy_change
+FROM m LEFT JOIN m p ON p.month = last_day(m.month - INTERVAL 12 MONTH)""")
