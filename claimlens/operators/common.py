@@ -31,11 +31,17 @@ def _order(cols: Sequence[str | Column]) -> list[Column]:
 
 
 def top_n(df: DataFrame, order: Sequence[str | Column], n: int,
-          per: Sequence[str] | None = None, rank_col: str | None = None) -> DataFrame:
+          per: Sequence[str] | None = None, rank_col: str | None = None,
+          salt_buckets: int = 16) -> DataFrame:
     """First ``n`` rows by ``order``; with ``per`` the first ``n`` rows of each group.
 
     Without ``per`` this is ``orderBy().limit()`` which Spark executes as a
     per-partition top-k followed by a single merge of k rows per partition.
+    With ``per`` it runs in two stages so a group holding a large share of the
+    rows is never ranked by one task: rows are first ranked within
+    (group, salt) buckets, where the salt is a hash of the row, keeping ``n``
+    per bucket; the final per-group ranking then sees at most
+    ``n x salt_buckets`` rows per group. The result is the exact top-n.
     """
     if not per:
         out = df.orderBy(*_order(order)).limit(n)
@@ -43,9 +49,16 @@ def top_n(df: DataFrame, order: Sequence[str | Column], n: int,
             w = Window.orderBy(*_order(order))  # at most n rows here
             out = out.withColumn(rank_col, F.row_number().over(w))
         return out
-    w = Window.partitionBy(*per).orderBy(*_order(order))
     rc = rank_col or "_rank"
-    out = df.withColumn(rc, F.row_number().over(w)).filter(F.col(rc) <= n)
+    src = df
+    if salt_buckets and salt_buckets > 1:
+        salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salt_buckets))
+        w1 = Window.partitionBy(*per, "_salt").orderBy(*_order(order))
+        src = (df.withColumn("_salt", salt)
+                 .withColumn("_r1", F.row_number().over(w1))
+                 .filter(F.col("_r1") <= n).drop("_salt", "_r1"))
+    w = Window.partitionBy(*per).orderBy(*_order(order))
+    out = src.withColumn(rc, F.row_number().over(w)).filter(F.col(rc) <= n)
     return out if rank_col else out.drop(rc)
 
 

@@ -51,14 +51,16 @@ def materialize_claims(spark: SparkSession, sf_dir: str, path: str | None = None
     """Write the canonical claims table once (the ingest step of a real
     deployment) and return its location.
 
-    Rows are range-clustered by (employer, date) and sorted within files, so
-    parquet min/max statistics let client and period filters skip row groups;
-    range partitioning also splits one large employer across many files.
+    Rows are range-clustered by (employer, date, claim_id) and sorted within
+    files, so parquet min/max statistics let client and period filters skip row
+    groups; the trailing claim key lets range partitioning split even a single
+    (employer, date) pair that holds a large share of the rows.
     """
     path = path or work_dir(spark, "claims")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     (claims_view(spark, sf_dir)
-        .repartitionByRange(n, F.col("employer").asc_nulls_last(), F.col("date").asc_nulls_last())
+        .repartitionByRange(n, F.col("employer").asc_nulls_last(), F.col("date").asc_nulls_last(),
+                            F.col("claim_id").asc_nulls_last())
         .sortWithinPartitions("employer", "date")
         .write.mode("overwrite").parquet(path))
     return path

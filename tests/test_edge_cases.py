@@ -364,3 +364,17 @@ def test_isin_filter_and_distinct_values(spark, claims_small):
     assert {r[0] for r in out.select("employer").distinct().collect()} == {"BUILDING"}
     dv = explore.distinct_values(claims_small, ["employer"]).count()
     assert dv == claims_small.select("employer").distinct().count()
+
+
+def test_per_group_top_n_with_hot_group_is_exact(spark):
+    rng = np.random.default_rng(11)
+    rows = [("hot" if i % 4 else f"g{i % 9}", int(rng.integers(0, 50)), i) for i in range(4000)]
+    df = spark.createDataFrame(rows, "g string, v long, id long")
+    got = common.top_n(df, [F.col("v").desc(), F.col("id").asc()], 3, per=["g"], rank_col="r")
+    got = {(r["g"], r["r"]): r["id"] for r in got.collect()}
+    pdf = pd.DataFrame(rows, columns=["g", "v", "id"]).sort_values(["g", "v", "id"], ascending=[True, False, True])
+    exp = {}
+    for g, grp in pdf.groupby("g"):
+        for i, rid in enumerate(grp.id.head(3)):
+            exp[(g, i + 1)] = rid
+    assert got == exp
