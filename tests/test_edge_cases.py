@@ -378,3 +378,15 @@ def test_per_group_top_n_with_hot_group_is_exact(spark):
         for i, rid in enumerate(grp.id.head(3)):
             exp[(g, i + 1)] = rid
     assert got == exp
+
+
+def test_label_files_per_file(spark):
+    d = tempfile.mkdtemp(prefix="lbl-")
+    files = {"c.csv": "CLAIM_CENTRAL_ID,AMOUNT\n1,2\n", "t.csv": "Claim_ID,Employee_ID\n1,2\n",
+             "w.csv": ",".join(f"c{i}" for i in range(16)) + "\n" + ",".join("1" * 16) + "\n",
+             "u.csv": "a,b\n1,2\n"}
+    for name, body in files.items():
+        with open(os.path.join(d, name), "w") as f:
+            f.write(body)
+    out = {os.path.basename(r["file_path"]): r["format"] for r in ingest.label_files(spark, d).collect()}
+    assert out == {"c.csv": "client", "t.csv": "test", "w.csv": "client", "u.csv": "unknown"}
