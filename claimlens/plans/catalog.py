@@ -423,6 +423,26 @@ def _q(spark, d):
     return spark.read.parquet(f"{base}/sink")
 
 
+@register("login_lockout_stream", S.FAILED_LOGIN_BURST)
+def _q(spark, d):
+    """E2 as a stateful stream: events written as audit JSON files, the run of
+    failures per user kept in the state store (applyInPandasWithState)."""
+    from claimlens.streaming import login_lockout as LL
+    base = work_dir(spark, "lockout")
+    ev = fx.audit_events(spark, d).select(
+        F.lit("events").alias("tenant"), F.col("timestamp").alias("ts"), "user", "action",
+        F.col("event_id").cast("string").alias("target"), F.lit("").alias("ip"))
+    audit_append(ev, f"{base}/source")
+    src = (spark.readStream.schema(ST.STREAM_SCHEMA).json(f"{base}/source")
+                .select(F.col("target").cast("long").alias("event_id"), "user", "timestamp", "action"))
+    q = (LL.lockout_updates(src, 3).writeStream.outputMode("append").format("parquet")
+           .option("path", f"{base}/sink").option("checkpointLocation", f"{base}/checkpoint")
+           .trigger(availableNow=True).start())
+    q.awaitTermination()
+    out = spark.read.parquet(f"{base}/sink")
+    return out.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+
+
 # ------------------------------------------------------------------ drift
 
 def _ref_cur(spark, d):
