@@ -13,8 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimlens.functions.exprs import (money, money_mean, money_std, money_sum, rounded,
-                                       safe_div)
+from claimlens.functions.exprs import money, money_mean, money_sum, rounded, safe_div
 from claimlens.operators.common import exact_percentiles, top_n
 
 # ---------------------------------------------------------------- A1 / A2

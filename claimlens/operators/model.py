@@ -13,6 +13,7 @@ from __future__ import annotations
 import datetime as _dt
 import itertools
 import math
+import pickle
 import random
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -183,6 +184,34 @@ def _mlp_grads(W, X, y, act):
     return grads[::-1], float(((acts[-1][:, 0] - y) ** 2).sum())
 
 
+def _local_epochs(W, X, y, act, solver, lr, batch, epochs, rng):
+    """Mini-batch epochs over one partition's rows (Adam or plain SGD)."""
+    m = [(np.zeros_like(w), np.zeros_like(b)) for w, b in W]
+    v = [(np.zeros_like(w), np.zeros_like(b)) for w, b in W]
+    t = 0
+    for _ in range(epochs):
+        order = rng.permutation(len(X))
+        for s in range(0, len(X), batch):
+            ix = order[s:s + batch]
+            grads, _ = _mlp_grads(W, X[ix], y[ix], act)
+            t += 1
+            new = []
+            for i, ((w, b), (gw, gb)) in enumerate(zip(W, grads)):
+                gw, gb = gw / len(ix), gb / len(ix)
+                if solver == "adam":
+                    mw, mb = (0.9 * m[i][0] + 0.1 * gw, 0.9 * m[i][1] + 0.1 * gb)
+                    vw, vb = (0.999 * v[i][0] + 0.001 * gw ** 2, 0.999 * v[i][1] + 0.001 * gb ** 2)
+                    m[i], v[i] = (mw, mb), (vw, vb)
+                    c1, c2 = 1 - 0.9 ** t, 1 - 0.999 ** t
+                    w = w - lr * (mw / c1) / (np.sqrt(vw / c2) + 1e-8)
+                    b = b - lr * (mb / c1) / (np.sqrt(vb / c2) + 1e-8)
+                else:
+                    w, b = w - lr * gw, b - lr * gb
+                new.append((w, b))
+            W = new
+    return W
+
+
 class MLPRegressorModel(Model):
     """Scores with the averaged weights (pandas UDF, one Arrow batch at a time)."""
 
@@ -240,46 +269,17 @@ class MLPRegressorEstimator(Estimator):
             bw = spark.sparkContext.broadcast([(w.tolist(), b.tolist()) for w, b in W])
 
             def local(batches, _bw=bw, _r=r):
-                import pickle
                 from pyspark import TaskContext
-                pdfs = list(batches)
-                if not pdfs:
-                    return
-                pdf = pd.concat(pdfs)
+                pdf = pd.concat(list(batches) or [pd.DataFrame({"x": [], "y": []})])
                 if not len(pdf):
                     return
                 X = np.stack(pdf["x"].to_numpy())
                 y = pdf["y"].to_numpy(dtype="float64")
-                Wl = [(np.asarray(w), np.asarray(b)) for w, b in _bw.value]
-                m = [(np.zeros_like(w), np.zeros_like(b)) for w, b in Wl]
-                v = [(np.zeros_like(w), np.zeros_like(b)) for w, b in Wl]
-                g = np.random.default_rng([_r, TaskContext.get().partitionId()])
-                t = 0
-                for _ in range(epochs):
-                    order = g.permutation(len(X))
-                    for s in range(0, len(X), batch):
-                        ix = order[s:s + batch]
-                        grads, _ = _mlp_grads(Wl, X[ix], y[ix], act)
-                        t += 1
-                        new = []
-                        for i, ((w, b), (gw, gb)) in enumerate(zip(Wl, grads)):
-                            gw, gb = gw / len(ix), gb / len(ix)
-                            if solver == "adam":
-                                mw, mb = m[i]
-                                vw, vb = v[i]
-                                mw, mb = 0.9 * mw + 0.1 * gw, 0.9 * mb + 0.1 * gb
-                                vw, vb = 0.999 * vw + 0.001 * gw ** 2, 0.999 * vb + 0.001 * gb ** 2
-                                m[i], v[i] = (mw, mb), (vw, vb)
-                                c1, c2 = 1 - 0.9 ** t, 1 - 0.999 ** t
-                                w = w - lr * (mw / c1) / (np.sqrt(vw / c2) + 1e-8)
-                                b = b - lr * (mb / c1) / (np.sqrt(vb / c2) + 1e-8)
-                            else:
-                                w, b = w - lr * gw, b - lr * gb
-                            new.append((w, b))
-                        Wl = new
+                W0 = [(np.asarray(w), np.asarray(b)) for w, b in _bw.value]
+                rng_local = np.random.default_rng([_r, TaskContext.get().partitionId()])
+                Wl = _local_epochs(W0, X, y, act, solver, lr, batch, epochs, rng_local)
                 yield pd.DataFrame({"w": [pickle.dumps(Wl)], "n": [len(X)]})
 
-            import pickle
             parts = data.mapInPandas(local, out_schema).collect()  # one row per partition
             bw.unpersist()
             tot = sum(p["n"] for p in parts)
