@@ -41,7 +41,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
-    path = tempfile.mkdtemp(prefix="claimlens-ckpt-")  # tests only: nothing configured
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/object store): "
+                           "intermediate tables must survive executor loss")
+    path = tempfile.mkdtemp(prefix="claimlens-ckpt-")  # local mode only: nothing configured
     sc.setCheckpointDir(path)
     return path
 
