@@ -263,3 +263,52 @@ def exact_percentiles(df: DataFrame, specs: Sequence[tuple[str, float]],
 
 def exact_percentile(df: DataFrame, col: str, q: float, accuracy: int = 10000) -> float | None:
     return exact_percentiles(df, [(col, q)], accuracy)[(col, q)]
+
+
+def grouped_percentile(df: DataFrame, keys: Sequence[str], col: str, q: float,
+                       accuracy: int = 10000, out_col: str = "percentile") -> DataFrame:
+    """Exact linear-interpolated percentile of ``col`` per group, with no group's
+    values gathered in one task (a group may hold a large share of the rows).
+
+    Per group a sketch brackets the wanted order statistics (grouped
+    ``percentile_approx``: bounded state, map-side combined); rows are counted
+    below and inside the bracket; only the bracketed rows are ranked, by
+    ``global_rank`` over (keys, value), which range-partitions them so a large
+    group is split across tasks. A group whose bracket misses ranks all its rows
+    (still distributed). Returns one row per group: keys, ``out_col``.
+    """
+    keys = list(keys)
+    x = F.col(col).cast("double")
+    vals = df.select(*keys, x.alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    eps = 2.0 / accuracy
+    lo_q, hi_q = max(0.0, q - eps), min(1.0, q + eps)
+    st = vals.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
+                                 F.percentile_approx("_v", [lo_q, hi_q], accuracy).alias("_b"))
+    lo = F.lit(None).cast("double") if lo_q == 0.0 else F.col("_b")[0]
+    hi = F.lit(None).cast("double") if hi_q == 1.0 else F.col("_b")[1]
+    st = st.select(*keys, "_n", lo.alias("_lo"), hi.alias("_hi"))
+    in_band = ((F.col("_lo").isNull() | (F.col("_v") >= F.col("_lo")))
+               & (F.col("_hi").isNull() | (F.col("_v") <= F.col("_hi"))))
+    j = vals.join(st, keys)  # one row per group on the right: AQE broadcasts or skew-splits
+    cnt = j.groupBy(*keys).agg(
+        F.count_if(F.col("_lo").isNotNull() & (F.col("_v") < F.col("_lo"))).alias("_below"),
+        F.count_if(in_band).alias("_width"))
+    pos = F.lit(q) * (F.col("_n") - 1)
+    meta = (st.join(cnt, keys)
+              .withColumn("_qpos", pos)
+              .withColumn("_r1", F.floor(pos).cast("long"))
+              .withColumn("_r2", F.ceil(pos).cast("long")))
+    hit = (F.col("_below") <= F.col("_r1")) & (F.col("_r2") < F.col("_below") + F.col("_width"))
+    meta = meta.withColumn("_base", F.when(hit, F.col("_below")).otherwise(F.lit(0)).cast("long")) \
+               .withColumn("_whole", ~hit)
+    band = (vals.join(meta.select(*keys, "_lo", "_hi", "_whole", "_base", "_r1", "_r2", "_qpos"), keys)
+                .filter(F.col("_whole") | in_band))
+    ranked = global_rank(band, keys + ["_v"], rank_col="_g")
+    start = ranked.groupBy(*keys).agg(F.min("_g").alias("_g0"))
+    local = ranked.join(start, keys).withColumn("_k", F.col("_g") - F.col("_g0") + F.col("_base"))
+    picks = local.groupBy(*keys).agg(
+        F.max(F.when(F.col("_k") == F.col("_r1"), F.col("_v"))).alias("_v1"),
+        F.max(F.when(F.col("_k") == F.col("_r2"), F.col("_v"))).alias("_v2"),
+        F.first("_qpos").alias("_qpos"), F.first("_r1").alias("_r1"))
+    return picks.select(*keys, (F.col("_v1") + (F.col("_v2") - F.col("_v1"))
+                                * (F.col("_qpos") - F.col("_r1"))).alias(out_col))

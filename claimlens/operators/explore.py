@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimlens.functions.exprs import money, money_mean, money_sum, rounded, safe_div
-from claimlens.operators.common import exact_percentiles, top_n
+from claimlens.operators.common import exact_percentiles, grouped_percentile, top_n
 
 # ---------------------------------------------------------------- A1 / A2
 
@@ -85,27 +85,38 @@ def temporal_ci(df: DataFrame, unit: str = "week", date: str = "date",
 # ---------------------------------------------------------------- A5 – A9
 
 def provider_stats(df: DataFrame, provider: str = "provider_id", amount: str = "amount",
-                   flag: str = "fraud_flag", approx_median: bool = False) -> DataFrame:
+                   flag: str = "fraud_flag", approx_median: bool = False,
+                   median: str = "merge") -> DataFrame:
     """Per provider: total, count, mean, median amount and mean fraud flag.
 
-    A bad amount counts as 0 and a missing flag as 0. The exact median keeps a
-    value->count map per group whose size is bounded by the distinct cent values
-    of the group, and is pre-aggregated map-side; ``approx_median`` switches to a
-    fixed-size sketch for unbounded-cardinality columns.
+    A bad amount counts as 0 and a missing flag as 0. Median strategies:
+    ``merge`` (default): Spark's exact percentile, a value->count map per group
+    combined map-side; the final merge of one group happens in one task and is
+    bounded by that group's distinct cent values. ``distributed``:
+    ``grouped_percentile`` ranks only sketch-bracketed rows across tasks, for
+    groups too large for one task. ``approx_median``: a fixed-size sketch.
     """
     amt = F.coalesce(F.col(amount).cast("double"), F.lit(0.0))
     flg = (F.coalesce(F.col(flag).cast("double"), F.lit(0.0)) if flag in df.columns
            else F.lit(0.0))
     a = F.col("_amt")
-    med = F.percentile_approx(a, 0.5, 10000) if approx_median else F.median(a)
-    return (df.filter(F.col(provider).isNotNull())
-              .select(F.col(provider), amt.alias("_amt"), flg.alias("_flg"))
-              .groupBy(provider)
-              .agg(F.sum(money("_amt")).cast("double").alias("total_amount"),
-                   F.count(F.lit(1)).alias("total_claims"),
-                   (F.sum(money("_amt")).cast("double") / F.count(F.lit(1))).alias("avg_amount"),
-                   rounded(med.cast("double")).alias("median_amount"),
-                   F.avg("_flg").alias("fraud_rate")))
+    aggs = [F.sum(money("_amt")).cast("double").alias("total_amount"),
+            F.count(F.lit(1)).alias("total_claims"),
+            (F.sum(money("_amt")).cast("double") / F.count(F.lit(1))).alias("avg_amount")]
+    distributed = median == "distributed" and not approx_median
+    if not distributed:
+        med = F.percentile_approx(a, 0.5, 10000) if approx_median else F.median(a)
+        aggs.append(rounded(med.cast("double")).alias("median_amount"))
+    aggs.append(F.avg("_flg").alias("fraud_rate"))
+    src = (df.filter(F.col(provider).isNotNull())
+             .select(F.col(provider), amt.alias("_amt"), flg.alias("_flg")))
+    out = src.groupBy(provider).agg(*aggs)
+    if not distributed:
+        return out
+    med = grouped_percentile(src, [provider], "_amt", 0.5, out_col="median_amount")
+    return (out.join(med.withColumn("median_amount", rounded(F.col("median_amount"))), provider)
+               .select(provider, "total_amount", "total_claims", "avg_amount", "median_amount",
+                       "fraud_rate"))
 
 
 def _overall_mean(df: DataFrame, amount: str) -> DataFrame:

@@ -75,6 +75,12 @@ def _q(spark, d):
     return explore.provider_stats(_claims(spark, d))
 
 
+@register("provider_stats_distributed", S.PROVIDER_STATS)
+def _q(spark, d):
+    """Same table, exact medians ranked across tasks (no group merged in one task)."""
+    return explore.provider_stats(_claims(spark, d), median="distributed")
+
+
 @register("provider_efficiency", S.PROVIDER_EFFICIENCY)
 def _q(spark, d):
     return explore.provider_efficiency(_claims(spark, d))

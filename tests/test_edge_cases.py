@@ -390,3 +390,21 @@ def test_label_files_per_file(spark):
             f.write(body)
     out = {os.path.basename(r["file_path"]): r["format"] for r in ingest.label_files(spark, d).collect()}
     assert out == {"c.csv": "client", "t.csv": "test", "w.csv": "client", "u.csv": "unknown"}
+
+
+def test_grouped_percentile_hot_group_matches_numpy(spark):
+    rng = np.random.default_rng(21)
+    rows = [("hot" if i % 3 else f"g{i % 5}", float(np.round(rng.normal(100, 30), 2))) for i in range(6000)]
+    rows += [("one", 7.0)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {r["g"]: r["p"] for r in common.grouped_percentile(df, ["g"], "x", 0.5, out_col="p").collect()}
+    pdf = pd.DataFrame(rows, columns=["g", "x"])
+    for g, grp in pdf.groupby("g"):
+        assert got[g] == pytest.approx(np.percentile(grp.x, 50), rel=1e-12, abs=0)
+    # the distributed strategy gives the same provider table as the default
+    claims = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select(
+        (F.col("l_suppkey") % 7).cast("string").alias("provider_id"),
+        F.col("l_extendedprice").alias("amount"), F.lit(0).alias("fraud_flag"))
+    a = explore.provider_stats(claims).orderBy("provider_id").collect()
+    b = explore.provider_stats(claims, median="distributed").orderBy("provider_id").collect()
+    assert a == b
