@@ -463,20 +463,19 @@ class FraudModel:
 
 def fit_fraud_model(train: DataFrame, feats: PipelineModel, n_trees: int = 100,
                     contamination: float = 0.01, seed: int = 42) -> FraudModel:
-    """Isolation forest on the model's feature vectors (one-hot + scaled)."""
-    x = _expand(feats.transform(train))
-    cols = [c for c in x.columns if c.startswith("_f")]
-    forest = IF.iforest_fit(x, cols, n_trees=n_trees, seed=seed, standardize=False)
-    scored = cut_lineage(IF.iforest_score(x, forest))
+    """Isolation forest on the model's feature vectors (one-hot + scaled), passed
+    to the forest as one array column."""
+    x = _as_array(feats.transform(train))
+    forest = IF.iforest_fit(x, [], n_trees=n_trees, seed=seed, array_col="_xa",
+                            key_cols=[c for c in train.columns])
+    scored = cut_lineage(IF.iforest_score(x, forest).select("anomaly_score"))
     offset = exact_percentile(scored, "anomaly_score", contamination)
     thr = exact_percentile(scored.withColumn("_d", F.col("anomaly_score") - F.lit(offset)), "_d", 0.01)
     return FraudModel(forest, offset, thr)
 
 
-def _expand(df: DataFrame, features_col: str = "features") -> DataFrame:
-    dim = len(feature_names(df, features_col)) or len(df.first()[features_col])
-    arr = vector_to_array(F.col(features_col))
-    return df.select("*", *[arr[i].alias(f"_f{i}") for i in range(dim)])
+def _as_array(df: DataFrame, features_col: str = "features") -> DataFrame:
+    return df.withColumn("_xa", vector_to_array(F.col(features_col)))
 
 
 def score_claims(df: DataFrame, model: PipelineModel, fraud: FraudModel | None = None) -> DataFrame:
@@ -485,11 +484,10 @@ def score_claims(df: DataFrame, model: PipelineModel, fraud: FraudModel | None =
     scored = model.transform(df).withColumnRenamed("prediction", "predicted_amount")
     if fraud is None:
         return scored.withColumn("is_potential_fraud", F.lit(False))
-    x = IF.iforest_score(_expand(scored), fraud.forest)
+    x = IF.iforest_score(_as_array(scored), fraud.forest)
     d = F.col("anomaly_score") - F.lit(fraud.offset)
-    drop = [c for c in x.columns if c.startswith("_f")]
     return (x.withColumn("is_potential_fraud", d < F.lit(fraud.threshold))
-             .withColumn("fraud_confidence", F.lit(1.0) - d).drop(*drop))
+             .withColumn("fraud_confidence", F.lit(1.0) - d).drop("_xa"))
 
 
 def prediction_summary(scored: DataFrame) -> DataFrame:
