@@ -500,11 +500,28 @@ def _q(spark, d):
     return M.fill_defaults(src, req, AS_OF, num)
 
 
+_MODELS: dict = {}
+
+
+def _memo(spark, d, name, make):
+    """Trained artefacts kept per session and input version (a small model
+    registry), so analyses that share a model train it once."""
+    key = (spark.sparkContext.applicationId, fx._stamp(d), name)
+    if key not in _MODELS:
+        _MODELS[key] = make()
+    return _MODELS[key]
+
+
 def _split(spark, d):
     """Cleaned claims with the temporal split, materialised once in the shared
     checkpoint folder so feature fitting, training and evaluation do not
     recompute the joins and statistics passes."""
-    return cut_lineage(M.temporal_split(clean.clean_claims(_claims(spark, d), AS_OF), 0.2))
+    return _memo(spark, d, "split", lambda: cut_lineage(
+        M.temporal_split(clean.clean_claims(_claims(spark, d), AS_OF), 0.2)))
+
+
+def _gbt(spark, d):
+    return _memo(spark, d, "gbt", lambda: M.train_and_evaluate(_split(spark, d), "gbt", M.gbt(**GBT_PARAMS)))
 
 
 def _metrics_row(spark, name, t):
@@ -520,8 +537,7 @@ BOOSTED_PARAMS = {"maxIter": 100, "maxDepth": 6, "stepSize": 0.3}
 
 @register("train_gbt", None, "randomised model; property-tested")
 def _q(spark, d):
-    return _metrics_row(spark, "GradientBoosting",
-                        M.train_and_evaluate(_split(spark, d), "gbt", M.gbt(**GBT_PARAMS)))
+    return _metrics_row(spark, "GradientBoosting", _gbt(spark, d))
 
 
 @register("train_rf", None, "randomised model; property-tested")
@@ -561,16 +577,14 @@ def _q(spark, d):
 
 @register("feature_importance", None, "importances of a randomised model")
 def _q(spark, d):
-    sp = _split(spark, d)
-    t = M.train_and_evaluate(sp, "gbt", M.gbt(**GBT_PARAMS))
-    return M.feature_importance(t.model, sp)
+    return M.feature_importance(_gbt(spark, d).model, _split(spark, d))
 
 
 def _scored(spark, d):
     sp = _split(spark, d)
-    t = M.train_and_evaluate(sp, "gbt", M.gbt(**GBT_PARAMS))
-    fm = M.fit_fraud_model(sp.filter(F.col("split") == "train"), t.model.stages[0], n_trees=100,
-                           contamination=0.01)
+    t = _gbt(spark, d)
+    fm = _memo(spark, d, "fraud", lambda: M.fit_fraud_model(
+        sp.filter(F.col("split") == "train"), t.model.stages[0], n_trees=100, contamination=0.01))
     return M.score_claims(sp.filter(F.col("split") == "test"), t.model, fm)
 
 
@@ -588,7 +602,7 @@ def _q(spark, d):
 @register("shapley_contributions", None, "Monte-Carlo Shapley values; additivity-tested")
 def _q(spark, d):
     sp = _split(spark, d)
-    t = M.train_and_evaluate(sp, "gbt", M.gbt(**GBT_PARAMS))
+    t = _gbt(spark, d)
     test = sp.filter(F.col("split") == "test").withColumn(
         "row_id", F.xxhash64("claim_id", "line_no", "amount", "date"))
     explain = test.orderBy("row_id").limit(20)   # the explained sample is the operator's input
