@@ -127,7 +127,9 @@ def temporal_split(df: DataFrame, test: float = 0.2, date: str | None = "submiss
     offsets), never with a single-partition window.
     """
     if not date or date not in df.columns:
-        return df.withColumn("split", F.when(F.rand(seed) < 1.0 - test, "train").otherwise("test"))
+        # seeded draw from a hash of the row: the same split under any partitioning
+        u = F.xxhash64(*[F.col(c) for c in df.columns], F.lit(seed)).bitwiseAND(F.lit(2**53 - 1)) / F.lit(float(2**53))
+        return df.withColumn("split", F.when(u < 1.0 - test, "train").otherwise("test"))
     tie = list(tie_break) if tie_break is not None else [c for c in df.columns if c != date]
     n = df.count()
     n_train = int(n * (1.0 - test))
