@@ -195,13 +195,25 @@ def calendar_features(df: DataFrame, date: str = "submission_date") -> DataFrame
 
 def clean_claims(df: DataFrame, as_of: _dt.date = _dt.date(2002, 1, 1),
                  sparse_pct: float = SPARSE_PCT) -> DataFrame:
-    """C1 -> C10 composed. Statistics: pass 1 = missing shares + medians of the
-    coerced frame; pass 2 = median and quartiles of the fixed amount."""
+    """C1 -> C10 composed. Statistics: missing shares, medians of the coerced
+    numeric columns, then one shared pass for the amount's median and quartile
+    edges (recomputed only if some amount needed fixing)."""
     x = coerce_types(df)
     x = drop_sparse_columns(x, sparse_pct)
     x = impute(x)
+    edges = None
     if "amount" in x.columns:
-        x = fix_amount(x, "amount")
+        # |amount|; its median and quartile edges come from one shared percentile
+        # pass. Only when some amount is non-positive (an early-exit probe) is the
+        # median substituted and the edges recomputed on the fixed column.
+        x = x.withColumn("amount", F.abs(F.col("amount").cast("double")))
+        probs = (0.5, 0.0, 0.25, 0.75, 1.0)
+        q = exact_percentiles(x, [("amount", p) for p in probs])
+        if x.filter(F.col("amount") <= 0).take(1):
+            x = x.withColumn("amount", F.when(F.col("amount") <= 0, F.lit(q[("amount", 0.5)]))
+                                        .otherwise(F.col("amount")))
+        else:
+            edges = [q[("amount", p)] for p in (0.0, 0.25, 0.5, 0.75, 1.0)]
     if "employee_age" in x.columns:
         x = clip_age(x)
     if "department" not in x.columns:
@@ -211,7 +223,7 @@ def clean_claims(df: DataFrame, as_of: _dt.date = _dt.date(2002, 1, 1),
     if "employee_age" in x.columns:
         x = age_group(x)
     if "amount" in x.columns:
-        x = claim_size(x)
+        x = claim_size(x, edges=edges)
     if "submission_date" in x.columns:
         x = calendar_features(x)
     return x

@@ -408,3 +408,13 @@ def test_grouped_percentile_hot_group_matches_numpy(spark):
     a = explore.provider_stats(claims).orderBy("provider_id").collect()
     b = explore.provider_stats(claims, median="distributed").orderBy("provider_id").collect()
     assert a == b
+
+
+def test_clean_claims_fixes_non_positive_amounts(spark):
+    rows = [(30, a, D(2021, 6, 1), D(2021, 1, 1)) for a in (0.0, -4.0, 2.0, 6.0)]
+    df = spark.createDataFrame(rows, "employee_age int, amount double, hire_date date, submission_date date")
+    out = clean.clean_claims(df, D(2022, 1, 1)).select("amount", "claim_size").collect()
+    fixed = [r["amount"] for r in out]
+    assert fixed == [3.0, 4.0, 2.0, 6.0]  # |x| median (0, 2, 4, 6) = 3 replaces the zero
+    exp = pd.qcut(pd.Series(fixed), 4, labels=clean.SIZE_LABELS).astype(str).tolist()
+    assert [r["claim_size"] for r in out] == exp
