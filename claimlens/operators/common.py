@@ -148,10 +148,28 @@ def prefix_sums(df: DataFrame, order_cols: Sequence[str | Column], sum_cols: Seq
 
 def global_rank(df: DataFrame, order_cols: Sequence[str | Column], n_parts: int | None = None,
                 rank_col: str = "rank") -> DataFrame:
-    """1-based position of each row in the total order of ``order_cols``."""
-    withone = df.withColumn("_one", F.lit(1.0))
-    ranked = prefix_sums(withone, order_cols, ["_one"], n_parts)
-    return ranked.withColumn(rank_col, F.col("cum__one").cast("long")).drop("_one", "cum__one")
+    """1-based position of each row in the total order of ``order_cols``, JVM-only.
+
+    Range-partition and sort within partitions; in the same stage
+    ``monotonically_increasing_id`` is (partition id << 33) + the row's position
+    inside its sorted partition. The ranged rows are materialised once (stable
+    partition ids), the per-partition row counts (one row per partition) give
+    each partition's offset, and rank = offset + position + 1.
+    """
+    spark = df.sparkSession
+    n_parts = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = _sort_cols(order_cols)
+    ranged = (df.repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
+                .withColumn("__pid", F.spark_partition_id())
+                .withColumn("__mid", F.monotonically_increasing_id()))
+    mat = cut_lineage(ranged)
+    counts = mat.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__pid", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
+    pos = F.col("__mid") - F.shiftleft(F.col("__pid").cast("long"), 33)
+    return (mat.join(F.broadcast(offsets), "__pid")   # one row per partition
+               .withColumn(rank_col, (F.col("__off") + pos + 1).cast("long"))
+               .drop("__pid", "__mid", "__off"))
 
 
 SMALL_BAND_ROWS = 2_000_000
