@@ -241,10 +241,12 @@ def histogram(df: DataFrame, col: str = "amount", bins: int = 20) -> DataFrame:
                       "count"))
 
 
-def value_counts(df: DataFrame, col: str) -> DataFrame:
-    """Frequency table, nulls dropped. Order with ``orderBy(desc count, value)``."""
-    return (df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("value"))
-              .agg(F.count(F.lit(1)).alias("count")))
+def value_counts(df: DataFrame, col: str, ordered: bool = False) -> DataFrame:
+    """Frequency table, nulls dropped; with ``ordered`` sorted by descending count,
+    ties by value (a range-partitioned sort of the aggregated table)."""
+    out = (df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("value"))
+             .agg(F.count(F.lit(1)).alias("count")))
+    return out.orderBy(F.col("count").desc(), F.col("value").asc()) if ordered else out
 
 
 def distinct_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -418,3 +418,9 @@ def test_clean_claims_fixes_non_positive_amounts(spark):
     assert fixed == [3.0, 4.0, 2.0, 6.0]  # |x| median (0, 2, 4, 6) = 3 replaces the zero
     exp = pd.qcut(pd.Series(fixed), 4, labels=clean.SIZE_LABELS).astype(str).tolist()
     assert [r["claim_size"] for r in out] == exp
+
+
+def test_value_counts_ordered(spark):
+    df = spark.createDataFrame([("b",), ("a",), ("b",), ("c",), ("a",), (None,)], "t string")
+    assert [tuple(r) for r in explore.value_counts(df, "t", ordered=True).collect()] == [
+        ("a", 2), ("b", 2), ("c", 1)]
