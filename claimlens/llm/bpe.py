@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Iterator
 
@@ -59,7 +60,7 @@ def _plain_pattern() -> re.Pattern:
 class WordBPE:
     """Encoder and decoder for a word-level BPE file of the tokenizers library."""
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 1_000_000):
         import ahocorasick
         from tokenizers import Tokenizer
         with open(path, encoding="utf-8") as f:
@@ -80,7 +81,7 @@ class WordBPE:
         self.right, self.left, self.pairs, self.sound = {}, {}, {}, {}
         self.auto = ahocorasick.Automaton()
         for t, i in self.vocab.items():
-            if i in self.special.values():
+            if i in self.special.values() or not self._is_sound(i):
                 continue
             s = t[:-len(self.mark)] + _END if self.mark and t.endswith(self.mark) and t != self.mark else t
             self.auto.add_word(s, (i, len(s)))
@@ -127,7 +128,7 @@ class WordBPE:
         return self.sound[token]
 
     def compatible(self, left: int, right: int) -> bool:
-        key = (left, right)
+        key = left << 32 | right
         ok = self.pairs.get(key)
         if ok is None:
             if len(self.pairs) > 500_000:
@@ -150,13 +151,11 @@ class WordBPE:
                 before = last[start]
                 if before < 0:
                     continue
-                ok = pairs.get((before, token))
+                ok = pairs.get(before << 32 | token)
                 if ok is None:
                     ok = self.compatible(before, token)
                 if not ok:
                     continue
-            if not self._is_sound(token):
-                continue
             last[end], at[end] = token, start
         if last[n] < 0:
             raise ValueError(f"no encoding for {word!r}")
@@ -187,8 +186,9 @@ class WordBPE:
                 continue
             own = self._split(piece)
             for w in set(own).difference(words):
-                ids = self.word_ids("".join([self.letters[b] for b in w.encode("utf-8", "surrogateescape")]))
-                words[w] = (np.array(ids, "<u4").tobytes(), " ".join([self.name[t] for t in ids]))
+                ids = self.word_ids(w if w.isascii() and w.isprintable() else
+                                    "".join([self.letters[b] for b in w.encode("utf-8", "surrogateescape")]))
+                words[w] = (struct.pack(f"<{len(ids)}I", *ids), " ".join([self.name[t] for t in ids]))
             got = [words[w] for w in own]
             packed.append(b"".join([g[0] for g in got]))
             names.extend([g[1] for g in got])
