@@ -32,7 +32,8 @@ NULL_KEY = -(1 << 63)
 # A space with no white space beside it always opens a new piece of the byte-level
 # pre-tokenizer, so a text may be encoded chunk by chunk between such spaces.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
-_SAFE = re.compile(r" ?\S(?:.*\S)?", re.S).fullmatch
+_SAFE = re.compile(r"\S(?:.*\S)?", re.S).fullmatch
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'"
 _LONG = 64               # longer chunks are not kept
 
 
@@ -42,62 +43,98 @@ class ChunkEncoder:
     def __init__(self, path: str, dtype: str, keep: int = 600_000):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.dtype, self.keep, self.known = dtype, keep, {}
+        self.dtype, self.keep, self.known, self.marks = dtype, keep, {}, {}
+        # the same tokenizer for chunks that are one piece already
+        self.plain = Tokenizer.from_file(path)
+        self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.size = np.zeros(self.tok.get_vocab_size(), dtype=np.int64)
+        for name, i in self.tok.get_vocab().items():
+            self.size[i] = len(name)
 
     def _pack(self, ids) -> bytes:
         return np.array(ids, dtype=self.dtype).tobytes()
 
-    def _learn(self, chunks: list[str], into: dict) -> None:
-        """Encode chunks, many in one call of the library."""
+    def _encode(self, tok, chunks: list[str], into: dict, lead: str) -> None:
+        """Encode chunks (each after ``lead``), many in one call of the library.
+
+        A token stands for as many bytes as its name has letters, which tells where
+        the ids of a chunk end."""
         width = np.dtype(self.dtype).itemsize
-        for lo in range(0, len(chunks), 20_000):
-            part = chunks[lo:lo + 20_000]
-            e = self.tok.encode(part, is_pretokenized=True, add_special_tokens=False)
-            flat = self._pack(e.ids)
-            ends = np.searchsorted(np.array(e.word_ids), np.arange(len(part)), side="right") * width
-            at = 0
-            for c, end in zip(part, ends.tolist()):
-                into[c] = flat[at:end]
-                at = end
+        for lo in range(0, len(chunks), 5_000):
+            part = chunks[lo:lo + 5_000]
+            ids = tok.encode_batch_fast([[lead + c for c in part]], is_pretokenized=True, add_special_tokens=False)[0].ids
+            ids = np.array(ids, dtype=np.int64)
+            ends = np.cumsum([len(lead) + (len(c) if c.isascii() else len(c.encode())) for c in part])
+            at = np.searchsorted(np.cumsum(self.size[ids]), ends) + 1
+            flat, begin = self._pack(ids), 0
+            for c, end in zip(part, (at * width).tolist()):
+                into[c] = flat[begin:end]
+                begin = end
+
+    def _learn(self, chunks: set) -> None:
+        """Encode unknown chunks that follow a space. Letters and the marks after them
+        are pieces of their own, so each is encoded once and then put together."""
+        known, plain, other, made = self.known, {}, [], []
+        for c in chunks:
+            stem = c.rstrip(_MARKS)
+            if not stem.isalpha():
+                other.append(c)
+                continue
+            if stem not in known:
+                plain[stem] = None
+            if stem != c:
+                made.append((c, stem, c[len(stem):]))
+        marks = {m for _, _, m in made if m not in self.marks}
+        self._encode(self.plain, list(plain), known, " ")
+        self._encode(self.tok, list(marks), self.marks, "")
+        self._encode(self.tok, other, known, " ")
+        for c, stem, tail in made:
+            known[c] = known[stem] + self.marks[tail]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, packed."""
         if len(self.known) > self.keep:
             self.known.clear()
-        known, cut, new, odd = self.known, [], set(), set()
+            self.marks.clear()
+        known, cut, new, heads, odd = self.known, [], set(), {}, {}
         for t in texts:
-            if any(s in t for s in self.special):   # the library finds special tokens itself
+            if any(s in t for s in self.special):      # the library finds special tokens itself
                 cut.append(None)
                 continue
-            own = [" " + p for p in t.split(" ")]
-            own[0] = own[0][1:]
-            if not own[0]:
-                del own[0]
-            miss = set(own).difference(known)
-            if not all(map(_SAFE, miss)):           # white space runs: cut only at safe places
-                own = _CUT.split(t)
-                miss = set(own).difference(known)
+            head, *rest = t.split(" ")
+            got = list(map(known.get, rest))
+            gaps = [i for i, g in enumerate(got) if g is None]
+            miss = {rest[i] for i in gaps}
+            if not all(map(_SAFE, miss)) or rest and not _SAFE(head):
+                head, *rest = _CUT.split(t)            # white space runs: cut only at safe places
+                rest = [c[1:] for c in rest]
+                got = list(map(known.get, rest))
+                gaps = [i for i, g in enumerate(got) if g is None]
+                miss = {rest[i] for i in gaps}
                 strange = {c for c in miss if len(c) > _LONG or not _SAFE(c)}
-                odd |= strange
+                odd.update(dict.fromkeys(strange))
                 miss -= strange
+            heads[head] = b""
             new |= miss
-            cut.append(own)
-        self._learn(list(new), known)
-        once: dict = {}
-        self._learn(list(odd), once)
+            cut.append((head, rest, got, gaps))
+        self._learn(new)
+        self._encode(self.tok, [h for h in heads if h], heads, "")
+        self._encode(self.tok, list(odd), odd, " ")
         out = []
         for t, own in zip(texts, cut):
             if own is None:
                 out.append(self._pack(self.tok.encode(t, add_special_tokens=False).ids))
-            elif odd:
-                out.append(b"".join([once[c] if c in once else known[c] for c in own]))
-            else:
-                out.append(b"".join([known[c] for c in own]))
+                continue
+            head, rest, got, gaps = own
+            for i in gaps:
+                c = rest[i]
+                got[i] = odd[c] if c in odd else known[c]
+            out.append(heads[head] + b"".join(got))
         return out
 
 
