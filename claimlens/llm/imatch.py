@@ -7,7 +7,9 @@ are noise. Its size is bounded by the mean number of distinct terms divided by `
 whatever the corpus. Randomised subsets of the lexicon are drawn by md5: ``SUBSETS``
 subsets at each of several densities, so that texts of every length have subsets that
 hold a few of their terms. The fingerprint hashes, for each subset, the sorted distinct
-terms of the text that lie in it (six hex digits, ``------`` for none).
+terms of the text that lie in it (six hex digits of an md5; that of the empty string
+stands for no term). Densities at which a subset would hold more than ``MANY`` of the
+text's terms on average are left empty: they would change with every word.
 
 The likeness of two fingerprints is, at the density where it is largest, the share of
 subsets with equal hashes among those that are not empty in both; at least ``FEW`` such
@@ -32,10 +34,10 @@ from claimlens.llm.common import cut_lineage, partitions
 
 LOW, HIGH = 0.001, 0.05
 DENSITIES = (4, 16, 64, 256, 1024)     # a subset holds one in so many lexicon terms
-SUBSETS, HEX, FEW = 8, 6, 3
+SUBSETS, HEX, FEW, MANY = 8, 6, 3, 8
 PLACES = len(DENSITIES) * SUBSETS
 BROADCAST_TERMS = 1_000_000             # larger lexicons are joined by shuffle
-_NONE = "-" * HEX
+_NONE = "d41d8c"                         # md5 of the empty string
 
 
 def terms(text: Column) -> Column:
@@ -65,14 +67,31 @@ def lexicon(docs: DataFrame, text: str, low: float, high: float) -> DataFrame:
         counts.select("term", F.substring(F.md5("term"), 1, 16).alias("code"), mask.alias("mask"))))
 
 
-def _print(found: Column, all_hash: Column) -> Column:
-    """Fingerprint of a set of (code, mask)."""
-    def place(p: int) -> Column:
-        own = F.filter(found, lambda t: t["mask"].bitwiseAND(F.lit(1 << p).cast("long")) != 0)
-        return F.when(F.size(own) > 0, F.substring(F.md5(F.array_join(own["code"], ",")), 1, HEX)).otherwise(_NONE)
+def _bits(densities) -> int:
+    return sum(1 << p for d in densities for p in range(d * SUBSETS, (d + 1) * SUBSETS))
 
-    return F.when(F.size(found) >= FEW, F.concat(*[place(p) for p in range(PLACES)])).otherwise(
-        F.repeat(all_hash, PLACES))
+
+def _having(found: Column, bits: int) -> Column:
+    return F.filter(found, lambda t: t["mask"].bitwiseAND(F.lit(bits).cast("long")) != 0)
+
+
+def _print(prints: DataFrame, found: str, all_hash: str, name: str) -> DataFrame:
+    """``prints`` with the fingerprint of a column of sorted sets of (code, mask).
+
+    The terms of each density (the sparse ones together) are picked out first, so the
+    subsets of a density look at its own terms only."""
+    kinds = [(0,), (1,), tuple(range(2, len(DENSITIES)))]
+    size = F.size(found)
+    picked = {f"__{i}": F.when(size <= MANY * DENSITIES[kind[0]], _having(F.col(found), _bits(kind))).otherwise(F.array())
+              if len(kind) == 1 else _having(F.col(found), _bits(kind)) for i, kind in enumerate(kinds)}
+    prints = prints.withColumns(picked)
+
+    def place(i: int, d: int, p: int) -> Column:
+        own = F.substring(F.md5(F.array_join(_having(F.col(f"__{i}"), 1 << p)["code"], ",")), 1, HEX)
+        return own if d < 2 else F.when(size <= MANY * DENSITIES[d], own).otherwise(_NONE)
+
+    places = [place(i, d, p) for i, kind in enumerate(kinds) for d in kind for p in range(d * SUBSETS, (d + 1) * SUBSETS)]
+    return prints.withColumn(name, F.when(size >= FEW, F.concat(*places)).otherwise(F.repeat(all_hash, PLACES))).drop(*picked)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -116,39 +135,41 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", low:
     beginning of the next document), with their likenesses."""
     smallest = F.lit(-(1 << 63)).cast("long")
     rows = docs.select(F.coalesce(F.col(key).cast("long"), smallest).alias("k"), F.col(key).isNull().alias("z"),
-                       F.coalesce(F.col(text), F.lit("")).alias("text")).select(
-        "k", "z", F.xxhash64("text").alias("h"), "text", F.length("text").cast("long").alias("n_chars"))
-    chain = next_documents(rows)
+                       F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    length = F.length("text").cast("long")
+    chain = next_documents(rows.select("k", "z", "h", length.alias("n_chars")))
     words = lexicon(rows, "text", low, high)
     if words.count() <= BROADCAST_TERMS:
         words = F.broadcast(words)
-    # what each document takes from its next one
+    # what each document takes from its next one; both joins read one exchange of the texts
     a, c = rows.alias("a"), chain.alias("c")
     taken = (a.join(c, (F.col("a.k") == F.col("nk")) & (F.col("a.z") == F.col("nz")) & (F.col("a.h") == F.col("nh")))
              .select("c.k", "c.z", "c.h", F.substring("text", F.lit(1), F.floor(F.col("c.n_chars") / 3).cast("int"))
                      .alias("piece"))
              .groupBy("k", "z", "h").agg(F.first("piece").alias("piece")))
-    kept = F.substring("text", F.lit(1), (F.col("n_chars") - F.floor(F.col("n_chars") / 3)).cast("int"))
+    kept = F.substring("text", F.lit(1), (length - F.floor(length / 3)).cast("int"))
     both = rows.join(taken, ["k", "z", "h"]).withColumn("edited", F.concat(kept, F.col("piece")))
 
     def all_hash(t: str) -> Column:
         return F.substring(F.md5(F.array_join(F.array_sort(F.col(t)), " ")), 1, HEX)
 
-    listed = both.select("k", "z", "h", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+    listed = both.select("k", "z", "h", length.alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
                          terms(F.col("text")).alias("t0"), terms(F.col("edited")).alias("t1"))
+    whole = ["n_chars", "edited_sha256", "all0", "all1"]
     sides = listed.select("k", "z", "h", "n_chars", "edited_sha256", all_hash("t0").alias("all0"), all_hash("t1").alias("all1"),
                           F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("t0").alias("terms")),
                                             F.struct(F.lit(1).alias("side"), F.col("t1").alias("terms")))).alias("s"))
-    found = (sides.select("k", "z", "h", "n_chars", "edited_sha256", "all0", "all1", F.col("s.side").alias("side"),
-                          F.explode("s.terms").alias("term")).join(words, "term"))
+    # what belongs to the document as a whole rides on the row of its empty term
+    row = (F.col("side") == 0) & (F.col("term") == "")
+    found = (sides.select("k", "z", "h", *whole, F.col("s.side").alias("side"), F.explode("s.terms").alias("term"))
+             .select("k", "z", "h", *[F.when(row, F.col(c)).alias(c) for c in whole], "side", "term").join(words, "term"))
 
     def own(side: int) -> Column:
-        return F.array_sort(F.collect_set(F.when((F.col("side") == side) & (F.col("code") != ""), F.struct("code", "mask"))))
+        return F.array_sort(F.collect_set(F.when((F.col("side") == side) & (F.col("mask") != 0), F.struct("code", "mask"))))
 
-    prints = cut_lineage(
-        found.groupBy("k", "z", "h", "n_chars", "edited_sha256", "all0", "all1").agg(own(0).alias("w0"), own(1).alias("w1"))
-        .select("k", "z", "h", "n_chars", "edited_sha256", _print(F.col("w0"), F.col("all0")).alias("fingerprint"),
-                _print(F.col("w1"), F.col("all1")).alias("edited_fingerprint")))
+    prints = found.groupBy("k", "z", "h").agg(*[F.max(c).alias(c) for c in whole], own(0).alias("w0"), own(1).alias("w1"))
+    prints = _print(prints, "w0", "all0", "fingerprint")
+    prints = cut_lineage(_print(prints, "w1", "all1", "edited_fingerprint").drop("w0", "w1", "all0", "all1"))
     nxt = prints.select(F.col("k").alias("nk"), F.col("z").alias("nz"), F.col("h").alias("nh"),
                         F.col("fingerprint").alias("next_print"))
     out = prints.join(chain.drop("n_chars"), ["k", "z", "h"]).join(nxt, ["nk", "nz", "nh"])
