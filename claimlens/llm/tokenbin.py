@@ -40,7 +40,7 @@ _LONG = 64               # longer chunks are not kept
 class ChunkEncoder:
     """The tokenizers library over whole texts, with the ids of frequent chunks kept."""
 
-    def __init__(self, path: str, dtype: str, keep: int = 600_000):
+    def __init__(self, path: str, dtype: str, keep: int = 1_500_000):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
