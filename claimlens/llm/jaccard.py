@@ -1,13 +1,13 @@
 """Exact n-gram Jaccard join with a token-group matrix.
 
 Each document is the set of its distinct word shingles. Equal sets form a class, and
-one row per class goes on. A class's *tokens* are block signatures: its shingles are
-dealt by hash into P blocks and each block is hashed as a whole. Two sets of size at
-most h that reach the similarity differ in at most D = 2h(1-t)/(1+t) shingles, so with
-P = D + 1 + SLACK blocks they agree in at least P - D of them: qualifying pairs always
-share tokens, while sharing a passage or frequent words does not make tokens equal. P
-depends on a size band; a set joins its own band and the one below, and similar sets
-lie at most one band apart.
+one row per class goes on. A class's *tokens* are its p smallest shingle hashes, where
+p = n - ceil(t n) + l(n) for a set of n shingles, similarity t and l(n) = max(1, n // 8):
+two sets that reach the similarity share at least l of these tokens, l taken at the
+smaller of their sizes (the prefix filter, with room for l common tokens instead of
+one). Since l must be shared, every class may leave out its l - 1 most frequent tokens:
+the rarest shared one always stays. So passages that many documents share, and frequent
+words, do not bring documents together; nearly copied texts meet in their own tokens.
 
 * Groups: classes connected by shared tokens form a cluster, which no link leaves.
   A cluster is one group, or several of bounded size when it is large.
@@ -27,16 +27,14 @@ component of its text and is never its smallest key. Further columns are ignored
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from claimlens.llm import words as W
 from claimlens.llm.common import bounded_batches, components, cut_lineage
 
-SLACK = 3
 GROUP_SHINGLES = 1_000_000      # shingles in a group, the unit of memory in a task
 BROADCAST_ROWS = 2_000_000      # ids; at 16 bytes each, more are joined by shuffle
 _K = [np.uint64(k) for k in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -78,44 +76,16 @@ def shingle_sets(texts: list, n: int) -> list[np.ndarray]:
     return out
 
 
-@lru_cache(maxsize=64)
-def bands(limit: int, num: int, den: int) -> np.ndarray:
-    """Upper sizes of the bands up to ``limit``; sets two bands apart never link."""
-    out, low = [], 1
-    while low <= limit:
-        out.append(low * den // num + 1)
-        low = out[-1] + 1
-    return np.array(out + [low * den // num + 1, (low * den // num + 2) * den // num + 1])
-
-
-def signatures(shingles: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int]:
-    """(tokens, how many of them any linked set shares at least) of one set."""
-    size = len(shingles)
-    upper = bands(1 << size.bit_length(), num, den)
-    own = int(np.searchsorted(upper, size))
-    tokens, need = [], 1 << 30
-    for level in (own, own - 1):
-        if level < 0:
-            continue
-        differ = 2 * int(upper[level + 1]) * (den - num) // (den + num)
-        if not differ:                       # only equal sets reach the similarity
-            continue
-        blocks = differ + 1 + SLACK
-        with np.errstate(over="ignore"):
-            block = ((shingles >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
-            order = np.argsort(block, kind="stable")
-            filled, at = np.unique(block[order], return_index=True)
-            total = np.add.reduceat(W.mix(shingles[order] + _K[0]), at)
-            sig = W.mix(W.mix(total) + filled * _K[1] + np.uint64(level) * _K[2])
-            empty = blocks - len(filled)
-            if empty > SLACK:                # then empty blocks may be all it shares
-                gaps = np.setdiff1d(np.arange(blocks, dtype=np.uint64), filled)
-                sig = np.concatenate([sig, W.mix(gaps * _K[1] + np.uint64(level) * _K[2] + np.uint64(1))])
-                need = 1
-            else:
-                need = min(need, SLACK + 1 - empty)
-        tokens.append(sig)
-    return (np.concatenate(tokens), max(1, need)) if tokens else (np.zeros(0, np.uint64), 1)
+def shared_at_least(size, num: int, den: int):
+    """How many tokens a set of ``size`` shingles shares with any set it links to."""
+    smallest = -(-size * num // den)
+    return np.maximum(1, smallest // 8)
+
+
+def signatures(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The tokens of a sorted set."""
+    n = len(shingles)
+    return shingles[:min(n, n - -(-n * num // den) + max(1, n // 8))]
 
 
 def link_members(sets: list[np.ndarray], tokens: list[np.ndarray], need: list[int], num: int, den: int,
@@ -192,8 +162,8 @@ def _open_groups(num: int, den: int, paired: bool):
             g = g.drop_duplicates("cls")
             cls = g["cls"].to_numpy()
             sets = [np.frombuffer(b, "<u8") for b in g["shingles"]]
-            signed = [signatures(s, num, den) for s in sets]
-            pairs = link_members(sets, [s[0] for s in signed], [s[1] for s in signed], num, den,
+            need = [int(shared_at_least(len(s), num, den)) for s in sets]
+            pairs = link_members(sets, [signatures(s, num, den) for s in sets], need, num, den,
                                  g["root"].to_numpy() if paired else None, g["side"].to_numpy() if paired else None)
             if pairs:
                 a, b = np.array(pairs).T
@@ -213,7 +183,7 @@ def classes_of(docs: DataFrame, key: str, text: str, n: int, num: int, den: int)
                        for s in sets]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "th": pdf["th"], "n_shingles": [len(s) for s in sets],
                                 "cls": pd.array(cls, dtype="Int64"),
-                                "tokens": [signatures(s, num, den)[0].view("<i8") for s in sets]})
+                                "tokens": [signatures(s, num, den).view("<i8") for s in sets]})
 
     t = F.coalesce(F.col(text), F.lit(""))
     return cut_lineage(docs.select(F.col(key).cast("long").alias("doc_id"), t.alias("t"), F.xxhash64(t).alias("th"))
@@ -231,10 +201,17 @@ def links(docs: DataFrame, rows: DataFrame, key: str, text: str, n: int, num: in
     none = spark.createDataFrame([], "a long, b long")
     classes = cut_lineage(rows.filter("cls is not null").groupBy("cls").agg(
         F.min(F.struct("doc_id", "th")).alias("first"), F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens")))
-    entries = classes.select("cls", F.explode("tokens").alias("token")).repartition("token")
+    spare = F.greatest(F.lit(1), F.floor(F.floor((F.col("n") * num + (den - 1)) / den) / 8)).cast("int") - 1
+    entries = classes.select("cls", spare.alias("spare"), F.explode("tokens").alias("token")).repartition("token")
+    # tokens of one class alone need no partner: a class keeps, of its shared tokens, all
+    # but the most frequent that it may leave out
+    counts = entries.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    rank = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("df"), F.desc("token")))
+    entries = cut_lineage(entries.join(counts, "token").withColumn("from_top", rank)
+                          .filter("from_top > spare").select("cls", "token"))
     # clusters: every class with the smallest class of each of its tokens
-    shared = entries.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low < high")
-    edges = cut_lineage(entries.join(shared, "token").select(F.col("cls").alias("a"), F.col("low").alias("b"))
+    lows = entries.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low < high")
+    edges = cut_lineage(entries.join(lows, "token").select(F.col("cls").alias("a"), F.col("low").alias("b"))
                         .filter("a <> b").distinct())
     cluster = components(edges, spark)
     cluster = cut_lineage(cluster.unionByName(cluster.select(F.col("root").alias("node"), "root")).distinct())
@@ -303,4 +280,4 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         "doc_id", "n_shingles", F.coalesce("low", "doc_id").alias("component_id"))
 
 
-__all__ = ["bands", "jaccard_components", "link_members", "links", "shingle_sets", "signatures"]
+__all__ = ["jaccard_components", "link_members", "links", "shared_at_least", "shingle_sets", "signatures"]
