@@ -11,8 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 __all__ = [
-    "col_of", "money", "money_sum", "money_mean", "money_std", "rounded",
-    "safe_div", "right_closed_bins", "month_end",
+    "col_of", "money", "money_sum", "money_mean", "rounded",
+    "safe_div", "right_closed_bins",
 ]
 
 MONEY = "decimal(18,2)"
@@ -32,18 +32,9 @@ def money_sum(c: str | Column) -> Column:
 
 
 def money_mean(c: str | Column) -> Column:
-    """Mean of the non-null values: exact sum divided by the non-null count."""
-    return F.try_divide(F.sum(money(c)).cast("double"), F.count(col_of(c)).cast("double"))
-
-
-def money_std(c: str | Column, places: int = 6) -> Column:
-    """Sample standard deviation from exact sums (NULL for fewer than two values)."""
-    x = money(c)
-    n = F.count(col_of(c)).cast("double")
-    sx = F.sum(x).cast("double")
-    sxx = F.sum(x * x).cast("double")
-    var = F.try_divide(sxx - sx * sx / n, n - F.lit(1.0))
-    return F.round(F.sqrt(F.when(var < 0, F.lit(0.0)).otherwise(var)), places)
+    """Mean of the values that are numbers: exact sum divided by their count (NaN, like
+    NULL, is left out of both)."""
+    return F.try_divide(F.sum(money(c)).cast("double"), F.count(money(c)).cast("double"))
 
 
 def rounded(c: Column, places: int = 6) -> Column:
@@ -64,6 +55,3 @@ def right_closed_bins(x: Column, edges: list[float], labels: list[str]) -> Colum
         expr = F.when(cond, F.lit(lab)) if expr is None else expr.when(cond, F.lit(lab))
     return expr
 
-
-def month_end(d: Column) -> Column:
-    return F.last_day(d)

@@ -57,7 +57,7 @@ def coerce_types(df: DataFrame, spec: dict[str, str] | None = None) -> DataFrame
         x = F.col(c)
         if kind == "int":
             num = x.cast("double") if _is_numeric(df, c) else F.trim(x.cast("string")).try_cast("double")
-            e = F.coalesce(num.try_cast("long"), F.lit(0)).cast("int")
+            e = F.coalesce(num.try_cast("long").try_cast("int"), F.lit(0))
         elif kind == "float":
             e = (F.abs(x.cast("double")) if _is_numeric(df, c)
                  else F.regexp_replace(x.cast("string"), r"[^\d.]", "").try_cast("double"))
@@ -74,10 +74,16 @@ def coerce_types(df: DataFrame, spec: dict[str, str] | None = None) -> DataFrame
 # ---------------------------------------------------------------- C2 / C3
 
 
+def _missing(df: DataFrame, c: str) -> Column:
+    """NULL, or NaN in a floating-point column."""
+    x = F.col(f"`{c}`")
+    return x.isNull() | F.isnan(x) if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)) else x.isNull()
+
+
 def missing_report(df: DataFrame) -> DataFrame:
-    """Per column: missing count and percentage of rows (one aggregate pass)."""
+    """Per column: missing count (NULL or NaN) and percentage of rows (one aggregate pass)."""
     wide = df.agg(F.count(F.lit(1)).alias("_n"),
-                  *[F.count_if(F.col(f"`{c}`").isNull()).alias(f"m{i}") for i, c in enumerate(df.columns)])
+                  *[F.count_if(_missing(df, c)).alias(f"m{i}") for i, c in enumerate(df.columns)])
     rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"m{i}").alias("missing"))
                      for i, c in enumerate(df.columns)])
     return (wide.select("_n", F.explode(rows).alias("r"))
@@ -114,7 +120,7 @@ def medians(df: DataFrame, cols: Sequence[str], approx: bool = False) -> dict[st
 
 
 def impute(df: DataFrame, skip: Sequence[str] = ()) -> DataFrame:
-    """Strings -> 'Unknown'; numeric columns -> their median."""
+    """Missing strings -> 'Unknown'; missing numbers (NULL or NaN) -> the column's median."""
     strings = [f.name for f in df.schema.fields
                if isinstance(f.dataType, T.StringType) and f.name not in skip]
     nums = [f.name for f in df.schema.fields
@@ -125,7 +131,7 @@ def impute(df: DataFrame, skip: Sequence[str] = ()) -> DataFrame:
     for c in out.columns:
         if c in med and med[c] is not None:
             dt = df.schema[c].dataType
-            exprs.append(F.coalesce(F.col(c), F.lit(med[c]).cast(dt)).alias(c))
+            exprs.append(F.when(_missing(df, c), F.lit(med[c]).cast(dt)).otherwise(F.col(c)).alias(c))
         else:
             exprs.append(F.col(c))
     return out.select(*exprs)

@@ -172,12 +172,24 @@ def global_rank(df: DataFrame, order_cols: Sequence[str | Column], n_parts: int
                .drop("__pid", "__mid", "__off"))
 
 
-SMALL_BAND_ROWS = 2_000_000
+def running_counts(counts: DataFrame, order_cols: Sequence[str], n_col: str = "_c") -> DataFrame:
+    """``counts`` (one row per distinct value) with ``_before``: the sum of ``n_col``
+    over all earlier values in the total order of ``order_cols``.
+
+    Range partitions hold distinct values, so a frequent value is one row; the running
+    sum is a window per partition plus an offset per partition (one row each)."""
+    ranged = cut_lineage(counts.repartitionByRange(*order_cols).withColumn("__pid", F.spark_partition_id()))
+    local = Window.partitionBy("__pid").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy("__pid").agg(F.sum(n_col).alias("__n"))
+    earlier = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select("__pid", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__off"))
+    return (ranged.withColumn("__in", F.coalesce(F.sum(n_col).over(local), F.lit(0)))
+                  .join(F.broadcast(offsets), "__pid")   # one row per partition
+                  .withColumn("_before", F.col("__off") + F.col("__in")).drop("__pid", "__in", "__off"))
 
 
 def exact_percentiles(df: DataFrame, specs: Sequence[tuple[str, float]],
-                      accuracy: int = 10000,
-                      small_band_rows: int = SMALL_BAND_ROWS) -> dict[tuple[str, float], float | None]:
+                      accuracy: int = 10000) -> dict[tuple[str, float], float | None]:
     """Exact linear-interpolated percentiles (numpy's default) of one or more
     columns, without holding a column's values in one task.
 
@@ -185,13 +197,11 @@ def exact_percentiles(df: DataFrame, specs: Sequence[tuple[str, float]],
       1. one aggregate: non-null counts and sketch brackets around each q
          (``percentile_approx``: bounded memory, partial aggregation);
       2. one aggregate: rows below each bracket and rows inside it;
-      3. only the bracketed rows are ranked and the two order statistics
-         around each q are picked out: a band of at most ``small_band_rows``
-         (a fixed memory bound, ~16 MB of doubles) is ranked by a window per
-         requested percentile; larger bands by ``global_rank`` (range
-         partitions), so no task ever sorts an unbounded band.
-    If a bracket misses (the sketch's error bound exceeded) that column is
-    ranked whole, still distributed.
+      3. the bracketed values are counted per distinct value (pre-aggregated, so a
+         value that most rows share costs one row per task) and running sums of the
+         counts (``running_counts``) find the two order statistics around each q.
+    If a bracket misses (the sketch's error bound exceeded) that column's values are
+    counted whole, still distributed.
     """
     specs = list(dict.fromkeys(specs))
     cols = list(dict.fromkeys(c for c, _ in specs))
@@ -255,24 +265,17 @@ def exact_percentiles(df: DataFrame, specs: Sequence[tuple[str, float]],
     # every band from a single scan: each row contributes to the brackets it falls in
     band = (df.select(F.explode(F.array(*bands)).alias("_b"))
               .filter(F.col("_b").isNotNull()).select("_b._spec", "_b._v"))
+    counts = band.groupBy("_spec", "_v").agg(F.count(F.lit(1)).alias("_c"))
     cum, first = 0, {}
-    if max(w[4] for w in want.values()) <= small_band_rows:
-        ranked = band.withColumn("_r", F.row_number().over(
-            Window.partitionBy("_spec").orderBy("_v")))
-        first = {j: 0 for j in want}
-    else:
-        ranked = global_rank(band, ["_spec", "_v"], rank_col="_r")
-        for j in sorted(want):  # bands are ranked one after another in _spec order
-            first[j] = cum
-            cum += want[j][4]
-    picks_cond = F.lit(False)
-    for j, (pos, r1, r2, base, _) in want.items():
-        for r in {r1, r2}:
-            picks_cond = picks_cond | ((F.col("_spec") == j) & (F.col("_r") == first[j] + r - base + 1))
-    got = {}
-    for r in ranked.filter(picks_cond).collect():
-        j = r["_spec"]
-        got[(j, r["_r"] - first[j] - 1 + want[j][3])] = r["_v"]
+    for j in sorted(want):  # bands follow one another in _spec order
+        first[j] = cum
+        cum += want[j][4]
+    wanted = [F.when((F.col("_spec") == j) & (F.col("_before") <= at) & (F.lit(at) < F.col("_before") + F.col("_c")), r)
+              for j, (pos, r1, r2, base, _) in want.items()
+              for r, at in {(r, first[j] + r - base) for r in (r1, r2)}]
+    picks = running_counts(counts, ["_spec", "_v"]).select(
+        "_spec", "_v", F.explode(F.array_compact(F.array(*[w.cast("long") for w in wanted]))).alias("_r"))
+    got = {(p["_spec"], p["_r"]): p["_v"] for p in picks.collect()}   # two values per percentile
     for j, (pos, r1, r2, base, _) in want.items():
         v1, v2 = got[(j, r1)], got[(j, r2)]
         out[specs[j]] = v1 + (v2 - v1) * (pos - r1)
@@ -289,11 +292,11 @@ def grouped_percentile(df: DataFrame, keys: Sequence[str], col: str, q: float,
     values gathered in one task (a group may hold a large share of the rows).
 
     Per group a sketch brackets the wanted order statistics (grouped
-    ``percentile_approx``: bounded state, map-side combined); rows are counted
-    below and inside the bracket; only the bracketed rows are ranked, by
-    ``global_rank`` over (keys, value), which range-partitions them so a large
-    group is split across tasks. A group whose bracket misses ranks all its rows
-    (still distributed). Returns one row per group: keys, ``out_col``.
+    ``percentile_approx``: bounded state, map-side combined); values are counted
+    below and inside the bracket; the bracketed ones are counted per distinct value and
+    running sums over (keys, value) find the order statistics. A group whose bracket
+    misses counts all its values (still distributed). Returns one row per group:
+    keys, ``out_col``.
     """
     keys = list(keys)
     x = F.col(col).cast("double")
@@ -321,12 +324,17 @@ def grouped_percentile(df: DataFrame, keys: Sequence[str], col: str, q: float,
                .withColumn("_whole", ~hit)
     band = (vals.join(meta.select(*keys, "_lo", "_hi", "_whole", "_base", "_r1", "_r2", "_qpos"), keys)
                 .filter(F.col("_whole") | in_band))
-    ranked = global_rank(band, keys + ["_v"], rank_col="_g")
-    start = ranked.groupBy(*keys).agg(F.min("_g").alias("_g0"))
-    local = ranked.join(start, keys).withColumn("_k", F.col("_g") - F.col("_g0") + F.col("_base"))
-    picks = local.groupBy(*keys).agg(
-        F.max(F.when(F.col("_k") == F.col("_r1"), F.col("_v"))).alias("_v1"),
-        F.max(F.when(F.col("_k") == F.col("_r2"), F.col("_v"))).alias("_v2"),
-        F.first("_qpos").alias("_qpos"), F.first("_r1").alias("_r1"))
+    counts = band.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"), F.first("_base").alias("_base"),
+                                           F.first("_r1").alias("_r1"), F.first("_r2").alias("_r2"),
+                                           F.first("_qpos").alias("_qpos"))
+    ranked = running_counts(counts, keys + ["_v"])
+    start = ranked.groupBy(*keys).agg(F.min("_before").alias("_g0"))
+    local = ranked.join(start, keys).withColumn("_k", F.col("_before") - F.col("_g0") + F.col("_base"))
+
+    def at(r: str):
+        return F.max(F.when((F.col("_k") <= F.col(r)) & (F.col(r) < F.col("_k") + F.col("_c")), F.col("_v")))
+
+    picks = local.groupBy(*keys).agg(at("_r1").alias("_v1"), at("_r2").alias("_v2"),
+                                     F.first("_qpos").alias("_qpos"), F.first("_r1").alias("_r1"))
     return picks.select(*keys, (F.col("_v1") + (F.col("_v2") - F.col("_v1"))
                                 * (F.col("_qpos") - F.col("_r1"))).alias(out_col))

@@ -86,15 +86,14 @@ def temporal_ci(df: DataFrame, unit: str = "week", date: str = "date",
 
 def provider_stats(df: DataFrame, provider: str = "provider_id", amount: str = "amount",
                    flag: str = "fraud_flag", approx_median: bool = False,
-                   median: str = "merge") -> DataFrame:
+                   median: str = "distributed") -> DataFrame:
     """Per provider: total, count, mean, median amount and mean fraud flag.
 
     A bad amount counts as 0 and a missing flag as 0. Median strategies:
-    ``merge`` (default): Spark's exact percentile, a value->count map per group
-    combined map-side; the final merge of one group happens in one task and is
-    bounded by that group's distinct cent values. ``distributed``:
-    ``grouped_percentile`` ranks only sketch-bracketed rows across tasks, for
-    groups too large for one task. ``approx_median``: a fixed-size sketch.
+    ``distributed`` (default): ``grouped_percentile`` counts sketch-bracketed values
+    across tasks, whatever a group's size. ``merge``: Spark's exact percentile, a
+    value->count map per group that is merged in one task (for groups known to have
+    few distinct values). ``approx_median``: a fixed-size sketch.
     """
     amt = F.coalesce(F.col(amount).cast("double"), F.lit(0.0))
     flg = (F.coalesce(F.col(flag).cast("double"), F.lit(0.0)) if flag in df.columns

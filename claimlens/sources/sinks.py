@@ -20,14 +20,15 @@ from claimlens.functions.exprs import money_mean, money_sum
 
 def share_by_client(df: DataFrame, path: str, employer: str = "employer",
                     mode: str = "overwrite") -> None:
-    """Publish one folder per client (``employer=<name>``).
+    """Publish one folder per client (``employer=<name>``). Overwriting replaces only
+    the clients that ``df`` holds (dynamic partition overwrite); others stay.
 
     The REBALANCE hint clusters rows by client so each task writes few files,
     and lets AQE split a client that holds a large share of the rows over
     several tasks (and merge small clients) instead of one task per client."""
     (df.filter(F.col(employer).isNotNull())
        .hint("rebalance", employer)
-       .write.mode(mode).partitionBy(employer).parquet(path))
+       .write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(employer).parquet(path))
 
 
 def read_client(spark: SparkSession, path: str, client: str,

@@ -287,7 +287,7 @@ def test_exact_percentile_matches_numpy(spark):
     for q in (0.01, 0.05, 0.5, 0.99):
         assert common.exact_percentile(df, "x", q) == pytest.approx(np.percentile(vals, q * 100), abs=0, rel=1e-12)
     # the distributed ranking path (band larger than the in-task bound) agrees
-    got = common.exact_percentiles(df, [("x", 0.3), ("x", 0.0), ("x", 1.0)], small_band_rows=0)
+    got = common.exact_percentiles(df, [("x", 0.3), ("x", 0.0), ("x", 1.0)])
     assert got[("x", 0.3)] == pytest.approx(np.percentile(vals, 30), abs=0, rel=1e-12)
     assert got[("x", 0.0)] == vals.min() and got[("x", 1.0)] == vals.max()
 
@@ -424,3 +424,39 @@ def test_value_counts_ordered(spark):
     df = spark.createDataFrame([("b",), ("a",), ("b",), ("c",), ("a",), (None,)], "t string")
     assert [tuple(r) for r in explore.value_counts(df, "t", ordered=True).collect()] == [
         ("a", 2), ("b", 2), ("c", 1)]
+
+
+def test_percentiles_of_a_value_most_rows_share(spark):
+    import numpy as np
+
+    from claimlens.operators import common
+    vals = [0.0] * 9500 + [float(i) for i in range(1, 501)]
+    df = spark.createDataFrame([(i % 3, v) for i, v in enumerate(vals)], "g int, x double").repartition(8)
+    got = common.exact_percentiles(df, [("x", q) for q in (0.1, 0.5, 0.949, 0.95, 0.951, 0.99)], accuracy=100)
+    for (_, q), v in got.items():
+        assert abs(v - np.percentile(vals, q * 100)) < 1e-9
+    per = {r["g"]: r["percentile"] for r in common.grouped_percentile(df, ["g"], "x", 0.96, accuracy=100).collect()}
+    for g in range(3):
+        assert abs(per[g] - np.percentile(vals[g::3], 96)) < 1e-9
+    counted = common.running_counts(df.groupBy("x").count().withColumnRenamed("count", "_c"), ["x"])
+    assert counted.count() == 501 and counted.filter("x = 1").first()["_before"] == 9500
+
+
+def test_share_keeps_other_clients(spark, tmp_path):
+    from claimlens.sources import sinks
+    path = str(tmp_path / "share")
+    sinks.share_by_client(spark.createDataFrame([("A", 1), ("B", 2)], "employer string, x int"), path)
+    sinks.share_by_client(spark.createDataFrame([("A", 3)], "employer string, x int"), path)
+    assert sorted((r["employer"], r["x"]) for r in spark.read.parquet(path).collect()) == [("A", 3), ("B", 2)]
+
+
+def test_nan_is_missing_and_large_ints_are_bad(spark):
+    from claimlens.functions.exprs import money_mean
+    from claimlens.operators import clean
+    df = spark.createDataFrame([(1, float("nan")), (2, 1.0), (3, None), (4, 3.0)], "k int, x double")
+    assert {r["column_name"]: r["missing"] for r in clean.missing_report(df).collect()} == {"k": 0, "x": 2}
+    assert sorted(r["x"] for r in clean.impute(df).collect()) == [1.0, 2.0, 2.0, 3.0]
+    assert df.agg(money_mean("x").alias("m")).first()["m"] == 2.0
+    big = spark.createDataFrame([("3000000000",), ("7.9",), ("x",)], "employee_age string")
+    got = [r[0] for r in clean.coerce_types(big, {"employee_age": "int"}).collect()]
+    assert got == [0, 7, 0]
