@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from claimlens.operators import iforest as IF
-from claimlens.operators.common import exact_percentile, global_rank
+from claimlens.operators.common import exact_percentile, global_rank, running_counts
 from claimlens.session import cut_lineage
 
 # ---------------------------------------------------------------- fixed values
@@ -123,8 +123,9 @@ def temporal_split(df: DataFrame, test: float = 0.2, date: str | None = "submiss
     'test' for the rest; ties on the date are broken by ``tie_break`` columns
     (default: all columns). Without a date column: seeded random split.
 
-    The cut is found with ``global_rank`` (range partitions + per-partition
-    offsets), never with a single-partition window.
+    Rows are counted per date, running sums find the date that holds the cut, and only
+    that date's rows are ranked (``global_rank``: range partitions, no single task); the
+    rest of the table is labelled by comparing dates and is not shuffled.
     """
     if not date or date not in df.columns:
         # seeded draw from a hash of the row: the same split under any partitioning
@@ -133,8 +134,19 @@ def temporal_split(df: DataFrame, test: float = 0.2, date: str | None = "submiss
     tie = list(tie_break) if tie_break is not None else [c for c in df.columns if c != date]
     n = df.count()
     n_train = int(n * (1.0 - test))
-    ranked = global_rank(df, [date] + tie, rank_col="_rank")
-    return ranked.withColumn("split", F.when(F.col("_rank") <= n_train, "train").otherwise("test")).drop("_rank")
+    days = df.groupBy(F.col(date).isNull().alias("_z"), F.col(date).alias("_d")).agg(F.count(F.lit(1)).alias("_c"))
+    cut = (running_counts(days, ["_z", "_d"])
+           .filter((F.col("_before") < n_train) & (n_train <= F.col("_before") + F.col("_c"))).first()) if n_train else None
+    if cut is None:
+        return df.withColumn("split", F.lit("test"))
+    if cut["_z"]:                               # the cut lies among the rows without a date
+        older, same = F.col(date).isNotNull(), F.col(date).isNull()
+    else:
+        older, same = F.coalesce(F.col(date) < F.lit(cut["_d"]), F.lit(False)), F.col(date).eqNullSafe(F.lit(cut["_d"]))
+    rest = df.filter(~same).withColumn("split", F.when(older, "train").otherwise("test"))
+    day = global_rank(df.filter(same), tie, rank_col="_rank") if tie else df.filter(same).withColumn("_rank", F.lit(1))
+    return rest.unionByName(day.withColumn("split", F.when(F.col("_rank") <= n_train - cut["_before"], "train")
+                                           .otherwise("test")).drop("_rank"))
 
 
 # ---------------------------------------------------------------- M3 – M6
@@ -149,9 +161,10 @@ def random_forest(seed: int = 42, **kw) -> RandomForestRegressor:
 
 
 def boosted_subsampled(seed: int = 42, **kw) -> GBTRegressor:
-    """Boosting with row and column subsampling (stands in for the XGBoost model)."""
-    kw.setdefault("subsamplingRate", 0.8)
-    kw.setdefault("featureSubsetStrategy", "0.8")
+    """Boosting that stands in for the XGBoost model: all rows and columns by default,
+    subsampled only where the caller or the search ranges ask for it."""
+    kw.setdefault("subsamplingRate", 1.0)
+    kw.setdefault("featureSubsetStrategy", "all")
     return GBTRegressor(seed=seed, **kw)
 
 

@@ -162,12 +162,14 @@ def client_report(df: DataFrame, n: int = 5, employer: str = "employer") -> dict
 def report_json(tables: dict[str, DataFrame], employer: str = "employer") -> DataFrame:
     """One JSON document per client: ``{table: [rows...]}``; nested arrays are
     built per client with ``collect_list`` over report tables that are small by
-    construction (top-n lists, one row per month)."""
+    construction (top-n lists, one row per month), ordered by rank or month."""
     docs = None
     for name, t in tables.items():
         others = [c for c in t.columns if c != employer]
+        lead = [c for c in ("rank", "month") if c in others]
+        keyed = F.struct(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(lead)], F.struct(*others).alias("_row"))
         part = t.groupBy(employer).agg(
-            F.collect_list(F.struct(*others)).alias(name))
+            F.transform(F.sort_array(F.collect_list(keyed)), lambda x: x["_row"]).alias(name))
         docs = part if docs is None else docs.join(part, employer, "full")
     cols = [c for c in docs.columns if c != employer]
     return docs.select(employer, F.to_json(F.struct(*cols)).alias("report"))

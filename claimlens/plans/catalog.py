@@ -563,7 +563,7 @@ def _q(spark, d):
 @register("train_mlp", None, "randomised model; property-tested")
 def _q(spark, d):
     return _metrics_row(spark, "NeuralNetwork",
-                        M.train_and_evaluate(_split(spark, d), "mlp", M.mlp(hidden=(50,), max_iter=100)))
+                        M.train_and_evaluate(_split(spark, d), "mlp", M.mlp(hidden=(50,), max_iter=500)))
 
 
 @register("auto_select", None, "leaderboard of randomised models")

@@ -5,14 +5,18 @@ micro-batch hands a user's new events to ``applyInPandasWithState``; they are
 ordered by (time, id) inside the group, the run is advanced, and one output row
 per event reports the run length and whether the account is locked (>= k).
 The state is one small row per user held in the state store (checkpointed),
-so memory grows with the number of users, not events; an event-time timeout
-after a quiet period drops idle users.
+so memory grows with the number of users, not events.
+
+Late events: one that arrives more than the watermark delay after newer events is
+dropped. A user whose last event lies ``idle_timeout`` before the watermark is
+forgotten, so a run that pauses for longer starts anew; both differ from the batch form.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,15 +39,17 @@ def lockout_updates(events: DataFrame, k: int = 3, failure: str = "error", succe
             return
         run = state.get[0] if state.exists else 0
         pdf = pd.concat(list(batches)).sort_values(["timestamp", "event_id"])
-        runs = []
-        for a in pdf["action"].to_numpy():
-            run = 0 if a == success else run + 1
-            runs.append(run)
-        state.update((run,))
-        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + _ms(idle_timeout))
+        ok = (pdf["action"] == success).to_numpy()
+        failures = np.cumsum(~ok)
+        since = np.maximum.accumulate(np.where(ok, failures, -run))    # failures before the last success
+        runs = failures - since
+        state.update((int(runs[-1]),))
+        # from event time: the watermark of a first batch is 0
+        newest = int(pdf["timestamp"].max().timestamp() * 1000)
+        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + _ms(idle_timeout))
         out = pdf[["event_id", "user", "timestamp", "action"]].copy()
         out["failures_in_run"] = runs
-        out["locked"] = [r >= k for r in runs]
+        out["locked"] = runs >= k
         yield out
 
     return ev.groupBy("user").applyInPandasWithState(
