@@ -1,6 +1,7 @@
 """Scalar and aggregate expression helpers.
 
-Money is summed as DECIMAL(18,2) and turned back into DOUBLE: the sum is exact,
+Money is summed as DECIMAL(24,6) and turned back into DOUBLE: parts of a cent count,
+and the sum is exact,
 so it does not depend on partitioning or on the order rows arrive in, and any
 SQL engine that sums decimals produces the same bits.
 """
@@ -15,7 +16,7 @@ __all__ = [
     "safe_div", "right_closed_bins",
 ]
 
-MONEY = "decimal(18,2)"
+MONEY = "decimal(24,6)"
 
 
 def col_of(c: str | Column) -> Column:

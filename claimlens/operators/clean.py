@@ -120,7 +120,10 @@ def medians(df: DataFrame, cols: Sequence[str], approx: bool = False) -> dict[st
 
 
 def impute(df: DataFrame, skip: Sequence[str] = ()) -> DataFrame:
-    """Missing strings -> 'Unknown'; missing numbers (NULL or NaN) -> the column's median."""
+    """Missing strings -> 'Unknown'; missing numbers (NULL or NaN) -> the column's median.
+
+    Integer columns become double, whether or not a value is missing: a median may lie
+    between two integers, and the schema does not depend on the data."""
     strings = [f.name for f in df.schema.fields
                if isinstance(f.dataType, T.StringType) and f.name not in skip]
     nums = [f.name for f in df.schema.fields
@@ -130,8 +133,9 @@ def impute(df: DataFrame, skip: Sequence[str] = ()) -> DataFrame:
     exprs = []
     for c in out.columns:
         if c in med and med[c] is not None:
-            dt = df.schema[c].dataType
-            exprs.append(F.when(_missing(df, c), F.lit(med[c]).cast(dt)).otherwise(F.col(c)).alias(c))
+            exprs.append(F.when(_missing(df, c), F.lit(med[c])).otherwise(F.col(c).cast("double")).alias(c))
+        elif c in nums:
+            exprs.append(F.col(c).cast("double").alias(c))
         else:
             exprs.append(F.col(c))
     return out.select(*exprs)

@@ -84,7 +84,7 @@ def monthly(df: DataFrame, aggs: Sequence[Column], date_col: str = "date",
     base = df.filter(F.col(date_col).isNotNull()).withColumn(
         "month_start", F.trunc(F.col(date_col), "MM"))
     agg = base.groupBy(*per, "month_start").agg(*aggs)
-    spine = month_spine(df, date_col, per)
+    spine = month_spine(agg, "month_start", per)    # the months are known: no second scan of the rows
     keys = per + ["month_start"]
     out = spine.join(agg, keys, "left")
     if fill:

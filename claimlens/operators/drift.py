@@ -99,8 +99,8 @@ def drift_report(cur: DataFrame, ref: DataFrame, numeric: Sequence[str] | None =
     parts = []
     if numeric:
         ks = drift_ks_many(cur, ref, numeric)
-        parts.append(ks.select("column_name", F.lit("ks_stat").alias("metric"), F.col("ks_stat").alias("value")))
-        parts.append(ks.select("column_name", F.lit("ks_p").alias("metric"), F.col("ks_p").alias("value")))
+        both = [F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("ks_stat", "ks_p")]
+        parts.append(ks.select("column_name", F.explode(F.array(*both)).alias("m")).select("column_name", "m.*"))
     if categorical:
         psi = drift_psi_many(cur, ref, categorical)
         parts.append(psi.select("column_name", F.lit("psi").alias("metric"), F.col("psi").alias("value")))

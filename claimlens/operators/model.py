@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from claimlens.functions.exprs import money_mean, money_sum
 from claimlens.operators import iforest as IF
 from claimlens.operators.common import exact_percentile, global_rank, running_counts
 from claimlens.session import cut_lineage
@@ -506,8 +507,8 @@ def score_claims(df: DataFrame, model: PipelineModel, fraud: FraudModel | None =
 
 
 def prediction_summary(scored: DataFrame) -> DataFrame:
-    return scored.agg(F.sum("predicted_amount").alias("total_predicted"),
-                      F.avg("predicted_amount").alias("mean_predicted"),
+    return scored.agg(money_sum("predicted_amount").alias("total_predicted"),
+                      money_mean("predicted_amount").alias("mean_predicted"),
                       F.count_if(F.col("is_potential_fraud")).alias("fraud_count"))
 
 

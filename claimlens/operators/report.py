@@ -159,15 +159,21 @@ def client_report(df: DataFrame, n: int = 5, employer: str = "employer") -> dict
     }
 
 
+#: descending column of each ranked table; ties by its key column, as in the ranking
+RANKED_BY = {"top_by_amount": ("total_amount", "provider_id"), "top_by_fraud": ("fraud_count", "provider_id"),
+             "fraud_by_category": ("fraud_count", "category"), "fraud_by_diagnosis": ("fraud_count", "diagnosis")}
+
+
 def report_json(tables: dict[str, DataFrame], employer: str = "employer") -> DataFrame:
     """One JSON document per client: ``{table: [rows...]}``; nested arrays are
     built per client with ``collect_list`` over report tables that are small by
-    construction (top-n lists, one row per month), ordered by rank or month."""
+    construction (top-n lists, one row per month), in the order of their ranking or month."""
     docs = None
     for name, t in tables.items():
         others = [c for c in t.columns if c != employer]
-        lead = [c for c in ("rank", "month") if c in others]
-        keyed = F.struct(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(lead)], F.struct(*others).alias("_row"))
+        down, key = RANKED_BY.get(name, (None, None))
+        lead = [-F.col(down), F.col(key)] if down in others else [F.col(c) for c in ("month",) if c in others]
+        keyed = F.struct(*[c.alias(f"_k{i}") for i, c in enumerate(lead)], F.struct(*others).alias("_row"))
         part = t.groupBy(employer).agg(
             F.transform(F.sort_array(F.collect_list(keyed)), lambda x: x["_row"]).alias(name))
         docs = part if docs is None else docs.join(part, employer, "full")

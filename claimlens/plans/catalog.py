@@ -21,7 +21,7 @@ from claimlens.plans import sql as S
 from claimlens.session import cut_lineage, work_dir
 from claimlens.sources import fixtures as fx
 from claimlens.sources import ingest, sinks
-from claimlens.sources.audit import audit_append
+from claimlens.sources.audit import audit_append, audit_read
 from claimlens.streaming import audit_stream as ST
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -424,7 +424,7 @@ def _q(spark, d):
     audit_append(ev, f"{base}/source")
     q = ST.start_counts(spark, f"{base}/source", f"{base}/sink", f"{base}/checkpoint")
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/sink")
+    return ST.all_counts(spark, f"{base}/sink", f"{base}/checkpoint")
 
 
 @register("login_lockout_stream", S.FAILED_LOGIN_BURST)
@@ -447,6 +447,96 @@ def _q(spark, d):
     return out.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
 
 
+_AT = _dt.datetime(2002, 1, 1, 12)
+
+
+def _reports(spark, d):
+    """Every client's document."""
+    return report.report_json(report.client_report(_claims(spark, d), 5))
+
+
+@register("report_documents", S.REPORT_DOCUMENTS)
+def _q(spark, d):
+    """Report documents written, read back, and their ranked list taken apart."""
+    path = work_dir(spark, "reports")
+    sinks.write_report(_reports(spark, d), path, "monthly", _AT)
+    back = spark.read.schema("report string, client string, filename string").json(f"{path}/reports")
+    doc = F.from_json("report", "top_by_amount array<struct<provider_id:string,total_amount:double,"
+                                "claim_count:long,fraud_count:long>>")
+    return (back.select(F.col("client").alias("employer"), F.posexplode(doc["top_by_amount"]).alias("pos", "r"))
+            .select("employer", "r.*", (F.col("pos") + 1).alias("rank")))
+
+
+@register("report_index", S.REPORT_INDEX)
+def _q(spark, d):
+    """Two reports per client, one of them read by one client."""
+    path = work_dir(spark, "reports")
+    docs = cut_lineage(_reports(spark, d))
+    sinks.write_report(docs, path, "monthly", _AT)
+    sinks.write_report(docs, path, "fraud", _AT + _dt.timedelta(days=1))
+    sinks.mark_read(spark, path, S.CLIENT, "monthly_20020101_120000.json", _AT + _dt.timedelta(days=2))
+    return sinks.report_index(spark, path).select("client", "filename", "type", "status")
+
+
+def _baseline(spark, d):
+    """Claims with their diagnosis's mean as the prediction and the known flag."""
+    c = _claims(spark, d)
+    means = explore.claim_distribution(c, "diagnosis", "mean").withColumnRenamed("average_amount", "predicted_amount")
+    return c.join(means, "diagnosis").select("claim_id", "line_no", "amount", "predicted_amount",
+                                             (F.col("fraud_flag") == 1).alias("is_potential_fraud"))
+
+
+@register("export_predictions", S.EXPORT_PREDICTIONS)
+def _q(spark, d):
+    path = work_dir(spark, "export")
+    scored = _baseline(spark, d)
+    sinks.export_predictions(scored, path)
+    return spark.read.option("header", True).schema(scored.schema).csv(path)
+
+
+@register("prediction_summary_baseline", S.PREDICTION_SUMMARY_BASELINE)
+def _q(spark, d):
+    return M.prediction_summary(_baseline(spark, d))
+
+
+@register("audit_read", S.AUDIT_READ)
+def _q(spark, d):
+    path = work_dir(spark, "audit")
+    audit_append(fx.audit_events(spark, d).select(
+        F.lit("events").alias("tenant"), F.col("timestamp").alias("ts"), "user", "action", "target",
+        F.lit("").alias("ip")), path)
+    return audit_read(spark, path).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@register("label_files", S.LABEL_FILES)
+def _q(spark, d):
+    """Client lines and a table of other columns as CSV files; the labels found."""
+    path = work_dir(spark, "labels")
+    _raw(spark, d).write.option("header", True).csv(f"{path}/a")
+    _claims(spark, d).select("claim_id", "line_no", "fraud_flag").write.option("header", True).csv(f"{path}/b")
+    return ingest.label_files(spark, [f"{path}/a", f"{path}/b"]).select("format", "header").distinct()
+
+
+@register("missing_report_gappy", S.MISSING_REPORT_GAPPY)
+def _q(spark, d):
+    return clean.missing_report(fx.gappy_claims(spark, d))
+
+
+@register("drop_sparse_columns", S.DROP_SPARSE_COLUMNS)
+def _q(spark, d):
+    return clean.drop_sparse_columns(fx.gappy_claims(spark, d))
+
+
+@register("impute_gappy", S.IMPUTE_GAPPY)
+def _q(spark, d):
+    return clean.impute(fx.gappy_claims(spark, d))
+
+
+@register("claim_distribution_gappy", S.CLAIM_DISTRIBUTION_GAPPY)
+def _q(spark, d):
+    return explore.claim_distribution(fx.gappy_claims(spark, d), "department")
+
+
 # ------------------------------------------------------------------ drift
 
 def _ref_cur(spark, d):
@@ -491,6 +581,13 @@ def _q(spark, d):
     return M.evaluate(c.join(means, "diagnosis"), "amount", "prediction")
 
 
+@register("model_history", S.MODEL_HISTORY)
+def _q(spark, d):
+    path = work_dir(spark, "history")
+    M.log_metrics(spark, path, "baseline", CATALOG["evaluate_baseline"].build(spark, d).first().asDict(), _AT)
+    return M.model_history(spark, path).drop("timestamp")
+
+
 @register("fill_defaults", S.FILL_DEFAULTS)
 def _q(spark, d):
     req = ["employee_age", "co_payment", "inpatient_cap_utilization", "employer", "department",

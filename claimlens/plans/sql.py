@@ -2,13 +2,13 @@
 
 Each statement is written from the operator's specification, independently of
 the DataFrame code, over the same parquet tables. Money is summed as
-DECIMAL(18,2); means are exact sums divided by counts; derived ratios and
+DECIMAL(24,6); means are exact sums divided by counts; derived ratios and
 deviations are rounded to 6 places on both sides.
 """
 
 from __future__ import annotations
 
-from claimlens.sources.fixtures import AUDIT_SQL, CLAIMS_SQL, RAW_SQL
+from claimlens.sources.fixtures import AUDIT_SQL, CLAIMS_SQL, GAPPY_SQL, RAW_SQL
 
 
 def with_claims(body: str) -> str:
@@ -19,11 +19,15 @@ def with_raw(body: str) -> str:
     return f"WITH claims AS ({CLAIMS_SQL}),\nraw AS ({RAW_SQL})\n{body}"
 
 
+def with_gappy(body: str) -> str:
+    return f"WITH claims AS ({CLAIMS_SQL}),\ngappy AS ({GAPPY_SQL})\n{body}"
+
+
 def with_audit(body: str) -> str:
     return f"WITH audit AS ({AUDIT_SQL})\n{body}"
 
 
-MSUM = "CAST(SUM(CAST({x} AS DECIMAL(18,2))) AS DOUBLE)"
+MSUM = "CAST(SUM(CAST({x} AS DECIMAL(24,6))) AS DOUBLE)"
 
 
 def msum(x: str) -> str:
@@ -88,13 +92,13 @@ TEMPORAL_CI = f"SELECT time_period, avg_amount, ci_lower, ci_upper FROM ({_tempo
 PROVIDER_STATS_CTE = """
 , ps AS (
   SELECT provider_id,
-         CAST(SUM(CAST(COALESCE(amount, 0.0) AS DECIMAL(18,2))) AS DOUBLE) AS total_amount,
+         CAST(SUM(CAST(COALESCE(amount, 0.0) AS DECIMAL(24,6))) AS DOUBLE) AS total_amount,
          COUNT(*) AS total_claims,
-         CAST(SUM(CAST(COALESCE(amount, 0.0) AS DECIMAL(18,2))) AS DOUBLE) / CAST(COUNT(*) AS DOUBLE) AS avg_amount,
+         CAST(SUM(CAST(COALESCE(amount, 0.0) AS DECIMAL(24,6))) AS DOUBLE) / CAST(COUNT(*) AS DOUBLE) AS avg_amount,
          round(median(COALESCE(amount, 0.0)), 6) AS median_amount,
          avg(CAST(COALESCE(fraud_flag, 0) AS DOUBLE)) AS fraud_rate
   FROM claims WHERE provider_id IS NOT NULL GROUP BY provider_id),
-ov AS (SELECT CAST(SUM(CAST(COALESCE(amount, 0.0) AS DECIMAL(18,2))) AS DOUBLE) / CAST(COUNT(*) AS DOUBLE) AS overall FROM claims),
+ov AS (SELECT CAST(SUM(CAST(COALESCE(amount, 0.0) AS DECIMAL(24,6))) AS DOUBLE) / CAST(COUNT(*) AS DOUBLE) AS overall FROM claims),
 pe AS (
   SELECT ps.*, round(ps.avg_amount / NULLIF(ov.overall, 0), 6) AS efficiency_ratio,
          ps.total_amount / CAST(ps.total_claims AS DOUBLE) AS cost_per_claim
@@ -331,6 +335,16 @@ FROM (SELECT employer, {col}, COUNT(*) AS fraud_count FROM claims
 CR_FRAUD_CATEGORY = _cr_flagged("category")
 CR_FRAUD_DIAGNOSIS = _cr_flagged("diagnosis")
 
+# the written documents: their list of top providers, in order
+REPORT_DOCUMENTS = with_claims(f"""
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY employer ORDER BY total_amount DESC, provider_id) AS rank
+FROM ({_PROV_ALL}) t) z WHERE rank <= 5""")
+REPORT_INDEX = with_claims(f"""
+, c AS (SELECT DISTINCT employer AS client FROM claims WHERE employer IS NOT NULL)
+SELECT client, 'monthly_20020101_120000.json' AS filename, 'monthly' AS type,
+       CASE WHEN client = '{CLIENT}' THEN 'read' ELSE 'unread' END AS status FROM c
+UNION ALL SELECT client, 'fraud_20020102_120000.json', 'fraud', 'unread' FROM c""")
+
 # ----------------------------------------------------------------- ingest
 
 MAPPED = """, mapped AS (
@@ -406,14 +420,12 @@ MISSING_REPORT = with_claims("\nUNION ALL\n".join(
 _STRING_COLS = ["claim_id", "employee_id", "employee_gender", "employer", "department", "provider_id",
                 "diagnosis", "icd_code", "treatment", "category", "visit_type", "status"]
 _NUM_COLS = ["line_no", "employee_age", "amount", "co_payment", "fraud_flag"]
-_NUM_TYPES = {"line_no": "INTEGER", "employee_age": "INTEGER", "amount": "DOUBLE",
-              "co_payment": "DOUBLE", "fraud_flag": "INTEGER"}
 
 IMPUTE = with_claims(
     ", med AS (SELECT " + ", ".join(f"median(CAST({c} AS DOUBLE)) AS m_{c}" for c in _NUM_COLS) + " FROM claims)\n"
     "SELECT " + ", ".join(
         (f"COALESCE({c}, 'Unknown') AS {c}" if c in _STRING_COLS else
-         f"COALESCE({c}, CAST(m_{c} AS {_NUM_TYPES[c]})) AS {c}" if c in _NUM_COLS else c)
+         f"COALESCE(CAST({c} AS DOUBLE), m_{c}) AS {c}" if c in _NUM_COLS else c)
         for c in CLAIM_COLUMNS) + " FROM claims CROSS JOIN med")
 
 FIX_AMOUNT = with_raw(MAPPED + _HITS + _DATED + _LOADED + """
@@ -421,6 +433,22 @@ FIX_AMOUNT = with_raw(MAPPED + _HITS + _DATED + _LOADED + """
 SELECT loaded.* REPLACE (CASE WHEN abs(amount) <= 0 THEN m.med ELSE abs(amount) END AS amount)
 FROM loaded CROSS JOIN m""")
 
+_NUM = "CASE WHEN NOT isnan(amount) THEN amount END"
+MISSING_REPORT_GAPPY = with_gappy("\nUNION ALL\n".join(
+    f"SELECT '{c}' AS column_name, COUNT(*) FILTER (WHERE {w}) AS missing, "
+    f"round(CAST(COUNT(*) FILTER (WHERE {w}) AS DOUBLE) * 100.0 / COUNT(*), 6) AS pct_missing FROM gappy"
+    for c, w in [(c, f"{c} IS NULL") for c in ("claim_id", "line_no", "employee_age", "department", "note")]
+    + [("amount", "amount IS NULL OR isnan(amount)")]))
+DROP_SPARSE_COLUMNS = with_gappy("SELECT claim_id, line_no, employee_age, amount, department FROM gappy")
+IMPUTE_GAPPY = with_gappy(f"""
+, med AS (SELECT median(CAST(line_no AS DOUBLE)) AS l, median(CAST(employee_age AS DOUBLE)) AS e, median({_NUM}) AS a FROM gappy)
+SELECT claim_id, COALESCE(CAST(line_no AS DOUBLE), l) AS line_no, COALESCE(CAST(employee_age AS DOUBLE), e) AS employee_age,
+       COALESCE({_NUM}, a) AS amount, COALESCE(department, 'Unknown') AS department, COALESCE(note, 'Unknown') AS note
+FROM gappy CROSS JOIN med""")
+CLAIM_DISTRIBUTION_GAPPY = with_gappy(f"""
+SELECT department, COUNT(*) AS claim_count, COALESCE({msum(_NUM)}, 0.0) AS total_amount, {mmean(_NUM)} AS average_amount
+FROM gappy WHERE department IS NOT NULL GROUP BY department""")
+
 CLIP_AGE = with_claims("""
 SELECT claim_id, line_no, CAST(CASE WHEN employee_age < 18 THEN 18 WHEN employee_age > 100 THEN 100
        ELSE employee_age END AS INTEGER) AS employee_age FROM claims""")
@@ -456,11 +484,11 @@ CLEAN_CLAIMS = with_claims("""
 med AS (SELECT """ + ", ".join(f"median(CAST({c} AS DOUBLE)) AS m_{c}" for c in _NUM_COLS) + """ FROM c1),
 c2 AS (SELECT """ + ", ".join(
     (f"COALESCE({c}, 'Unknown') AS {c}" if c in _STRING_COLS else
-     f"COALESCE({c}, CAST(m_{c} AS {_NUM_TYPES[c]})) AS {c}" if c in _NUM_COLS else c)
+     f"COALESCE(CAST({c} AS DOUBLE), m_{c}) AS {c}" if c in _NUM_COLS else c)
     for c in CLAIM_COLUMNS) + """ FROM c1 CROSS JOIN med),
 am AS (SELECT median(abs(amount)) AS med FROM c2),
 c3 AS (SELECT c2.* REPLACE (CASE WHEN abs(amount) <= 0 THEN am.med ELSE abs(amount) END AS amount,
-        CAST(CASE WHEN employee_age < 18 THEN 18 WHEN employee_age > 100 THEN 100 ELSE employee_age END AS INTEGER) AS employee_age)
+        CAST(CASE WHEN employee_age < 18 THEN 18 WHEN employee_age > 100 THEN 100 ELSE employee_age END AS DOUBLE) AS employee_age)
        FROM c2 CROSS JOIN am),
 q AS (SELECT min(amount) AS lo, quantile_cont(amount, 0.25) AS q1, quantile_cont(amount, 0.5) AS q2,
              quantile_cont(amount, 0.75) AS q3, max(amount) AS hi FROM c3)
@@ -579,6 +607,8 @@ yb AS (SELECT avg(y) AS ybar FROM e)
 SELECT round(avg(abs(y - p)), 6) AS mae, round(sqrt(avg((y - p) * (y - p))), 6) AS rmse,
        round(1.0 - SUM((y - p) * (y - p)) / NULLIF(SUM((y - ybar) * (y - ybar)), 0), 6) AS r2
 FROM e CROSS JOIN yb""")
+MODEL_HISTORY = f"SELECT 'baseline' AS model, e.* FROM ({EVALUATE_BASELINE}) e"
+
 
 FILL_DEFAULTS = with_claims("""
 SELECT COALESCE(CAST(employee_age AS DOUBLE), 0.0) AS employee_age,
@@ -605,11 +635,25 @@ SELECT provider_id, COALESCE({msum('amount')}, 0.0) AS total_amount, COUNT(amoun
 FROM claims WHERE provider_id IS NOT NULL GROUP BY provider_id""")
 
 AUDIT_STREAM = """
-WITH a AS (SELECT ts, event_type AS action FROM events WHERE ts IS NOT NULL),
-mx AS (SELECT max(ts) AS m FROM a),
-c AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, action, COUNT(*) AS events FROM a GROUP BY 1, 2)
-SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, 'events' AS tenant, action, events
-FROM c, mx WHERE window_start + INTERVAL 1 HOUR <= mx.m - INTERVAL 10 MINUTE"""
+SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end,
+       'events' AS tenant, event_type AS action, COUNT(*) AS events
+FROM events WHERE ts IS NOT NULL GROUP BY ALL"""
+
+AUDIT_READ = """
+SELECT 'events' AS tenant, ts, CAST(user_id AS VARCHAR) AS "user", event_type AS action, props AS target, '' AS ip
+FROM events"""
+
+LABEL_FILES = """
+SELECT 'client' AS format, 'CLAIM_CENTRAL_ID,CLAIM_MEMBER_NUMBER,CLAIM_PROV_DATE,PROV_NAME,POL_NAME,Ailment,Department,SERVICE_DESCRIPTION,Gender,DOB,AMOUNT' AS header
+UNION ALL SELECT 'unknown', 'claim_id,line_no,fraud_flag'"""
+
+_BASELINE = f"""
+, m AS (SELECT diagnosis, {mmean('amount')} AS predicted_amount FROM claims WHERE diagnosis IS NOT NULL GROUP BY diagnosis),
+s AS (SELECT claim_id, line_no, amount, predicted_amount, fraud_flag = 1 AS is_potential_fraud FROM claims JOIN m USING (diagnosis))"""
+EXPORT_PREDICTIONS = with_claims(_BASELINE + "\nSELECT * FROM s")
+PREDICTION_SUMMARY_BASELINE = with_claims(_BASELINE + f"""
+SELECT {msum('predicted_amount')} AS total_predicted, {mmean('predicted_amount')} AS mean_predicted,
+       COUNT(*) FILTER (WHERE is_potential_fraud) AS fraud_count FROM s""")
 
 YEAR_OVER_YEAR = with_claims(_monthly_sql(
     f"COALESCE({msum('amount')}, 0.0) AS total_amount, COUNT(amount) AS claim_count",

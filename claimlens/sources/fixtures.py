@@ -203,6 +203,25 @@ FROM claims
 """
 
 
+def gappy_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims with missing numbers (NULL and NaN), parts of a cent and a sparse column."""
+    line = F.col("line_no")
+    return claims(spark, sf_dir).select(
+        "claim_id", "line_no",
+        F.when(line != 2, F.col("employee_age")).alias("employee_age"),
+        F.when(line == 3, F.lit(float("nan"))).when(line != 4, F.col("amount") / 1000).alias("amount"),
+        F.when(line != 5, F.col("department")).alias("department"),
+        F.when(line == 7, F.col("diagnosis")).alias("note"))
+
+
+GAPPY_SQL = """
+SELECT claim_id, line_no, CASE WHEN line_no <> 2 THEN employee_age END AS employee_age,
+  CASE WHEN line_no = 3 THEN CAST('NaN' AS DOUBLE) WHEN line_no <> 4 THEN amount / 1000 END AS amount,
+  CASE WHEN line_no <> 5 THEN department END AS department, CASE WHEN line_no = 7 THEN diagnosis END AS note
+FROM claims
+"""
+
+
 def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`events` seen as audit rows (timestamp, user, action, target)."""
     e = read_table(spark, sf_dir, "events")
