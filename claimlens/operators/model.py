@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import datetime as _dt
 import itertools
+import json
 import math
 import pickle
 import random
@@ -20,12 +21,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.param.shared import (HasFeaturesCol, HasLabelCol, HasMaxIter, HasPredictionCol, HasSeed, HasSolver,
+                                     HasStepSize)
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -169,14 +175,6 @@ def boosted_subsampled(seed: int = 42, **kw) -> GBTRegressor:
     return GBTRegressor(seed=seed, **kw)
 
 
-@dataclass
-class MLPModelData:
-    weights: list
-    activation: str
-    y_mean: float
-    y_std: float
-
-
 def _mlp_forward(W, X, act):
     h = X
     acts = [h]
@@ -228,86 +226,102 @@ def _local_epochs(W, X, y, act, solver, lr, batch, epochs, rng):
     return W
 
 
-class MLPRegressorModel(Model):
+class _MLPParams(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasMaxIter, HasStepSize, HasSeed, HasSolver):
+    hidden = Param(Params._dummy(), "hidden", "sizes of the hidden layers", TypeConverters.toListInt)
+    activation = Param(Params._dummy(), "activation", "relu or tanh", TypeConverters.toString)
+    localEpochs = Param(Params._dummy(), "localEpochs", "epochs between two averages", TypeConverters.toInt)
+    batchSize = Param(Params._dummy(), "batchSize", "rows of a mini-batch", TypeConverters.toInt)
+
+
+class MLPRegressorModel(Model, _MLPParams, DefaultParamsReadable, DefaultParamsWritable):
     """Scores with the averaged weights (pandas UDF, one Arrow batch at a time)."""
 
-    def __init__(self, data: MLPModelData, features_col: str = "features",
-                 prediction_col: str = "prediction"):
-        super().__init__()
-        self.data, self.features_col, self.prediction_col = data, features_col, prediction_col
+    weights = Param(Params._dummy(), "weights", "layers and target scale as JSON", TypeConverters.toString)
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        data = self.data
+        net = json.loads(self.getOrDefault(self.weights))
+        layers = [(np.asarray(w), np.asarray(b)) for w, b in net["layers"]]
+        act, mean, std = self.getOrDefault(self.activation), net["mean"], net["std"]
 
         @F.pandas_udf(T.DoubleType())
         def predict(arr: pd.Series) -> pd.Series:
-            X = np.stack(arr.to_numpy()) if len(arr) else np.zeros((0, len(data.weights[0][0])))
-            W = [(np.asarray(w), np.asarray(b)) for w, b in data.weights]
-            out = _mlp_forward(W, X, data.activation)[-1][:, 0] if len(X) else np.zeros(0)
-            return pd.Series(out * data.y_std + data.y_mean)
+            out = _mlp_forward(layers, np.stack(arr.to_numpy()), act)[-1][:, 0] if len(arr) else np.zeros(0)
+            return pd.Series(out * std + mean)
+
+        return df.withColumn(self.getPredictionCol(), predict(vector_to_array(F.col(self.getFeaturesCol()))))
 
-        return df.withColumn(self.prediction_col, predict(vector_to_array(F.col(self.features_col))))
 
+MERGE = 32      # weight sets averaged by one task
 
-class MLPRegressorEstimator(Estimator):
+
+def _average(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Row-weighted mean of weight sets."""
+    rows = pdf["n"].to_numpy(dtype="float64")
+    sets = [pickle.loads(w) for w in pdf["w"]]
+    mean = [tuple(sum(s[i][j] * r for s, r in zip(sets, rows)) / rows.sum() for j in (0, 1)) for i in range(len(sets[0]))]
+    return pd.DataFrame({"slot": [int(pdf["slot"].iloc[0]) // MERGE], "w": [pickle.dumps(mean)], "n": [int(rows.sum())]})
+
+
+class MLPRegressorEstimator(Estimator, _MLPParams, DefaultParamsReadable, DefaultParamsWritable):
     """Small multi-layer perceptron regressor trained data-parallel.
 
-    Each round broadcasts the weights; every partition runs ``local_epochs``
-    of mini-batch Adam on its own rows (``mapInPandas``) and returns its weights
-    and row count, one row per partition; the driver averages them, weighted by
-    rows (parameter averaging). ``max_iter`` bounds rounds x local epochs.
+    Each round broadcasts the weights; every task runs ``localEpochs`` of mini-batches
+    over its rows, one Arrow batch after another, and returns one weight set. The sets
+    are averaged by rows in a tree of tasks (``MERGE`` at a time), so the driver gets at
+    most ``MERGE`` of them. ``maxIter`` bounds rounds x local epochs.
     """
 
-    def __init__(self, hidden: Sequence[int] = (50,), activation: str = "relu",
-                 solver: str = "adam", max_iter: int = 200, local_epochs: int = 5,
-                 lr: float = 1e-3, batch: int = 200, seed: int = 42,
-                 features_col: str = "features", label_col: str = "label"):
+    @keyword_only
+    def __init__(self, *, hidden: Sequence[int] = (50,), activation: str = "relu", solver: str = "adam",
+                 maxIter: int = 200, localEpochs: int = 5, stepSize: float = 1e-3, batchSize: int = 200,
+                 seed: int = 42, featuresCol: str = "features", labelCol: str = "label",
+                 predictionCol: str = "prediction"):
         super().__init__()
-        self.hidden, self.activation, self.solver = list(hidden), activation, solver
-        self.max_iter, self.local_epochs, self.lr, self.batch, self.seed = max_iter, local_epochs, lr, batch, seed
-        self.features_col, self.label_col = features_col, label_col
+        self._setDefault(hidden=[50], activation="relu", solver="adam", maxIter=200, localEpochs=5, stepSize=1e-3,
+                         batchSize=200, seed=42, featuresCol="features", labelCol="label", predictionCol="prediction")
+        self._set(**{k: list(v) if k == "hidden" else v for k, v in self._input_kwargs.items()})
 
     def _fit(self, df: DataFrame) -> MLPRegressorModel:
-        st = df.agg(F.avg(self.label_col).alias("m"), F.stddev_pop(self.label_col).alias("s")).first()
+        get = self.getOrDefault
+        label = F.col(self.getLabelCol()).cast("double")
+        st = df.agg(F.avg(label).alias("m"), F.stddev_pop(label).alias("s")).first()
         y_mean, y_std = float(st["m"] or 0.0), float(st["s"] or 1.0) or 1.0
-        data = df.select(vector_to_array(F.col(self.features_col)).alias("x"),
-                         ((F.col(self.label_col).cast("double") - y_mean) / y_std).alias("y"))
-        data = cut_lineage(data)
+        data = cut_lineage(df.select(vector_to_array(F.col(self.getFeaturesCol())).alias("x"),
+                                     ((label - y_mean) / y_std).alias("y")))
         dim = len(data.first()["x"])
-        rng = np.random.default_rng(self.seed)
-        sizes = [dim] + self.hidden + [1]
+        seed, act, solver, lr = get(self.seed), get(self.activation), get(self.solver), get(self.stepSize)
+        batch, epochs = get(self.batchSize), get(self.localEpochs)
+        rng = np.random.default_rng(seed)
+        sizes = [dim, *get(self.hidden), 1]
         W = [(rng.normal(0, math.sqrt(2.0 / a), (a, b)), np.zeros(b)) for a, b in zip(sizes[:-1], sizes[1:])]
-        act, lr, batch, epochs, solver = self.activation, self.lr, self.batch, self.local_epochs, self.solver
-        rounds = max(1, self.max_iter // epochs)
-        spark = df.sparkSession
-        out_schema = "w binary, n long"
-        for r in range(rounds):
-            bw = spark.sparkContext.broadcast([(w.tolist(), b.tolist()) for w, b in W])
+        sc, tasks, schema = df.sparkSession.sparkContext, data.rdd.getNumPartitions(), "slot long, w binary, n long"
+        for r in range(max(1, get(self.maxIter) // epochs)):
+            bw = sc.broadcast(W)
 
             def local(batches, _bw=bw, _r=r):
                 from pyspark import TaskContext
-                pdf = pd.concat(list(batches) or [pd.DataFrame({"x": [], "y": []})])
-                if not len(pdf):
-                    return
-                X = np.stack(pdf["x"].to_numpy())
-                y = pdf["y"].to_numpy(dtype="float64")
-                W0 = [(np.asarray(w), np.asarray(b)) for w, b in _bw.value]
-                rng_local = np.random.default_rng([_r, TaskContext.get().partitionId()])
-                Wl = _local_epochs(W0, X, y, act, solver, lr, batch, epochs, rng_local)
-                yield pd.DataFrame({"w": [pickle.dumps(Wl)], "n": [len(X)]})
-
-            parts = data.mapInPandas(local, out_schema).collect()  # one row per partition
+                slot = TaskContext.get().partitionId()
+                own, n = _bw.value, 0
+                rng_local = np.random.default_rng([_r, slot])
+                for pdf in batches:
+                    if len(pdf):
+                        own = _local_epochs(own, np.stack(pdf["x"].to_numpy()), pdf["y"].to_numpy(dtype="float64"),
+                                            act, solver, lr, batch, epochs, rng_local)
+                        n += len(pdf)
+                if n:
+                    yield pd.DataFrame({"slot": [slot], "w": [pickle.dumps(own)], "n": [n]})
+
+            parts, left = data.mapInPandas(local, schema), tasks
+            while left > MERGE:
+                parts = parts.groupBy(F.floor(F.col("slot") / MERGE)).applyInPandas(_average, schema)
+                left = -(-left // MERGE)
+            W = pickle.loads(_average(parts.orderBy("slot").toPandas())["w"][0])   # at most MERGE rows
             bw.unpersist()
-            tot = sum(p["n"] for p in parts)
-            acc = None
-            for p in parts:
-                Wp = pickle.loads(p["w"])
-                wgt = p["n"] / tot
-                acc = ([(w * wgt, b * wgt) for w, b in Wp] if acc is None else
-                       [(aw + w * wgt, ab + b * wgt) for (aw, ab), (w, b) in zip(acc, Wp)])
-            W = acc
-        md = MLPModelData([(w.tolist(), b.tolist()) for w, b in W], act, y_mean, y_std)
-        return MLPRegressorModel(md, self.features_col)
+        net = {"layers": [(w.tolist(), b.tolist()) for w, b in W], "mean": y_mean, "std": y_std}
+        model = MLPRegressorModel()
+        model._set(weights=json.dumps(net), activation=act, featuresCol=self.getFeaturesCol(),
+                   predictionCol=self.getPredictionCol())
+        return model
 
 
 def mlp(**kw) -> MLPRegressorEstimator:
@@ -365,12 +379,26 @@ def train_and_evaluate(split_df: DataFrame, name: str, estimator, target: str =
     return Trained(name, model, m, num, cat)
 
 
-def auto_select(split_df: DataFrame, estimators: dict | None = None,
-                target: str = "amount") -> tuple[DataFrame, Trained]:
-    """Train every estimator, rank by R^2 (leaderboard DataFrame) and keep the best."""
-    estimators = estimators or {"GradientBoosting": gbt(), "RandomForest": random_forest(),
-                                "BoostedSubsampled": boosted_subsampled()}
-    results = [train_and_evaluate(split_df, n, e, target) for n, e in estimators.items()]
+#: the original estimators' settings in Spark ML terms; its forest grows without a depth
+#: limit, and 30 is the deepest that Spark ML allows
+GBT_PARAMS = {"maxIter": 100, "maxDepth": 3, "stepSize": 0.1}
+RF_PARAMS = {"numTrees": 100, "maxDepth": 30}
+BOOSTED_PARAMS = {"maxIter": 100, "maxDepth": 6, "stepSize": 0.3}
+MLP_PARAMS = {"hidden": [50], "maxIter": 500}
+
+
+def default_estimators() -> dict:
+    return {"GradientBoosting": gbt(**GBT_PARAMS), "RandomForest": random_forest(**RF_PARAMS),
+            "BoostedSubsampled": boosted_subsampled(**BOOSTED_PARAMS), "NeuralNetwork": mlp(**MLP_PARAMS)}
+
+
+def auto_select(split_df: DataFrame, estimators: dict | None = None, target: str = "amount",
+                trained: dict[str, Trained] | None = None) -> tuple[DataFrame, Trained]:
+    """Train every estimator, rank by R^2 (leaderboard DataFrame) and keep the best.
+    An estimator that ``trained`` names already is ranked as it is."""
+    trained = trained or {}
+    estimators = estimators or default_estimators()
+    results = [trained.get(n) or train_and_evaluate(split_df, n, e, target) for n, e in estimators.items()]
     spark = split_df.sparkSession
     board = spark.createDataFrame(
         [(r.name, r.metrics["mae"], r.metrics["rmse"], r.metrics["r2"]) for r in results],

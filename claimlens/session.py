@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "claimlens") -> SparkSession:
-    """Session used by tests and bench.py; on a cluster use the cluster's session."""
+    """Session used by tests and bench.py; on a cluster use the cluster's session.
+
+    ``$CLAIMLENS_CHECKPOINT_DIR`` names its ``spark.checkpoint.dir``; without it a scratch
+    folder is used, which is deleted when the process ends."""
+    folder = os.environ.get("CLAIMLENS_CHECKPOINT_DIR")
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="claimlens-ckpt-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -23,6 +32,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
+        .config("spark.checkpoint.dir", folder)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -7,12 +7,10 @@ needs and pushes filters into the parquet scans.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlens.session import read_table, work_dir
+from claimlens.session import read_table, table_path, work_dir
 
 CLAIM_COLUMNS = [
     "claim_id", "line_no", "employee_id", "employee_gender", "employee_age", "dob",
@@ -23,21 +21,22 @@ CLAIM_COLUMNS = [
 
 
 _TABLES = ["lineitem", "orders", "customer", "nation", "supplier", "part"]
+PARTITION_BYTES = 64 << 20
 _MATERIALIZED: dict[tuple, str] = {}
 
 
-def _stamp(sf_dir: str) -> tuple:
-    """Identity of the inputs: path plus size/mtime of local files (so a
+def _file_status(spark: SparkSession, path: str) -> tuple[int, int]:
+    """(bytes, time of change) of a file or folder on whatever store holds it."""
+    jvm = spark.sparkContext._jvm
+    hp = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.getContentSummary(hp).getLength(), fs.getFileStatus(hp).getModificationTime()
+
+
+def _stamp(spark: SparkSession, sf_dir: str) -> tuple:
+    """Identity of the inputs: path plus size and time of change of each table (so a
     changed table is never served from a stale copy)."""
-    out = [sf_dir]
-    for t in _TABLES:
-        p = os.path.join(sf_dir, f"{t}.parquet")
-        try:
-            st = os.stat(p)
-            out.append((t, st.st_size, int(st.st_mtime)))
-        except OSError:
-            out.append((t, None, None))
-    return tuple(out)
+    return (sf_dir, *[(t, *_file_status(spark, table_path(spark, sf_dir, t))) for t in _TABLES])
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -57,7 +56,9 @@ def materialize_claims(spark: SparkSession, sf_dir: str, path: str | None = None
     (employer, date) pair that holds a large share of the rows.
     """
     path = path or work_dir(spark, "claims")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a partition per 64 MB of line items at least, so partitions do not grow with the table
+    size = _file_status(spark, table_path(spark, sf_dir, "lineitem"))[0]
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PARTITION_BYTES)
     (claims_view(spark, sf_dir)
         .repartitionByRange(n, F.col("employer").asc_nulls_last(), F.col("date").asc_nulls_last(),
                             F.col("claim_id").asc_nulls_last())
@@ -72,7 +73,7 @@ def claims(spark: SparkSession, sf_dir: str, materialized: bool = True) -> DataF
     ``materialized=False`` the join plan over the raw tables is returned."""
     if not materialized:
         return claims_view(spark, sf_dir)
-    key = (spark.sparkContext.applicationId, _stamp(sf_dir))
+    key = (spark.sparkContext.applicationId, _stamp(spark, sf_dir))
     path = _MATERIALIZED.get(key)
     if path is None or not _exists(spark, path):
         path = materialize_claims(spark, sf_dir)

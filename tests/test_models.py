@@ -96,8 +96,30 @@ def test_gbt_beats_mean_predictor_and_importance(spark, split):
 
 
 def test_mlp_learns(spark, split):
-    t = M.train_and_evaluate(split, "mlp", M.mlp(hidden=(16,), max_iter=20, local_epochs=5))
+    t = M.train_and_evaluate(split, "mlp", M.mlp(hidden=(16,), maxIter=20, localEpochs=5))
     assert t.metrics["r2"] > 0.0
+    # saved, loaded and scored again; searched over its parameters
+    path = tempfile.mkdtemp(prefix="mlp-") + "/m"
+    reg = t.model.stages[-1]
+    reg.write().overwrite().save(path)
+    rows = t.model.stages[0].transform(split.limit(20))
+    assert (M.MLPRegressorModel.load(path).transform(rows).select("prediction").collect()
+            == reg.transform(rows).select("prediction").collect())
+    est = M.mlp(maxIter=5)
+    maps = M.sample_param_maps(est, {"hidden": [[4], [8]], "stepSize": [1e-3]}, 2)
+    _, table = M.random_search(split.filter(F.col("split") == "train"), est, maps, folds=2)
+    assert table.count() == 2
+
+
+def test_mlp_averages_weight_sets_by_rows():
+    import pickle
+
+    import pandas as pd
+    sets = [[(np.full((2, 1), float(v)), np.array([v * 2.0]))] for v in (1, 5)]
+    out = M._average(pd.DataFrame({"slot": [32, 40], "w": [pickle.dumps(s) for s in sets], "n": [3, 1]}))
+    (w, b), = pickle.loads(out["w"][0])
+    assert out["slot"][0] == 1 and out["n"][0] == 4
+    assert w.tolist() == [[2.0], [2.0]] and b.tolist() == [4.0]
 
 
 def test_auto_select_and_search(spark, split):
