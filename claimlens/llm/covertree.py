@@ -14,7 +14,7 @@ fills several blocks).
 
 Defined cases: vectors null, or with a null or non-finite component, take no part. A
 shorter vector counts as padded with zeros. A query is never its own candidate (rows of
-the same id are the same vector). Scores tie towards the smaller id. Scores beyond the
+the same id are one vector and count once, as query and as candidate). Scores tie towards the smaller id. Scores beyond the
 range of a long are held at its ends. Empty input gives no rows; other columns are
 ignored.
 """
@@ -199,8 +199,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_i
         F.col(vec_id).cast("long").alias("id"),
         F.transform(v, lambda x: F.floor(x * F.lit(float(scale))).cast("double")).alias("v"),
         F.coalesce(is_query, F.lit(False)).alias("q"))
-    data = _pack(rows.select("id", "v"), BLOCK, "block")
-    queries = _pack(rows.filter("q").select("id", "v").dropDuplicates(["id"]), GROUP, "grp")
+    # one row per id on both sides: copies would fill the places of other neighbours
+    vecs = cut_lineage(rows.groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q")))
+    data = _pack(vecs.select("id", "v"), BLOCK, "block")
+    queries = _pack(vecs.filter("q").select("id", "v"), GROUP, "grp")
     groups, blocks = queries.count(), data.count()
     if not groups or not blocks:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")

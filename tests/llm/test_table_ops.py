@@ -96,6 +96,17 @@ def test_cover_tree_equals_brute_force(spark, kind, monkeypatch):
     assert got == _brute(rows)
 
 
+def test_cover_tree_repeated_rows(spark):
+    rng = np.random.default_rng(11)
+    base = [(i, v) for i, v in enumerate(rng.normal(size=(120, 6)).tolist())]
+    want = _brute(base)
+    copies = {want[0][2]: 9, want[1][2]: 7, 0: 8, 50: 30}       # best rows and queries of their own
+    rows = [r for r in base for _ in range(copies.get(r[0], 1))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = sorted(tuple(r) for r in covertree.top_k(df, F.col("vec_id") % 50 == 0).collect())
+    assert got == want
+
+
 def test_cover_tree_covers_and_prunes():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(10, 6))[rng.integers(0, 10, 2000)] * 100 + rng.normal(size=(2000, 6))
