@@ -9,14 +9,15 @@ subsets at each of several densities, so that texts of every length have subsets
 hold a few of their terms. The fingerprint hashes, for each subset, the sorted distinct
 terms of the text that lie in it (six hex digits of an md5; that of the empty string
 stands for no term). Densities at which a subset would hold more than ``MANY`` of the
-text's terms on average are left empty: they would change with every word.
+text's terms on average are left empty, as they would change with every word; the
+sparsest never is, whatever the length of the text.
 
 The likeness of two fingerprints is, at the density where it is largest, the share of
 subsets with equal hashes among those that are not empty in both; at least ``FEW`` such
 subsets count at a density, unless none has so many. Equal fingerprints: 1.
 
-A text with fewer than ``FEW`` lexicon terms is fingerprinted on the sorted list of all
-its distinct terms, in one hash that fills every place.
+A text with fewer than ``FEW`` lexicon terms, or with none in any subset, is fingerprinted
+on the sorted list of all its distinct terms, in one hash that fills every place.
 
 Defined cases: null text is the empty text; texts without terms have the fingerprint of
 the empty list. Rows of the same key and text are one document, returned as often as it
@@ -33,7 +34,7 @@ from pyspark.sql.window import Window
 from claimlens.llm.common import cut_lineage, partitions
 
 LOW, HIGH = 0.001, 0.05
-DENSITIES = (4, 16, 64, 256, 1024)     # a subset holds one in so many lexicon terms
+DENSITIES = (4, 16, 64, 256, 1024, 4096, 16384)     # a subset holds one in so many lexicon terms
 SUBSETS, HEX, FEW, MANY = 8, 6, 3, 8
 PLACES = len(DENSITIES) * SUBSETS
 BROADCAST_TERMS = 1_000_000             # larger lexicons are joined by shuffle
@@ -88,10 +89,12 @@ def _print(prints: DataFrame, found: str, all_hash: str, name: str) -> DataFrame
 
     def place(i: int, d: int, p: int) -> Column:
         own = F.substring(F.md5(F.array_join(_having(F.col(f"__{i}"), 1 << p)["code"], ",")), 1, HEX)
-        return own if d < 2 else F.when(size <= MANY * DENSITIES[d], own).otherwise(_NONE)
+        return own if d < 2 or d == len(DENSITIES) - 1 else F.when(size <= MANY * DENSITIES[d], own).otherwise(_NONE)
 
     places = [place(i, d, p) for i, kind in enumerate(kinds) for d in kind for p in range(d * SUBSETS, (d + 1) * SUBSETS)]
-    return prints.withColumn(name, F.when(size >= FEW, F.concat(*places)).otherwise(F.repeat(all_hash, PLACES))).drop(*picked)
+    prints = prints.withColumn("__subsets", F.when(size >= FEW, F.concat(*places)))
+    some = F.col("__subsets") != _NONE * PLACES       # null: too few terms
+    return prints.withColumn(name, F.when(some, F.col("__subsets")).otherwise(F.repeat(all_hash, PLACES))).drop(*picked, "__subsets")
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -65,6 +65,18 @@ def test_imatch_cases(spark):
     assert one["edited_sha256"] == hashlib.sha256(b"abcaab").hexdigest() and one["near_next"] == 1.0
 
 
+def test_imatch_very_long_texts(spark):
+    # two pairs of texts of 12,000 lexicon terms that share all but 40 words, and halves of them
+    a = [f"a{i}" for i in range(12_000)]
+    b = [f"b{i}" for i in range(12_000)]
+    rows = [(9, " ".join(a)), (8, " ".join(a[:-40] + b[:40])), (7, " ".join(b)), (6, " ".join(b[:-40] + a[:40])),
+            (5, " ".join(a[::2])), (4, " ".join(b[::2]))]
+    out = {r["doc_id"]: r for r in imatch.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), high=1.0).collect()}
+    assert len({out[k]["fingerprint"] for k in (9, 7, 5, 4)}) == 4
+    assert out[9]["near_next"] > 0.5 and out[7]["near_next"] > 0.5
+    assert out[8]["near_next"] < 0.2 and out[9]["near_edited"] < 1
+
+
 # ------------------------------------------------------------------ op2
 
 def _brute(vectors, k=5):
