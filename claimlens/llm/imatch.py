@@ -3,8 +3,12 @@
 Terms are the lower-cased runs of letters and digits. The lexicon holds the terms whose
 document frequency lies in a band, ``low`` to ``high`` of all documents (an inverse
 document frequency band): words in nearly every text say nothing, words in hardly any
-are noise. Its size is bounded by the mean number of distinct terms divided by ``low``,
-whatever the corpus. Randomised subsets of the lexicon are drawn by md5: ``SUBSETS``
+are noise. A class of near-equal texts counts for no more documents than the lower end
+of the band, in a term's frequency and in the number of documents, so the terms of a
+text do not leave the band by its copies. Near-equal texts are found by ``SKETCHES``
+sketches, each the ``LEAST`` smallest of the seeded term hashes; sketches of many
+documents that occur together in many documents are one class. The size of the lexicon
+is bounded by the mean number of distinct terms divided by ``low``, whatever the corpus. Randomised subsets of the lexicon are drawn by md5: ``SUBSETS``
 subsets at each of several densities, so that texts of every length have subsets that
 hold a few of their terms. The fingerprint hashes, for each subset, the sorted distinct
 terms of the text that lie in it (six hex digits of an md5; that of the empty string
@@ -27,6 +31,9 @@ ignored.
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -37,6 +44,7 @@ LOW, HIGH = 0.001, 0.05
 DENSITIES = (4, 16, 64, 256, 1024, 4096, 16384)     # a subset holds one in so many lexicon terms
 SUBSETS, HEX, FEW, MANY = 8, 6, 3, 8
 PLACES = len(DENSITIES) * SUBSETS
+SKETCHES, LEAST = 4, 3
 BROADCAST_TERMS = 1_000_000             # larger lexicons are joined by shuffle
 _NONE = "d41d8c"                         # md5 of the empty string
 
@@ -46,14 +54,71 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.split(F.concat(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), F.lit("  ")), " +"))
 
 
+def sketches(found: str) -> list[Column]:
+    """Sketches of a column of term hashes; near-equal sets agree in most of them."""
+    def one(i: int) -> Column:
+        seed = int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16)
+        drawn = F.transform(found, lambda x: x.bitwiseXOR(F.lit(seed).cast("long")))
+        return F.xxhash64(F.lit(i), F.slice(F.sort_array(drawn), 1, LEAST))
+
+    return [one(i) for i in range(SKETCHES)]
+
+
+def _hashed(docs: DataFrame, text: str) -> DataFrame:
+    listed = docs.select(F.array_remove(terms(F.col(text)), "").alias("t"))
+    return listed.withColumn("hashes", F.transform("t", lambda t: F.xxhash64(t))).withColumn("s", F.array(*sketches("hashes")))
+
+
+def near_classes(sketched: DataFrame, most: int) -> dict[int, int]:
+    """Class of each sketch that more than ``most`` documents have.
+
+    Two such sketches are of one class if more than ``most`` documents have both. Whatever
+    the corpus, fewer than SKETCHES / low sketches and 6 / low pairs of them pass."""
+    often = [r["x"] for r in sketched.select(F.explode("s").alias("x")).groupBy("x").count()
+             .filter(F.col("count") > most).select("x").collect()]
+    root = {x: x for x in often}
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    if often:
+        both = F.array(*[F.struct(F.col("s")[i].alias("x"), F.col("s")[j].alias("y"))
+                         for i in range(SKETCHES) for j in range(i + 1, SKETCHES)])
+        for r in (sketched.select(F.explode(both).alias("p")).groupBy("p.x", "p.y").count()
+                  .filter(F.col("count") > most).collect()):
+            a, b = top(r["x"]), top(r["y"])
+            root[max(a, b)] = min(a, b)
+    return {x: top(x) for x in often}
+
+
 def lexicon(docs: DataFrame, text: str, low: float, high: float) -> DataFrame:
     """(term, code, mask): in-band terms, their md5 code and the subsets they lie in.
 
     The empty term, which every text has, comes with an empty code."""
     spark = docs.sparkSession
     n = docs.count()
-    counts = (docs.select(F.explode(terms(F.col(text))).alias("term"))
-              .filter("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    most = max(2, math.ceil(low * n))
+    hashed = _hashed(docs, text)
+    sketched = cut_lineage(hashed.select("s"))
+    classes = near_classes(sketched, most)
+
+    def classed(rows: DataFrame) -> DataFrame:
+        if not classes:
+            return rows.withColumn("cls", F.lit(None).cast("long"))
+        known = F.broadcast(spark.createDataFrame([(classes,)], "known map<long,long>"))
+        return rows.crossJoin(known).withColumn("cls", F.coalesce(*[F.col("known")[F.col("s")[i]] for i in range(SKETCHES)]))
+
+    # documents outside the classes count one by one, those of a class at most ``most``
+    counted = F.sum(F.when(F.col("cls").isNull(), F.col("m")).otherwise(F.least("m", F.lit(most))))
+    if classes:
+        n = classed(sketched).groupBy("cls").agg(F.count(F.lit(1)).alias("m")).agg(counted).first()[0]
+        each = classed(hashed).select("cls", F.explode("t").alias("term"))
+    else:
+        each = classed(docs.select(F.explode(terms(F.col(text))).alias("term")).filter("term <> ''"))
+    counts = (each.groupBy("term", "cls").agg(F.count(F.lit(1)).alias("m")).groupBy("term").agg(counted.alias("df"))
               .filter((F.col("df") >= max(2.0, low * n)) & (F.col("df") <= max(2.0, high * n))))
 
     def drawn(p: int) -> Column:

@@ -77,6 +77,25 @@ def test_imatch_very_long_texts(spark):
     assert out[8]["near_next"] < 0.2 and out[9]["near_edited"] < 1
 
 
+def test_imatch_near_copies_of_a_third(spark):
+    rnd = random.Random(6)
+    common = [f"c{i}" for i in range(400)]
+    base = rnd.sample(common, 60) + [f"own{i}" for i in range(20)]
+    rows = []
+    for i in range(300):
+        if i < 100:                                    # one text, each with one word changed
+            words = base.copy()
+            words[rnd.randrange(80)] = f"new{i}"
+        else:
+            words = rnd.sample(common, 12) + rnd.sample([f"r{j}" for j in range(2000)], 60)
+        rows.append((i, " ".join(words)))
+    out = {r["doc_id"]: r for r in imatch.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(out) == 300
+    assert np.mean([out[i]["near_next"] for i in range(1, 100)]) > 0.5
+    assert np.mean([out[i]["near_edited"] for i in range(1, 100)]) > 0.1       # a third is replaced
+    assert np.mean([out[i]["near_next"] for i in range(101, 300)]) < 0.1
+
+
 # ------------------------------------------------------------------ op2
 
 def _brute(vectors, k=5):
