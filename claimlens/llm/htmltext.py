@@ -1,12 +1,14 @@
 """Main text of web pages by the distribution of text over lines.
 
 Markup is stripped to lines, one per block element. Every line has a weight: its
-visible text length, 0 in page furniture (menus, headers, footers, sidebars, notices,
-adverts, forms, reader comments) and in lists of links. Weights are summed over a
-sliding window of ``WINDOW`` lines. A region surges where the window sum rises from
-nothing and dives where it falls back; regions whose peak reaches the page's threshold
-are kept, with the text of their weighted lines. Where the page marks its article, only
-lines inside count and every region is kept.
+visible text length, ``MARK`` times that inside an article or main element, 0 in page
+furniture (menus, headers, footers, sidebars, notices, adverts, forms, reader comments)
+and in lists of links. Weights are summed over a sliding window of ``WINDOW`` lines, which
+does not reach over the edge of an article. A region surges where the window sum rises
+from nothing and dives where it falls back; the parts of one article are one region.
+Regions whose peak reaches the page's threshold are kept, marked or not, with all their
+lines that are no furniture: also lines that are mostly a link, and link lists between
+their lines or anywhere in a kept article.
 
 Defined cases: null or empty html gives the empty text. Broken markup is read as
 browsers do in the simple cases: ``<p>`` and ``<li>`` end implicitly, an end tag without
@@ -17,6 +19,7 @@ is text, an unfinished script or comment runs to the end.
 from __future__ import annotations
 
 import html as _html
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -24,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, LOW = 3, 80
+WINDOW, LOW, MARK = 3, 80, 2
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -60,15 +63,17 @@ def _furniture(name: str, attrs: str, in_article: bool) -> bool:
     return bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", attrs))
 
 
-def lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, weight, inside an article) of each block line, in page order."""
+def lines(page: str) -> list[tuple[str, bool, int, int]]:
+    """(text, furniture, number of the article or 0, 1 for a link or 2 for one in a list)
+    of each block line, in page order."""
     out: list = []
     stack: list = []            # (name, furniture, article)
+    articles = 0
     parts: list[str] = []       # pieces of the current line
     linked = 0
 
     def state():
-        return (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        return (stack[-1][1], stack[-1][2]) if stack else (False, 0)
 
     def flush():
         nonlocal linked
@@ -78,7 +83,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
                 odd, inside = state()
                 in_list = any(s[0] == "li" for s in stack)
                 links = linked > 0.8 * len(text) and (in_list or not inside)
-                out.append((text, 0 if odd or links else len(text), inside))
+                out.append((text, odd, inside, links * (1 + in_list)))
             parts.clear()
         linked = 0
 
@@ -123,7 +128,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         odd, inside = state()
         attrs = m["attrs"]
         if name in _INLINE:
-            hidden = bool(attrs) and name != "a" and _furniture(name, attrs, inside)
+            hidden = bool(attrs) and name != "a" and _furniture(name, attrs, inside > 0)
             if hidden and not odd:
                 flush()
                 stack.append((name, True, inside))
@@ -142,8 +147,11 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         while stack and stack[-1][0] in _INLINE:      # inline elements left open end with their block
             stack.pop()
         odd, inside = state()
-        article = inside or name in ("article", "main") or 'role="main"' in attrs
-        stack.append((name, odd or _furniture(name, attrs, inside), article))
+        article = inside
+        if name in ("article", "main") or 'role="main"' in attrs:
+            articles += 1
+            article = articles
+        stack.append((name, odd or _furniture(name, attrs, inside > 0), article))
     if pos < len(page):
         text_piece(page[pos:])
     flush()
@@ -155,16 +163,46 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     found = lines(page)
-    marked = any(inside and w for _, w, inside in found)
-    weight = [w if inside or not marked else 0 for _, w, inside in found]
-    n = len(weight)
+    weight = [0 if odd or link else len(text) * (MARK if inside else 1) for text, odd, inside, link in found]
+    regions: list = []          # [peak, article, (surge, dive) of each part]
+    of_article: dict = {}
+    start = 0
+    for inside, group in itertools.groupby(found, key=lambda x: x[2]):
+        end = start + len(list(group))
+        for peak, surge, dive in _parts(weight, start, end):
+            region = of_article.get(inside) if inside else None
+            if region is None:
+                regions.append(region := [0, inside, []])
+                of_article[inside] = region
+            region[0] = max(region[0], peak)
+            region[2].append((surge, dive))
+        start = end
+    top = max((r[0] for r in regions), default=0)
+    low = min(LOW * (MARK if any(r[1] for r in regions) else 1), top / 4)
+    chosen = [r for r in regions if r[0] >= low]
+    kept = {k for r in chosen for lo, hi in r[2] for k in range(lo, hi) if weight[k] or found[k][3] == 1}
+    whole = {r[1] for r in chosen if r[1]}
+    before = None               # the last kept line that has weight, with no furniture or other article since
+    for k, (_, odd, inside, link) in enumerate(found):
+        if inside in whole and link and not odd:
+            kept.add(k)
+        if weight[k] and k in kept:
+            if before is not None and found[before][2] == inside:
+                kept.update(i for i in range(before + 1, k) if found[i][3])
+            before = k
+        elif odd or not link or before is not None and found[before][2] != inside:
+            before = None
+    return "\n\n".join(found[k][0] for k in sorted(kept) if not found[k][1])
+
+
+def _parts(weight: list[int], start: int, end: int) -> Iterator[tuple[int, int, int]]:
+    """(peak, surge, dive) of each run of lines whose window sum is not 0."""
     total = [0]
-    for w in weight:
+    for w in weight[start:end]:
         total.append(total[-1] + w)
-    half = WINDOW // 2
+    n, half = end - start, WINDOW // 2
     window = [total[min(n, i + half + 1)] - total[max(0, i - half)] for i in range(n)]
-    low = 1 if marked else min(LOW, max(window, default=0) / 4)
-    kept, i = [], 0
+    i = 0
     while i < n:
         if not window[i]:
             i += 1
@@ -172,10 +210,8 @@ def main_text(page: str | None) -> str:
         dive = i                                       # surge at i: find the dive
         while dive < n and window[dive]:
             dive += 1
-        if max(window[i:dive]) >= low:
-            kept.extend(found[k][0] for k in range(i, dive) if weight[k])
+        yield max(window[i:dive]), start + i, start + dive
         i = dive
-    return "\n\n".join(kept)
 
 
 def extract(pages: DataFrame, html: str = "html", name: str = "text") -> DataFrame:

@@ -178,6 +178,26 @@ def test_main_text_cases(spark):
     assert [r["text"] for r in htmltext.extract(df).collect()] == ["", ""]
 
 
+def test_main_text_outside_of_teaser_articles():
+    body = [f"Paragraph {i} of the main text, which is long enough to be one of several real paragraphs." for i in range(8)]
+    page = ("<body><nav><a href=1>Home</a></nav><div id=text>" + "".join(f"<p>{b}</p>" for b in body) + "</div>"
+            "<article><a href=2>Teaser one</a></article><article><a href=3>Teaser two</a></article><footer>end</footer>")
+    got = htmltext.main_text(page).split("\n\n")
+    assert got[:8] == body and "Home" not in got and "end" not in got
+    unmarked = ("<body><ul><li><a href=1>Home</a><li><a href=2>About</a><li><a href=3>Contact</a></ul><h2><a href=4>Linked title</a></h2>"
+                f"<p>{body[0]}</p><h3><a href=5>Linked heading</a></h3><p>{body[1]}</p><p><a href=6>{body[2]}</a></p>"
+                f"<ul>{''.join(f'<li><a href=x>Reference {i}</a>' for i in range(5))}</ul><p>{body[3]}</p>")
+    refs = [f"Reference {i}" for i in range(5)]
+    assert htmltext.main_text(unmarked).split("\n\n") == ["Linked title", body[0], "Linked heading", body[1], body[2], *refs, body[3]]
+
+
+def test_main_text_keeps_reference_lists():
+    page = (f"<article><p>{'Some text of an article. ' * 9}</p><ul>" + "".join(f"<li><a href=x>Reference {i}</a></li>" for i in range(6))
+            + "</ul><aside>Other news</aside><p>Note</p></article>")
+    got = htmltext.main_text(page).split("\n\n")
+    assert got[1:] == [*(f"Reference {i}" for i in range(6)), "Note"]
+
+
 def test_every_page_gives_its_article(spark):
     import html
     import re
