@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlens.llm import bpe, covertree, hdlang, htmltext, imatch, jaccard, mil, mixing, tokenbin, warc
+from claimlens.llm import blobledger, bpe, covertree, hdlang, htmltext, imatch, jaccard, mil, mixing, tokenbin, warc
 from claimlens.llm import oracles as O
 from claimlens.llm.common import bounded_batches, fold, table, work_dir
 
@@ -100,9 +100,15 @@ def op10_bpe_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(docs, "text", tokenizer_path("word_bpe_49k.json")).drop("text")
 
 
+def op12_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    return blobledger.scan_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (op1_imatch, op2_cover_tree_topk, op3_hd_language, op4_warc, op5_mix,
-                                    op6_token_store, op7_jaccard_join, op8_html_text, op9_mil_quality, op10_bpe_dp)}
+                                    op6_token_store, op7_jaccard_join, op8_html_text, op9_mil_quality, op10_bpe_dp,
+                                    op12_blob_ledger)}
 
 
 def oracle_sql() -> dict[str, str]:

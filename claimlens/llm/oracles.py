@@ -64,3 +64,35 @@ o AS (
 SELECT doc_id, domain, lang, source, n_tokens, whole + CASE WHEN upto <= rest AND whole < 2 THEN 1 ELSE 0 END AS times
 FROM o WHERE whole > 0 OR (upto <= rest AND whole < 2)
 """
+
+
+def _found(kind: str, at: int, pattern: str, keep: str = "true", options: str = "") -> str:
+    """Spans of one kind: the pieces between the matches give the places of the matches."""
+    p = pattern.replace("'", "''")
+    o = f", '{options}'" if options else ""
+    return f"""
+  SELECT n, {at} AS nth, '{kind}' AS kind, start, start + length(m) AS stop FROM (
+    SELECT n, ms[i] AS m, (list_sum(list_transform(parts[1:i], lambda x: length(x)))
+      + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0))::BIGINT AS start
+    FROM (SELECT n, regexp_extract_all(t, '{p}', 0{o}) AS ms, regexp_split_to_array(t, '{p}'{o}) AS parts FROM d), range(1, 1 + len(ms)) r(i))
+  WHERE {keep}"""
+
+
+_ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+_ASSIGN_SQL = _ASSIGN.replace("'", "''")
+ORACLES["op12_blob_ledger"] = f"""
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS t FROM documents),
+s AS ({_found("assign", 0, _ASSIGN, f"length(regexp_extract(m, '{_ASSIGN_SQL}', 2)) >= 6")}
+  UNION ALL {_found("access", 1, "AKIA[A-Z0-9]+", "length(m) >= 20")}
+  UNION ALL {_found("hex", 2, "[0-9a-f]{24,}")}
+  UNION ALL {_found("pem", 3, "-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----")}
+  UNION ALL {_found("jwt", 4, "eyJ[A-Za-z0-9_-]{8,}[.]eyJ[A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]+")}),
+g AS (
+  SELECT n, count(*) FILTER (WHERE nth = 0) AS n_assign, count(*) FILTER (WHERE nth = 1) AS n_access, count(*) FILTER (WHERE nth = 2) AS n_hex,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, nth) FILTER (WHERE nth < 3) AS base,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, nth) AS spans
+  FROM s GROUP BY n)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access,
+  coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (n)
+"""
