@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlens.llm import blobledger, bpe, covertree, hdlang, htmltext, imatch, jaccard, mil, mixing, tokenbin, warc
+from claimlens.llm import blobledger, bpe, covertree, hdlang, htmltext, imatch, jaccard, mil, mixing, recompress, tokenbin, warc
 from claimlens.llm import oracles as O
 from claimlens.llm.common import bounded_batches, fold, table, work_dir
 
@@ -105,10 +105,26 @@ def op12_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blobledger.scan_documents(table(spark, sf_dir, "documents"))
 
 
+def op13_recompression_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    found = recompress.run_detection(table(spark, sf_dir, "documents"), "text", ["doc_id"],
+                                     periodic_tail=F.crc32(F.col("doc_id").cast("string")))
+    runs = F.col("runs")
+    best = F.element_at(F.array_sort(F.transform(runs, lambda r: F.struct(
+        (-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period")))), 1)
+    lines = F.array_join(F.transform(runs, lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    length, period = -F.col("best.less"), F.col("best.period")
+    return found.withColumn("best", F.when(F.size(runs) > 0, best)).select(
+        "doc_id", F.size(runs).cast("long").alias("n_runs"), F.col("best.start").alias("start"), length.alias("length"),
+        period.alias("period"), F.expr("(-best.less * 1000) div best.period").alias("exponent_milli"),
+        F.sha2(F.when(F.size(runs) > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (op1_imatch, op2_cover_tree_topk, op3_hd_language, op4_warc, op5_mix,
                                     op6_token_store, op7_jaccard_join, op8_html_text, op9_mil_quality, op10_bpe_dp,
-                                    op12_blob_ledger)}
+                                    op12_blob_ledger, op13_recompression_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
