@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlens.llm import blobledger, bpe, covertree, hdlang, htmltext, imatch, jaccard, mil, mixing, recompress, tokenbin, warc
+from claimlens.llm import blobledger, bpe, covertree, hdlang, htmltext, imatch, jaccard, mil, mixing, multiindex, recompress, tokenbin, warc
 from claimlens.llm import oracles as O
 from claimlens.llm.common import bounded_batches, fold, table, work_dir
 
@@ -100,6 +100,13 @@ def op10_bpe_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(docs, "text", tokenizer_path("word_bpe_49k.json")).drop("text")
 
 
+def op11_multiindex_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark, 256)
+    key, label = F.col("vec_id"), F.col("label")
+    return multiindex.mine(table(spark, sf_dir, "embeddings"), key % 100 == 0,
+                           F.when(key % 7 == 0, (label + 1) % 10).otherwise(label))
+
+
 def op12_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     return blobledger.scan_documents(table(spark, sf_dir, "documents"))
@@ -124,7 +131,7 @@ def op13_recompression_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {f.__name__: f for f in (op1_imatch, op2_cover_tree_topk, op3_hd_language, op4_warc, op5_mix,
                                     op6_token_store, op7_jaccard_join, op8_html_text, op9_mil_quality, op10_bpe_dp,
-                                    op12_blob_ledger, op13_recompression_runs)}
+                                    op11_multiindex_negatives, op12_blob_ledger, op13_recompression_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
