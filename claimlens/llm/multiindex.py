@@ -49,7 +49,9 @@ _ANCHOR = "id long, label long, v array<double>, lo array<long>, hi array<long>,
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
-    """Centroids of the distinct rows of ``x`` (at most ``k``)."""
+    """Centroids of the distinct rows of ``x`` (at most ``k``; the origin, if there are none)."""
+    if not len(x):
+        return np.zeros((1, x.shape[1]))
     x = np.unique(x, axis=0)
     rng = np.random.default_rng(seed)
     c = x[np.sort(rng.permutation(len(x))[:k])].copy()
