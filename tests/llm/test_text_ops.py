@@ -198,6 +198,43 @@ def test_main_text_keeps_reference_lists():
     assert got[1:] == [*(f"Reference {i}" for i in range(6)), "Note"]
 
 
+_BODY = [f"Paragraph {i} of the real text, which is long enough to be one of several." for i in range(5)]
+_WRAPS = ['<div class="main-content has-sidebar">', '<div class="no-sidebar content">', '<div class="elementor-widget">',
+          '<div id=content class="post comments-open">', '<div title="the hidden truth">', '<div data-x="not hidden here">',
+          '<form id=aspnetForm>', '<div title="a > b">', "<div data-a='x\">' class=text>"]
+
+
+@pytest.mark.parametrize("wrap", _WRAPS)
+@pytest.mark.parametrize("tag", ["article", "section"])
+def test_class_words_never_drop_the_text(wrap, tag):
+    page = (f"<body><nav>Menu words</nav>{wrap}<{tag}>" + "".join(f"<p>{b}</p>" for b in _BODY) + f"</{tag}>"
+            '<div class="comments"><p>' + "A reader writes a very long comment here. " * 20 + "</p></div><footer>end</footer>")
+    assert htmltext.main_text(page).split("\n\n") == _BODY
+
+
+def test_plain_page_without_classes_or_semantic_tags():
+    page = ("<div>Home</div><div>Products</div><div>About us</div><h1>Title</h1>" + "".join(f"<div>{b}</div>" for b in _BODY)
+            + "<div>Terms of use</div><div>© 2024 Foo Inc. All rights reserved.</div>")
+    assert htmltext.main_text(page).split("\n\n") == ["Title", *_BODY]
+
+
+def test_comments_in_article_elements_are_no_article():
+    page = ("<div id=post>" + "".join(f"<p>{b}</p>" for b in _BODY) + '</div><ol class="comment-list">'
+            + "".join(f'<li><article class="comment-body"><p>Comment {i}. {"I like it. " * 30}</p></article>' for i in range(9)) + "</ol>")
+    assert htmltext.main_text(page).split("\n\n") == _BODY
+
+
+@pytest.mark.parametrize("bad", [
+    '<a "x" ' * 150_000, "<a href=x " * 100_000, '<a t="' * 170_000, '<a t="x>' * 130_000, '<a t="' * 170_000 + ">", "<!--" * 250_000,
+    "<script>" * 120_000, "<div>" * 200_000, "<" * 1_000_000, "<i>" + "<div>" * 90_000 + "</i>" * 90_000,
+    "<i><div>" + "<b>" * 90_000 + "</i>" * 90_000, "<p>" + "<b>" * 90_000 + "<p>" * 90_000, '<a "x" ' * 150_000 + ">"])
+def test_broken_markup_takes_linear_time(bad):
+    import time
+    t = time.process_time()
+    htmltext.main_text(bad)
+    assert time.process_time() - t < 5                # measured 0.0 to 0.7 s; quadratic scans took minutes
+
+
 def test_every_page_gives_its_article(spark):
     import html
     import re
