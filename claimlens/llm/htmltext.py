@@ -100,8 +100,13 @@ def tokens(page: str) -> Iterator[tuple[str, str, dict[str, str]]]:
     last, quotes = page.rfind(">"), True
     while True:
         lt = page.find("<", pos)
-        if lt < 0 or lt > last and not page.startswith("<!--", lt):
+        if lt < 0:
             break
+        if lt > last:                                   # no tag ends any more: text up to a comment
+            end = page.find("<!--", lt)
+            if text < (end if end >= 0 else len(page)):
+                yield "text", page[text:end] if end >= 0 else page[text:], {}
+            return
         pos = lt + 1
         if page.startswith("!--", pos):
             end = page.find("-->", pos + 3)
