@@ -269,6 +269,11 @@ def _settle(found: list[Line], parts: list[tuple[str, int]]) -> None:
     """Mark the lines of guessed parts as furniture, except of those that hold the text."""
     if not parts:
         return
+    firm: list[bool] = []
+    for kind, around in parts:
+        firm.append(kind == "firm" or around >= 0 and firm[around])
+    for line in found:
+        line.odd = line.odd or line.part >= 0 and firm[line.part]
     size, marked = [0] * len(parts), [0] * len(parts)
     for line in found:
         if not line.odd and line.part >= 0:
@@ -281,9 +286,9 @@ def _settle(found: list[Line], parts: list[tuple[str, int]]) -> None:
             size[parts[i][1]] += size[i]
             marked[parts[i][1]] += marked[i]
     drop: list[bool] = []
-    for i, (kind, around) in enumerate(parts):
+    for i, (_, around) in enumerate(parts):
         holds = 2 * marked[i] > articles and 3 * marked[i] >= whole if articles else 3 * size[i] > 2 * whole
-        drop.append(around >= 0 and drop[around] or kind == "firm" or not holds)
+        drop.append(firm[i] or around >= 0 and drop[around] or not holds)
     for line in found:
         line.odd = line.odd or line.part >= 0 and drop[line.part]
 
