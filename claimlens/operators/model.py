@@ -16,12 +16,13 @@ import json
 import math
 import pickle
 import random
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark import keyword_only
+from pyspark import inheritable_thread_target, keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
@@ -29,7 +30,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import (HasFeaturesCol, HasLabelCol, HasMaxIter, HasPredictionCol, HasSeed, HasSolver,
                                      HasStepSize)
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.tuning import CrossValidator
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, SparkSession
@@ -39,7 +40,9 @@ from pyspark.sql.window import Window
 
 from claimlens.functions.exprs import money_mean, money_sum
 from claimlens.operators import iforest as IF
+from claimlens.operators import trees
 from claimlens.operators.common import exact_percentile, global_rank, running_counts
+from claimlens.operators.trees import ForestRegressor
 from claimlens.session import cut_lineage
 
 # ---------------------------------------------------------------- fixed values
@@ -163,8 +166,8 @@ def gbt(seed: int = 42, **kw) -> GBTRegressor:
     return GBTRegressor(seed=seed, **kw)
 
 
-def random_forest(seed: int = 42, **kw) -> RandomForestRegressor:
-    return RandomForestRegressor(seed=seed, **kw)
+def random_forest(seed: int = 42, **kw) -> ForestRegressor:
+    return ForestRegressor(seed=seed, **kw)
 
 
 def boosted_subsampled(seed: int = 42, **kw) -> GBTRegressor:
@@ -361,8 +364,15 @@ def _with_label(df: DataFrame, target: str) -> DataFrame:
     return df.withColumn("label", F.col(target).cast("double")).filter(F.col("label").isNotNull())
 
 
+def _on_columns(forest: ForestRegressor, numeric: Sequence[str], categorical: Sequence[str]) -> ForestRegressor:
+    return forest.copy({forest.numericCols: list(numeric), forest.categoricalCols: list(categorical)})
+
+
 def fit_model(train: DataFrame, estimator, numeric: Sequence[str], categorical: Sequence[str],
               target: str = "amount") -> PipelineModel:
+    """The fitted model; a forest takes the raw columns, the others the feature vectors."""
+    if isinstance(estimator, ForestRegressor):
+        return PipelineModel(stages=[_on_columns(estimator, numeric, categorical).fit(_with_label(train, target))])
     feats = feature_pipeline(train, numeric, categorical)
     reg = estimator.fit(feats.transform(_with_label(train, target)))
     return PipelineModel(stages=[feats, reg])
@@ -379,10 +389,9 @@ def train_and_evaluate(split_df: DataFrame, name: str, estimator, target: str =
     return Trained(name, model, m, num, cat)
 
 
-#: the original estimators' settings in Spark ML terms; its forest grows without a depth
-#: limit, and 30 is the deepest that Spark ML allows
+#: the original estimators' settings; its forest grows without a depth limit (0)
 GBT_PARAMS = {"maxIter": 100, "maxDepth": 3, "stepSize": 0.1}
-RF_PARAMS = {"numTrees": 100, "maxDepth": 30}
+RF_PARAMS = {"numTrees": 100, "maxDepth": 0, "minSamplesSplit": 2}
 BOOSTED_PARAMS = {"maxIter": 100, "maxDepth": 6, "stepSize": 0.3}
 MLP_PARAMS = {"hidden": [50], "maxIter": 500}
 
@@ -392,14 +401,16 @@ def default_estimators() -> dict:
             "BoostedSubsampled": boosted_subsampled(**BOOSTED_PARAMS), "NeuralNetwork": mlp(**MLP_PARAMS)}
 
 
-def auto_select(split_df: DataFrame, estimators: dict | None = None, target: str = "amount",
-                trained: dict[str, Trained] | None = None) -> tuple[DataFrame, Trained]:
-    """Train every estimator, rank by R^2 (leaderboard DataFrame) and keep the best.
-    An estimator that ``trained`` names already is ranked as it is."""
-    trained = trained or {}
+def auto_select(split_df: DataFrame, estimators: dict | None = None, target: str = "amount", parallelism: int = 4,
+                train: Callable[[str], Trained] | None = None) -> tuple[DataFrame, Trained]:
+    """Train every estimator, ``parallelism`` at a time (their small jobs share the cluster),
+    rank by R^2 (leaderboard DataFrame) and keep the best. ``train``: another way to get the
+    trained model of a name, such as a registry of models."""
     estimators = estimators or default_estimators()
-    results = [trained.get(n) or train_and_evaluate(split_df, n, e, target) for n, e in estimators.items()]
     spark = split_df.sparkSession
+    make = inheritable_thread_target(spark)(train or (lambda n: train_and_evaluate(split_df, n, estimators[n], target)))
+    with ThreadPool(max(1, min(parallelism, len(estimators)))) as pool:
+        results = pool.map(make, list(estimators))
     board = spark.createDataFrame(
         [(r.name, r.metrics["mae"], r.metrics["rmse"], r.metrics["r2"]) for r in results],
         "model string, mae double, rmse double, r2 double").orderBy(F.col("r2").desc())
@@ -407,9 +418,9 @@ def auto_select(split_df: DataFrame, estimators: dict | None = None, target: str
     return board, best
 
 
-# grids of the original search, expressed as Spark ML parameters
+# grids of the original search
 GBT_GRID = {"maxIter": [100, 200, 300], "stepSize": [0.01, 0.05, 0.1], "maxDepth": [3, 5, 7]}
-RF_GRID = {"numTrees": [50, 100, 200], "maxDepth": [5, 10, 30], "minInstancesPerNode": [2, 5, 10]}
+RF_GRID = {"numTrees": [50, 100, 200], "maxDepth": [5, 10, 0], "minSamplesSplit": [2, 5, 10]}
 
 
 def sample_param_maps(estimator, grid: dict, n_iter: int, seed: int = 42) -> list[dict]:
@@ -442,24 +453,36 @@ def random_search(train: DataFrame, estimator, param_maps: list[dict], folds: in
                   numeric: Sequence[str] | None = None,
                   categorical: Sequence[str] | None = None) -> tuple[PipelineModel, DataFrame]:
     """k-fold cross-validated search minimising MAE on the training data only.
-    Returns the refitted best model and a table of (params, mean MAE)."""
+    Returns the refitted best model and a table of (params, mean MAE). The draws of a
+    forest share the trees of each fold (``trees.search``)."""
     num, cat = (list(numeric), list(categorical)) if numeric is not None else select_features(train, target)
+    spark, schema = train.sparkSession, "params string, cv_mae double"
+
+    def table_of(maes) -> list[tuple[str, float]]:
+        return [(";".join(f"{p.name}={v}" for p, v in sorted(pm.items(), key=lambda kv: kv[0].name)), float(m))
+                for pm, m in zip(param_maps, maes)]
+
+    if isinstance(estimator, ForestRegressor):
+        forest = _on_columns(estimator, num, cat)
+        maes = trees.search(_with_label(train, target), forest, [{p.name: v for p, v in pm.items()} for pm in param_maps], folds)
+        best = param_maps[min(range(len(maes)), key=maes.__getitem__)]
+        return fit_model(train, forest.copy(best), num, cat, target), spark.createDataFrame(table_of(maes), schema)
     feats = feature_pipeline(train, num, cat)
     data = cut_lineage(feats.transform(_with_label(train, target)).select("features", "label"))
     cv = CrossValidator(estimator=estimator, estimatorParamMaps=param_maps,
                         evaluator=RegressionEvaluator(metricName="mae"), numFolds=folds,
                         parallelism=parallelism, seed=seed)
     cvm = cv.fit(data)
-    rows = [(";".join(f"{p.name}={v}" for p, v in sorted(pm.items(), key=lambda kv: kv[0].name)), float(m))
-            for pm, m in zip(param_maps, cvm.avgMetrics)]
-    table = train.sparkSession.createDataFrame(rows, "params string, cv_mae double")
-    return PipelineModel(stages=[feats, cvm.bestModel]), table
+    return PipelineModel(stages=[feats, cvm.bestModel]), spark.createDataFrame(table_of(cvm.avgMetrics), schema)
 
 
 def feature_importance(model: PipelineModel, sample: DataFrame) -> DataFrame:
     """(feature, importance) descending: tree importances, |coef| for linear
     models, uniform otherwise."""
     feats, reg = model.stages[0], model.stages[-1]
+    if hasattr(reg, "importances"):                     # a forest on raw columns
+        return sample.sparkSession.createDataFrame(reg.importances(sample), "feature string, importance double").orderBy(
+            F.col("importance").desc())
     names = feature_names(feats.transform(sample.limit(1)))
     if hasattr(reg, "featureImportances"):
         imp = reg.featureImportances.toArray().tolist()

@@ -617,13 +617,8 @@ def _split(spark, d):
         M.temporal_split(clean.clean_claims(_claims(spark, d), AS_OF), 0.2)))
 
 
-def _estimators() -> dict:
-    # depth 10: a forest of depth 30 (M.RF_PARAMS) takes minutes on the smallest tables (README)
-    return M.default_estimators() | {"RandomForest": M.random_forest(**M.RF_PARAMS | {"maxDepth": 10})}
-
-
 def _trained(spark, d, name):
-    return _memo(spark, d, name, lambda: M.train_and_evaluate(_split(spark, d), name, _estimators()[name]))
+    return _memo(spark, d, name, lambda: M.train_and_evaluate(_split(spark, d), name, M.default_estimators()[name]))
 
 
 def _gbt(spark, d):
@@ -658,17 +653,14 @@ def _q(spark, d):
 @register("auto_select", None, "leaderboard of randomised models")
 def _q(spark, d):
     """Leaderboard by R^2 over the four models; those that other entries trained are reused."""
-    models = _estimators()
-    return M.auto_select(_split(spark, d), models, trained={n: _trained(spark, d, n) for n in models})[0]
+    return M.auto_select(_split(spark, d), train=lambda n: _trained(spark, d, n))[0]
 
 
-@register("random_search", None, "cross-validated search; registry runs 4 draws x 3 folds")
+@register("random_search", None, "cross-validated search, 20 draws x 5 folds")
 def _q(spark, d):
-    sp = _split(spark, d)
     est = M.random_forest()
-    maps = M.sample_param_maps(est, {"numTrees": [20, 50], "maxDepth": [5, 8], "minInstancesPerNode": [2, 5]}, 4)
-    _, table = M.random_search(sp.filter(F.col("split") == "train"), est, maps, folds=3)
-    return table
+    train = _split(spark, d).filter(F.col("split") == "train")
+    return M.random_search(train, est, M.sample_param_maps(est, M.RF_GRID, 20), folds=5)[1]
 
 
 @register("feature_importance", None, "importances of a randomised model")
