@@ -41,6 +41,7 @@ from pyspark.sql.window import Window
 from claimlens.functions.exprs import money_mean, money_sum
 from claimlens.operators import iforest as IF
 from claimlens.operators import trees
+from claimlens.operators.boosting import SecondOrderBooster
 from claimlens.operators.common import exact_percentile, global_rank, running_counts
 from claimlens.operators.trees import ForestRegressor
 from claimlens.session import cut_lineage
@@ -170,12 +171,10 @@ def random_forest(seed: int = 42, **kw) -> ForestRegressor:
     return ForestRegressor(seed=seed, **kw)
 
 
-def boosted_subsampled(seed: int = 42, **kw) -> GBTRegressor:
-    """Boosting that stands in for the XGBoost model: all rows and columns by default,
-    subsampled only where the caller or the search ranges ask for it."""
-    kw.setdefault("subsamplingRate", 1.0)
-    kw.setdefault("featureSubsetStrategy", "all")
-    return GBTRegressor(seed=seed, **kw)
+def boosted_subsampled(seed: int = 42, **kw) -> SecondOrderBooster:
+    """Second-order boosting: all rows and columns by default, subsampled only where the
+    caller or the search ranges ask for it."""
+    return SecondOrderBooster(seed=seed, **kw)
 
 
 def _mlp_forward(W, X, act):
@@ -364,14 +363,17 @@ def _with_label(df: DataFrame, target: str) -> DataFrame:
     return df.withColumn("label", F.col(target).cast("double")).filter(F.col("label").isNotNull())
 
 
-def _on_columns(forest: ForestRegressor, numeric: Sequence[str], categorical: Sequence[str]) -> ForestRegressor:
-    return forest.copy({forest.numericCols: list(numeric), forest.categoricalCols: list(categorical)})
+ON_COLUMNS = (ForestRegressor, SecondOrderBooster)      # these take raw columns, the others feature vectors
+
+
+def _on_columns(estimator, numeric: Sequence[str], categorical: Sequence[str]):
+    return estimator.copy({estimator.numericCols: list(numeric), estimator.categoricalCols: list(categorical)})
 
 
 def fit_model(train: DataFrame, estimator, numeric: Sequence[str], categorical: Sequence[str],
               target: str = "amount") -> PipelineModel:
-    """The fitted model; a forest takes the raw columns, the others the feature vectors."""
-    if isinstance(estimator, ForestRegressor):
+    """The fitted model, over raw columns or feature vectors as its estimator takes them."""
+    if isinstance(estimator, ON_COLUMNS):
         return PipelineModel(stages=[_on_columns(estimator, numeric, categorical).fit(_with_label(train, target))])
     feats = feature_pipeline(train, numeric, categorical)
     reg = estimator.fit(feats.transform(_with_label(train, target)))
@@ -443,7 +445,7 @@ def sample_ranges(estimator, n_iter: int, seed: int = 42) -> list[dict]:
             estimator.getParam("maxDepth"): rnd.randint(3, 10),
             estimator.getParam("stepSize"): math.exp(rnd.uniform(math.log(0.001), math.log(0.1))),
             estimator.getParam("subsamplingRate"): rnd.uniform(0.5, 1.0),
-            estimator.getParam("featureSubsetStrategy"): f"{rnd.uniform(0.5, 1.0):.3f}",
+            estimator.getParam("columnSamplingRate"): rnd.uniform(0.5, 1.0),
         })
     return maps
 
@@ -467,20 +469,24 @@ def random_search(train: DataFrame, estimator, param_maps: list[dict], folds: in
         maes = trees.search(_with_label(train, target), forest, [{p.name: v for p, v in pm.items()} for pm in param_maps], folds)
         best = param_maps[min(range(len(maes)), key=maes.__getitem__)]
         return fit_model(train, forest.copy(best), num, cat, target), spark.createDataFrame(table_of(maes), schema)
-    feats = feature_pipeline(train, num, cat)
-    data = cut_lineage(feats.transform(_with_label(train, target)).select("features", "label"))
+    if isinstance(estimator, ON_COLUMNS):
+        feats, estimator = None, _on_columns(estimator, num, cat)
+        data = cut_lineage(_with_label(train, target).select(*num, *cat, "label"))
+    else:
+        feats = feature_pipeline(train, num, cat)
+        data = cut_lineage(feats.transform(_with_label(train, target)).select("features", "label"))
     cv = CrossValidator(estimator=estimator, estimatorParamMaps=param_maps,
                         evaluator=RegressionEvaluator(metricName="mae"), numFolds=folds,
                         parallelism=parallelism, seed=seed)
     cvm = cv.fit(data)
-    return PipelineModel(stages=[feats, cvm.bestModel]), spark.createDataFrame(table_of(cvm.avgMetrics), schema)
+    return PipelineModel(stages=[feats, cvm.bestModel] if feats else [cvm.bestModel]), spark.createDataFrame(table_of(cvm.avgMetrics), schema)
 
 
 def feature_importance(model: PipelineModel, sample: DataFrame) -> DataFrame:
     """(feature, importance) descending: tree importances, |coef| for linear
     models, uniform otherwise."""
     feats, reg = model.stages[0], model.stages[-1]
-    if hasattr(reg, "importances"):                     # a forest on raw columns
+    if hasattr(reg, "importances"):                     # trees on raw columns
         return sample.sparkSession.createDataFrame(reg.importances(sample), "feature string, importance double").orderBy(
             F.col("importance").desc())
     names = feature_names(feats.transform(sample.limit(1)))
