@@ -286,55 +286,57 @@ def exact_percentile(df: DataFrame, col: str, q: float, accuracy: int = 10000) -
     return exact_percentiles(df, [(col, q)], accuracy)[(col, q)]
 
 
-def grouped_percentile(df: DataFrame, keys: Sequence[str], col: str, q: float,
-                       accuracy: int = 10000, out_col: str = "percentile") -> DataFrame:
-    """Exact linear-interpolated percentile of ``col`` per group, with no group's
-    values gathered in one task (a group may hold a large share of the rows).
-
-    Per group a sketch brackets the wanted order statistics (grouped
-    ``percentile_approx``: bounded state, map-side combined); values are counted
-    below and inside the bracket; the bracketed ones are counted per distinct value and
-    running sums over (keys, value) find the order statistics. A group whose bracket
-    misses counts all its values (still distributed). Returns one row per group:
-    keys, ``out_col``.
+DIGITS = 64             # buckets of a power of two: a bucket is about one per cent wide
+
+
+def value_bucket(x: Column) -> Column:
+    """The leading digits of a number, in its order: equal numbers share a bucket, and a
+    greater number never has a smaller one."""
+    size = F.floor(F.least(F.log2(F.abs(x) + F.lit(1.0)), F.lit(2000.0)) * F.lit(float(DIGITS)))
+    return F.when(x < 0, -size).otherwise(size)
+
+
+def grouped_percentile(df: DataFrame, keys: Sequence[str], col: str, q: float, out_col: str = "percentile",
+                       sums: dict[str, Column] | None = None) -> DataFrame:
+    """Exact linear-interpolated percentile of ``col`` per group by radix selection: no
+    group's values are gathered in one task (a group may hold a large share of the rows).
+
+    Values are counted per (group, leading digits), a map-side combined aggregate; running
+    counts over a group's few buckets name those that hold the wanted order statistics. Only
+    values of these buckets are counted one by one, which costs one row per distinct value.
+    ``sums`` (name -> aggregate ``sum`` or ``count``) are added up in the first pass. The
+    buckets named, one row per group, are written, so that their size decides the join.
+    Returns one row per group: keys, ``out_col`` (null without a number), sums.
     """
-    keys = list(keys)
+    keys, sums = list(keys), dict(sums or {})
     x = F.col(col).cast("double")
-    vals = df.select(*keys, x.alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    eps = 2.0 / accuracy
-    lo_q, hi_q = max(0.0, q - eps), min(1.0, q + eps)
-    st = vals.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
-                                 F.percentile_approx("_v", [lo_q, hi_q], accuracy).alias("_b"))
-    lo = F.lit(None).cast("double") if lo_q == 0.0 else F.col("_b")[0]
-    hi = F.lit(None).cast("double") if hi_q == 1.0 else F.col("_b")[1]
-    st = st.select(*keys, "_n", lo.alias("_lo"), hi.alias("_hi"))
-    in_band = ((F.col("_lo").isNull() | (F.col("_v") >= F.col("_lo")))
-               & (F.col("_hi").isNull() | (F.col("_v") <= F.col("_hi"))))
-    j = vals.join(st, keys)  # one row per group on the right: AQE broadcasts or skew-splits
-    cnt = j.groupBy(*keys).agg(
-        F.count_if(F.col("_lo").isNotNull() & (F.col("_v") < F.col("_lo"))).alias("_below"),
-        F.count_if(in_band).alias("_width"))
+    ok = x.isNotNull() & ~F.isnan(x)
+    rows = df.withColumn("_v", F.when(ok, x)).withColumn("_b", value_bucket(F.col("_v")))
+    counts = rows.groupBy(*keys, "_b").agg(F.count("_v").alias("_c"), *[c.alias(n) for n, c in sums.items()])
+    group = Window.partitionBy(*keys)
+    before = group.orderBy(F.col("_b").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     pos = F.lit(q) * (F.col("_n") - 1)
-    meta = (st.join(cnt, keys)
-              .withColumn("_qpos", pos)
-              .withColumn("_r1", F.floor(pos).cast("long"))
-              .withColumn("_r2", F.ceil(pos).cast("long")))
-    hit = (F.col("_below") <= F.col("_r1")) & (F.col("_r2") < F.col("_below") + F.col("_width"))
-    meta = meta.withColumn("_base", F.when(hit, F.col("_below")).otherwise(F.lit(0)).cast("long")) \
-               .withColumn("_whole", ~hit)
-    band = (vals.join(meta.select(*keys, "_lo", "_hi", "_whole", "_base", "_r1", "_r2", "_qpos"), keys)
-                .filter(F.col("_whole") | in_band))
-    counts = band.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"), F.first("_base").alias("_base"),
-                                           F.first("_r1").alias("_r1"), F.first("_r2").alias("_r2"),
-                                           F.first("_qpos").alias("_qpos"))
-    ranked = running_counts(counts, keys + ["_v"])
-    start = ranked.groupBy(*keys).agg(F.min("_before").alias("_g0"))
-    local = ranked.join(start, keys).withColumn("_k", F.col("_before") - F.col("_g0") + F.col("_base"))
-
-    def at(r: str):
-        return F.max(F.when((F.col("_k") <= F.col(r)) & (F.col(r) < F.col("_k") + F.col("_c")), F.col("_v")))
-
-    picks = local.groupBy(*keys).agg(at("_r1").alias("_v1"), at("_r2").alias("_v2"),
-                                     F.first("_qpos").alias("_qpos"), F.first("_r1").alias("_r1"))
-    return picks.select(*keys, (F.col("_v1") + (F.col("_v2") - F.col("_v1"))
-                                * (F.col("_qpos") - F.col("_r1"))).alias(out_col))
+    placed = (counts.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+              .withColumn("_n", F.sum("_c").over(group)).withColumn("_qpos", pos))
+    holds = (F.col("_before") <= F.ceil("_qpos")) & (F.floor("_qpos") < F.col("_before") + F.col("_c")) & F.col("_b").isNotNull()
+    named = cut_lineage(placed.groupBy(*keys).agg(
+        F.min(F.when(holds, F.col("_b"))).alias("_lo"), F.max(F.when(holds, F.col("_b"))).alias("_hi"),
+        F.min(F.when(holds, F.col("_before"))).alias("_base"), F.first("_qpos").alias("_qpos"), *[F.sum(n).alias(n) for n in sums]))
+    # keys joined null-safely: a null key is a group like others
+    side = named.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_lo", "_hi", "_base", "_qpos")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    near = rows.select(*keys, "_v", "_b").filter("_b IS NOT NULL").join(side, same).filter("_b BETWEEN _lo AND _hi")
+    values = near.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"), F.first("_base").alias("_base"), F.first("_qpos").alias("_qpos"))
+    upto = group.orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    at = values.withColumn("_k", F.col("_base") + F.coalesce(F.sum("_c").over(upto), F.lit(0)))
+
+    def value(rank: Column) -> Column:
+        return F.max(F.when((F.col("_k") <= rank) & (rank < F.col("_k") + F.col("_c")), F.col("_v")))
+
+    low, part = F.floor("_qpos"), F.first("_qpos") - F.floor(F.first("_qpos"))
+    picks = at.groupBy(*keys).agg(value(low).alias("_v1"), value(F.ceil("_qpos")).alias("_v2"), part.alias("_part"))
+    picks = picks.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+                         (F.col("_v1") + (F.col("_v2") - F.col("_v1")) * F.col("_part")).alias(out_col))
+    return named.join(picks, same, "left").select(*keys, out_col, *sums)

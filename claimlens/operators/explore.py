@@ -90,32 +90,25 @@ def provider_stats(df: DataFrame, provider: str = "provider_id", amount: str = "
     """Per provider: total, count, mean, median amount and mean fraud flag.
 
     A bad amount counts as 0 and a missing flag as 0. Median strategies:
-    ``distributed`` (default): ``grouped_percentile`` counts sketch-bracketed values
-    across tasks, whatever a group's size. ``merge``: Spark's exact percentile, a
+    ``distributed`` (default): ``grouped_percentile``, radix selection whatever a
+    group's size. ``merge``: Spark's exact percentile, a
     value->count map per group that is merged in one task (for groups known to have
     few distinct values). ``approx_median``: a fixed-size sketch.
     """
     amt = F.coalesce(F.col(amount).cast("double"), F.lit(0.0))
     flg = (F.coalesce(F.col(flag).cast("double"), F.lit(0.0)) if flag in df.columns
            else F.lit(0.0))
-    a = F.col("_amt")
-    aggs = [F.sum(money("_amt")).cast("double").alias("total_amount"),
-            F.count(F.lit(1)).alias("total_claims"),
-            (F.sum(money("_amt")).cast("double") / F.count(F.lit(1))).alias("avg_amount")]
-    distributed = median == "distributed" and not approx_median
-    if not distributed:
-        med = F.percentile_approx(a, 0.5, 10000) if approx_median else F.median(a)
-        aggs.append(rounded(med.cast("double")).alias("median_amount"))
-    aggs.append(F.avg("_flg").alias("fraud_rate"))
     src = (df.filter(F.col(provider).isNotNull())
              .select(F.col(provider), amt.alias("_amt"), flg.alias("_flg")))
-    out = src.groupBy(provider).agg(*aggs)
-    if not distributed:
-        return out
-    med = grouped_percentile(src, [provider], "_amt", 0.5, out_col="median_amount")
-    return (out.join(med.withColumn("median_amount", rounded(F.col("median_amount"))), provider)
-               .select(provider, "total_amount", "total_claims", "avg_amount", "median_amount",
-                       "fraud_rate"))
+    sums = {"_total": F.sum(money("_amt")), "total_claims": F.count(F.lit(1)), "_flags": F.sum("_flg")}
+    if median == "distributed" and not approx_median:
+        out = grouped_percentile(src, [provider], "_amt", 0.5, out_col="_median", sums=sums)
+    else:
+        med = F.percentile_approx("_amt", 0.5, 10000) if approx_median else F.median("_amt")
+        out = src.groupBy(provider).agg(*[c.alias(n) for n, c in sums.items()], med.cast("double").alias("_median"))
+    total = F.col("_total").cast("double")
+    return out.select(provider, total.alias("total_amount"), "total_claims", (total / F.col("total_claims")).alias("avg_amount"),
+                      rounded(F.col("_median")).alias("median_amount"), (F.col("_flags") / F.col("total_claims")).alias("fraud_rate"))
 
 
 def _overall_mean(df: DataFrame, amount: str) -> DataFrame:

@@ -406,6 +406,31 @@ def test_grouped_percentile_hot_group_matches_numpy(spark):
     assert a == b
 
 
+@pytest.mark.parametrize("q", [0.0, 0.25, 0.5, 0.731, 1.0])
+def test_radix_percentiles_match_numpy(spark, q):
+    rng = np.random.default_rng(4)
+    rows = [(None if i % 11 == 0 else i % 4, float(v)) for i, v in enumerate(np.concatenate([
+        rng.normal(0, 1, 300), rng.normal(0, 1e9, 300), np.round(rng.normal(500, 90, 300), 2), np.full(300, 7.25), rng.exponential(1e-4, 300)]))]
+    rows += [(9, float("nan")), (9, None), (8, 5.0), (8, None), (7, -1e300), (7, 1e300), (7, 0.0)]
+    df = spark.createDataFrame(rows, "g int, x double").repartition(5)
+    out = common.grouped_percentile(df, ["g"], "x", q, sums={"n": F.count(F.lit(1)), "s": F.sum(F.lit(2))}).collect()
+    got = {r["g"]: r for r in out}
+    assert len(out) == len(got) == 8 and got[9]["percentile"] is None and got[9]["n"] == 2
+    for g in {r[0] for r in rows}:
+        x = [v for k, v in rows if k == g and v is not None and v == v]
+        assert got[g]["n"] == sum(k == g for k, _ in rows) and got[g]["s"] == 2 * got[g]["n"]
+        if x:
+            assert got[g]["percentile"] == pytest.approx(np.percentile(x, 100 * q), rel=1e-9, abs=1e-12)
+    assert common.grouped_percentile(df.limit(0), ["g"], "x", q).count() == 0
+
+
+def test_value_buckets_keep_the_order(spark):
+    xs = sorted([0.0, -0.0, 1e-9, -1e-9, 0.5, 1.0, 1.01, 99.99, 100.0, -3.0, -2.99, 1e308, -1e308, float("inf"), float("-inf")])
+    got = [r["b"] for r in spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double").select(
+        "i", common.value_bucket(F.col("x")).alias("b")).orderBy("i").collect()]
+    assert got == sorted(got)
+
+
 def test_clean_claims_fixes_non_positive_amounts(spark):
     rows = [(30, a, D(2021, 6, 1), D(2021, 1, 1)) for a in (0.0, -4.0, 2.0, 6.0)]
     df = spark.createDataFrame(rows, "employee_age int, amount double, hire_date date, submission_date date")
@@ -431,7 +456,7 @@ def test_percentiles_of_a_value_most_rows_share(spark):
     got = common.exact_percentiles(df, [("x", q) for q in (0.1, 0.5, 0.949, 0.95, 0.951, 0.99)], accuracy=100)
     for (_, q), v in got.items():
         assert abs(v - np.percentile(vals, q * 100)) < 1e-9
-    per = {r["g"]: r["percentile"] for r in common.grouped_percentile(df, ["g"], "x", 0.96, accuracy=100).collect()}
+    per = {r["g"]: r["percentile"] for r in common.grouped_percentile(df, ["g"], "x", 0.96).collect()}
     for g in range(3):
         assert abs(per[g] - np.percentile(vals[g::3], 96)) < 1e-9
     counted = common.running_counts(df.groupBy("x").count().withColumnRenamed("count", "_c"), ["x"])
