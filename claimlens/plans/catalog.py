@@ -429,22 +429,32 @@ def _q(spark, d):
 
 @register("login_lockout_stream", S.FAILED_LOGIN_BURST)
 def _q(spark, d):
-    """E2 as a stateful stream: events written as audit JSON files, the run of
-    failures per user kept in the state store (applyInPandasWithState)."""
+    """E2 as a stream: audit JSON files arrive in the order of time, slice by slice; each
+    arrival is a micro-batch of at most ``LOCKOUT_FILES`` files, runs carried on."""
     from claimlens.streaming import login_lockout as LL
     base = work_dir(spark, "lockout")
     ev = fx.audit_events(spark, d).select(
         F.lit("events").alias("tenant"), F.col("timestamp").alias("ts"), "user", "action",
         F.col("event_id").cast("string").alias("target"), F.lit("").alias("ip"))
-    audit_append(ev, f"{base}/source")
-    src = (spark.readStream.schema(ST.STREAM_SCHEMA).json(f"{base}/source")
+    src = (spark.readStream.schema(ST.STREAM_SCHEMA).option("maxFilesPerTrigger", LOCKOUT_FILES).json(f"{base}/source/*")
                 .select(F.col("target").cast("long").alias("event_id"), "user", "timestamp", "action"))
-    q = (LL.lockout_updates(src, 3).writeStream.outputMode("append").format("parquet")
-           .option("path", f"{base}/sink").option("checkpointLocation", f"{base}/checkpoint")
-           .trigger(availableNow=True).start())
-    q.awaitTermination()
-    out = spark.read.parquet(f"{base}/sink")
-    return out.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+    for part in _time_slices(ev, "ts", LOCKOUT_SLICES):
+        audit_append(part.coalesce(LOCKOUT_FILES), f"{base}/source")
+        LL.start_lockout(src, base, 3).awaitTermination()
+    return LL.read_lockouts(spark, base).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+
+
+LOCKOUT_SLICES, LOCKOUT_FILES = 6, 8
+
+
+def _time_slices(df, ts: str, n: int) -> list:
+    """``n`` consecutive slices of equal duration; null times are in the first."""
+    lo, hi = df.agg(F.min(ts), F.max(ts)).first()
+    if lo is None:
+        return [df]
+    cuts = [lo + (hi - lo) * i / n for i in range(1, n)]
+    slot = sum((F.coalesce(F.col(ts) >= F.lit(c), F.lit(False)).cast("int") for c in cuts), F.lit(0))
+    return [df.filter(slot == i) for i in range(n)]
 
 
 _AT = _dt.datetime(2002, 1, 1, 12)
