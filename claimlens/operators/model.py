@@ -2,8 +2,8 @@
 
 Features are one ``pyspark.ml`` PipelineModel: a SQLTransformer that
 standard-scales the numeric columns with statistics from one aggregate
-(population std, zero std -> 1), StringIndexer + OneHotEncoder for the
-categoricals (an unseen value maps to the all-zero vector), and a
+(population std, zero std -> 1), a distributed dictionary + OneHotEncoder for
+the categoricals (an unseen value maps to the all-zero vector), and a
 VectorAssembler. Models, cross-validation and scoring are Spark ML jobs; the
 fitted models are small objects on the driver.
 """
@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark import inheritable_thread_target, keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import (HasFeaturesCol, HasLabelCol, HasMaxIter, HasPredictionCol, HasSeed, HasSolver,
@@ -43,6 +43,7 @@ from claimlens.operators import iforest as IF
 from claimlens.operators import trees
 from claimlens.operators.boosting import SecondOrderBooster
 from claimlens.operators.common import exact_percentile, global_rank, running_counts
+from claimlens.operators.encode import DictionaryEncoder, DictionaryEncoderModel
 from claimlens.operators.trees import ForestRegressor
 from claimlens.session import cut_lineage
 
@@ -99,8 +100,7 @@ def feature_pipeline(df: DataFrame, numeric: Sequence[str], categorical: Sequenc
     idx = [f"{c}_idx" for c in categorical]
     ohe = [f"{c}_ohe" for c in categorical]
     if categorical:
-        stages.append(StringIndexer(inputCols=list(categorical), outputCols=idx, handleInvalid="keep",
-                                    stringOrderType="alphabetAsc"))
+        stages.append(DictionaryEncoder(inputCols=list(categorical), outputCols=idx))
         stages.append(OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True, handleInvalid="error"))
     stages.append(VectorAssembler(inputCols=[f"{c}_scaled" for c in numeric] + ohe,
                                   outputCol=features_col))
@@ -115,7 +115,8 @@ def scaled_columns(df: DataFrame, numeric: Sequence[str], keys: Sequence[str]) -
 
 
 def feature_names(transformed: DataFrame, features_col: str = "features") -> list[str]:
-    """Slot names from the assembler's ML attribute metadata."""
+    """Slot names from the assembler's ML attribute metadata; a category's slot has the
+    number of its code (``label_slots`` puts the label there)."""
     meta = transformed.schema[features_col].metadata.get("ml_attr", {})
     names: dict[int, str] = {}
     for group in meta.get("attrs", {}).values():
@@ -125,6 +126,17 @@ def feature_names(transformed: DataFrame, features_col: str = "features") -> lis
     return [names.get(i, f"f{i}") for i in range(n)]
 
 
+def label_slots(slots: DataFrame, feats: PipelineModel) -> DataFrame:
+    """``slots`` (with a column feature of slot names) with labels instead of codes, joined
+    from the dictionary table."""
+    encoder = next((s for s in feats.stages if isinstance(s, DictionaryEncoderModel)), None)
+    if encoder is None:
+        return slots
+    names = encoder.table(slots).select(F.concat_ws("_", "column", F.lit("ohe"), "code").alias("feature"),
+                                        F.concat_ws("_", "column", F.lit("ohe"), "value").alias("__label"))
+    return slots.join(names, "feature", "left").withColumn("feature", F.coalesce("__label", "feature")).drop("__label")
+
+
 # ---------------------------------------------------------------- M2
 
 
@@ -496,9 +508,8 @@ def feature_importance(model: PipelineModel, sample: DataFrame) -> DataFrame:
         imp = np.abs(reg.coefficients.toArray()).tolist()
     else:
         imp = [1.0 / len(names)] * len(names)
-    spark = sample.sparkSession
-    return spark.createDataFrame(list(zip(names, [float(x) for x in imp])),
-                                 "feature string, importance double").orderBy(F.col("importance").desc())
+    slots = sample.sparkSession.createDataFrame(list(zip(names, [float(x) for x in imp])), "feature string, importance double")
+    return label_slots(slots, feats).orderBy(F.col("importance").desc())
 
 
 # ---------------------------------------------------------------- M11 – M13

@@ -84,7 +84,33 @@ def test_unknown_category_maps_to_zero_vector(spark):
     vecs = [r["features"].toArray().tolist() for r in out.collect()]
     assert len(vecs[0]) == 3  # 1 scaled + 2 categories
     assert vecs[0][1:] == [0.0, 0.0] and vecs[1][1:] == [0.0, 0.0] and vecs[2][1:] == [1.0, 0.0]
-    assert M.feature_names(out) == ["x_scaled", "c_ohe_a", "c_ohe_b"]
+    slots = spark.createDataFrame([(i, n) for i, n in enumerate(M.feature_names(out))], "i int, feature string")
+    assert [r["feature"] for r in M.label_slots(slots, fp).orderBy("i").collect()] == ["x_scaled", "c_ohe_a", "c_ohe_b"]
+
+
+def test_dictionary_equals_string_indexer(spark, claims_small):
+    """Same vectors as StringIndexer + OneHotEncoder; labels never come to the driver."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer
+
+    from claimlens.operators.encode import DictionaryEncoder
+    cols = ["treatment", "provider_id", "employer"]
+    odd = spark.createDataFrame([(None, "z", "Ä"), ("b", None, "a b"), ("b", "x", None)], "treatment string, provider_id string, employer string")
+    train = claims_small.select(*cols).limit(500).unionByName(odd)
+    new = spark.createDataFrame([("never", "x", None), ("b", "", "Ä")], "treatment string, provider_id string, employer string")
+    rows = train.unionByName(new).withColumn("i", F.monotonically_increasing_id())
+    idx, ohe = [f"{c}_i" for c in cols], [f"{c}_o" for c in cols]
+    last = OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True, handleInvalid="error")
+    got = Pipeline(stages=[DictionaryEncoder(inputCols=cols, outputCols=idx), last]).fit(train)
+    want = Pipeline(stages=[StringIndexer(inputCols=cols, outputCols=idx, handleInvalid="keep", stringOrderType="alphabetAsc"), last]).fit(train)
+    a, b = ({r["i"]: r for r in m.transform(rows).select("i", *idx, *ohe).collect()} for m in (got, want))
+    assert len(a) == len(b) == rows.count() and a == b
+    path = tempfile.mkdtemp(prefix="dict-") + "/m"
+    got.write().overwrite().save(path)
+    again = M.load_model(path)
+    assert {r["i"]: r for r in again.transform(rows).select("i", *idx, *ohe).collect()} == a
+    empty = DictionaryEncoder(inputCols=cols, outputCols=idx).fit(train.limit(0)).transform(new)
+    assert {tuple(r[c] for c in idx) for r in empty.collect()} == {(0.0, 0.0, 0.0)}
 
 
 def test_gbt_beats_mean_predictor_and_importance(spark, split):
