@@ -288,6 +288,31 @@ def test_exact_percentile_matches_numpy(spark):
     assert got[("x", 0.0)] == vals.min() and got[("x", 1.0)] == vals.max()
 
 
+def test_exact_ks_p_equals_enumeration():
+    import itertools
+    for n1, n2 in [(1, 1), (2, 3), (5, 5), (4, 7), (8, 8)]:
+        peaks = []
+        for ones in itertools.combinations(range(n1 + n2), n1):
+            i = j = peak = 0
+            for s in range(n1 + n2):
+                i, j = (i + 1, j) if s in ones else (i, j + 1)
+                peak = max(peak, abs(i * n2 - j * n1))
+            peaks.append(peak)
+        for h in sorted(set(peaks)):
+            assert drift.ks_exact(h / (n1 * n2), n1, n2) == pytest.approx(np.mean(np.array(peaks) >= h), abs=1e-12)
+    assert drift.ks_exact(0.0, 5, 5) == 1.0 and drift.ks_exact(1.0, 500, 500) < 1e-12
+
+
+def test_ks_p_by_sample_size(spark, monkeypatch):
+    a, b = [float(i) for i in range(40)], [float(i) + 6.5 for i in range(30)]
+    ref, cur = (spark.createDataFrame([(v,) for v in x], "x double") for x in (a, b))
+    exact = drift.drift_ks(cur, ref, "x").first()
+    assert exact["ks_p"] == round(drift.ks_exact(exact["ks_stat"], 40, 30), 6)
+    monkeypatch.setattr(drift, "KS_EXACT", 39)
+    series = drift.drift_ks(cur, ref, "x").first()
+    assert series["ks_stat"] == exact["ks_stat"] and series["ks_p"] != exact["ks_p"] and abs(series["ks_p"] - exact["ks_p"]) < 0.1
+
+
 def test_ks_and_psi_against_bruteforce(spark):
     rng = np.random.default_rng(5)
     a = np.round(rng.normal(0, 1, 300), 2)
@@ -298,7 +323,7 @@ def test_ks_and_psi_against_bruteforce(spark):
     allv = np.sort(np.concatenate([a, b]))
     cdf = lambda s: np.searchsorted(np.sort(s), allv, side="right") / len(s)
     assert r["ks_stat"] == pytest.approx(np.max(np.abs(cdf(a) - cdf(b))), abs=1e-12)
-    assert 0.0 <= r["ks_p"] <= 0.05
+    assert 0.0 <= r["ks_p"] <= 0.05 and r["ks_p"] == round(drift.ks_exact(r["ks_stat"], 300, 200), 6)
     ref_c = spark.createDataFrame([("a",), ("a",), ("b",), ("z",)], "c string")
     cur_c = spark.createDataFrame([("a",), ("b",), ("b",), ("y",)], "c string")
     psi = drift.drift_psi(cur_c, ref_c, "c").first()["psi"]
