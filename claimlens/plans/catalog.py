@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from claimlens.operators import audit, clean, drift, explore, fraud, report
 from claimlens.operators import iforest as IF
 from claimlens.operators import model as M
+from claimlens.operators import shapley as SH
 from claimlens.plans import sql as S
 from claimlens.session import cut_lineage, work_dir
 from claimlens.sources import fixtures as fx
@@ -697,15 +698,12 @@ def _q(spark, d):
     return M.prediction_summary(_scored(spark, d))
 
 
-@register("shapley_contributions", None, "Monte-Carlo Shapley values; additivity-tested")
+@register("shapley_contributions", None, "exact tree Shapley values of every test claim; held against subset enumeration")
 def _q(spark, d):
-    sp = _split(spark, d)
     t = _gbt(spark, d)
-    test = sp.filter(F.col("split") == "test").withColumn(
+    test = _split(spark, d).filter(F.col("split") == "test").withColumn(
         "row_id", F.xxhash64("claim_id", "line_no", "amount", "date"))
-    explain = test.filter(F.col("employer") == S.CLIENT)     # every test claim of one client
-    background = sp.filter(F.col("split") == "train").orderBy(F.xxhash64("claim_id", "line_no", "amount")).limit(100)
-    return M.shapley_contributions(explain, background, t.model, t.numeric + t.categorical, permutations=20)
+    return SH.explain_gbt(test, t.model, t.numeric, t.categorical, ["row_id"])[0]
 
 
 # ------------------------------------------------------------------ isolation forest
