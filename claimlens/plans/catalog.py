@@ -18,6 +18,7 @@ from claimlens.operators import audit, clean, drift, explore, fraud, report
 from claimlens.operators import iforest as IF
 from claimlens.operators import model as M
 from claimlens.operators import shapley as SH
+from claimlens.operators.profile_store import ProfileStore
 from claimlens.plans import sql as S
 from claimlens.session import cut_lineage, work_dir
 from claimlens.sources import fixtures as fx
@@ -132,6 +133,14 @@ def _q(spark, d):
     return explore.data_profile(_claims(spark, d), S.PROFILE_NUMERIC, S.PROFILE_CATEGORICAL)
 
 
+@register("data_profile_merged", S.DATA_PROFILE_MERGED)
+def _q(spark, d):
+    """Q1 from stored day states: the columns that merge exactly."""
+    store = ProfileStore(spark, work_dir(spark, "profile"), S.PROFILE_NUMERIC, S.PROFILE_CATEGORICAL)
+    store.add(_claims(spark, d), "date")
+    return store.profile().drop("p25", "p50", "p75", "n_distinct")
+
+
 # ------------------------------------------------------------------ fraud roll-ups
 
 @register("provider_fraud_rate_join", S.PROVIDER_FRAUD_RATE_JOIN)

@@ -174,7 +174,7 @@ PROFILE_CATEGORICAL = ["employer", "department", "provider_id", "diagnosis", "tr
                        "category", "visit_type", "status", "employee_gender"]
 
 
-def _profile_sql() -> str:
+def _profile_sql(columns: str = "*") -> str:
     parts = []
     for c in PROFILE_NUMERIC:
         x = f"CAST({c} AS DOUBLE)"
@@ -191,10 +191,12 @@ SELECT '{c}', 'categorical', COUNT({c}), COUNT(*) - COUNT({c}),
        CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE),
        CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS BIGINT),
        COUNT(DISTINCT {c}) FROM claims""")
-    return with_claims("\nUNION ALL".join(parts))
+    return with_claims(f"\nSELECT {columns} FROM (" + "\nUNION ALL".join(parts) + ") p")
 
 
 DATA_PROFILE = _profile_sql()
+# what merged day states give exactly (quantiles and distinct counts are sketches there)
+DATA_PROFILE_MERGED = _profile_sql("column_name, kind, n_count, n_missing, mean, std, min, max, n_zeros")
 
 # ----------------------------------------------------------------- fraud
 
