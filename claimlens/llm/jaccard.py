@@ -9,15 +9,19 @@ one). Since l must be shared, every class may leave out its l - 1 most frequent
 the rarest shared one always stays. So passages that many documents share, and frequent
 words, do not bring documents together; nearly copied texts meet in their own tokens.
 
-* Groups: classes connected by shared tokens form a cluster, which no link leaves.
-  A cluster is one group, or several of bounded size when it is large.
-* Matrix: (token, group) rows are the groups' token unions; only groups of the same
-  cluster share tokens, and only group pairs that do are ever met.
-* Opening: a group is searched member by member. A member's overlap with the tokens of
-  the members not yet connected bounds which of them can link; only those are compared
-  exactly, shingle by shingle. Members already connected are not compared again, so a
-  group of thousands of copies costs about one comparison each. Pairs are not emitted:
-  the result is a spanning set of links, whose components are those of all links.
+* Overlap: a class's token overlap with all others is the number of its tokens that some
+  other class has; below l no link is possible, and the class is done.
+* Groups: the other classes, connected by shared tokens, form clusters, which no link
+  leaves. A cluster is one group, or is split into several of at most ``GROUP_SHINGLES``.
+* Matrix: (token, group) rows are the groups' token unions. The column of an undivided
+  cluster meets only its own members; between the groups of a split cluster the overlap of
+  every class with every group's union is counted, and a class visits only groups where it
+  reaches l, each pair of groups from one side.
+* Opening: a task holds the members of one group and streams at most ``VISITORS`` visitors
+  past them (a group with more is opened by several tasks), comparing shingle by shingle.
+  Every link between different sets is found and counted; as a group's links can be as many
+  as its pairs, tasks return each class's number of linked documents and a spanning set of
+  links, whose components are those of all links.
 
 Defined cases: null text or text without words is the empty set, linked with nothing
 (its component is its own key). With fewer words than n the whole sequence is the one
@@ -35,7 +39,8 @@ from pyspark.sql.window import Window
 from claimlens.llm import words as W
 from claimlens.llm.common import bounded_batches, components, cut_lineage
 
-GROUP_SHINGLES = 1_000_000      # shingles in a group, the unit of memory in a task
+GROUP_SHINGLES = 200_000        # shingles in a group, the unit of memory in a task
+VISITORS = 5_000                # classes that one task compares with a group from outside
 BROADCAST_ROWS = 2_000_000      # ids; at 16 bytes each, more are joined by shuffle
 _K = [np.uint64(k) for k in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -88,86 +93,95 @@ def signatures(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
     return shingles[:min(n, n - -(-n * num // den) + max(1, n // 8))]
 
 
-def link_members(sets: list[np.ndarray], tokens: list[np.ndarray], need: list[int], num: int, den: int,
-                 label: np.ndarray | None = None, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """A spanning set of links (positions) between members. Members of equal ``label``
-    are connected already; with ``side`` only members of different sides are compared."""
-    n = len(sets)
-    label = np.arange(n) if label is None else np.unique(label, return_inverse=True)[1]
-    mates: dict[int, list[int]] = {}
-    for i, c in enumerate(label.tolist()):
-        mates.setdefault(c, []).append(i)
-    size = np.array([len(s) for s in sets])
-    flat_tokens, distinct = np.concatenate(tokens), None
-    owner_all = np.repeat(np.arange(n), [len(t) for t in tokens])
-    distinct, code = np.unique(flat_tokens, return_inverse=True)
-    bounds = np.concatenate([[0], np.cumsum([len(t) for t in tokens])])
-    free = np.ones(n, dtype=bool)
-    out: list[tuple[int, int]] = []
-    indexed = -1
-    for seed in range(n):
-        if not free[seed]:
-            continue
-        frontier = list(mates[label[seed]])
-        free[frontier] = False
-        while frontier and free.any():
-            p = frontier.pop()
-            left = int(free.sum())
-            if indexed < 0 or left < indexed // 2:      # token lists of free members only
-                keep = free[owner_all]
-                order = np.argsort(code[keep], kind="stable")
-                posting, lists = owner_all[keep][order], np.searchsorted(code[keep][order], np.arange(len(distinct) + 1))
-                indexed = left
-            own = code[bounds[p]:bounds[p + 1]]
-            hits = [posting[lists[c]:lists[c + 1]] for c in own.tolist()]
-            met = np.bincount(np.concatenate(hits), minlength=n) if hits else np.zeros(n, np.int64)
-            open_to = (met >= need[p]) & free
-            if side is not None:
-                open_to &= side != side[p]
-            cand = np.flatnonzero(open_to)
-            cand = cand[(size[cand] * den >= size[p] * num) & (size[p] * den >= size[cand] * num)]
-            if not len(cand):
-                continue
-            flat = np.concatenate([sets[c] for c in cand])
-            at = np.searchsorted(sets[p], flat)
-            same = sets[p][np.minimum(at, size[p] - 1)] == flat
-            both = np.add.reduceat(same, np.concatenate([[0], np.cumsum(size[cand])[:-1]]), dtype=np.int64)
-            for c in cand[den * both >= num * (size[cand] + size[p] - both)].tolist():
-                if free[c]:
-                    out.append((p, c))
-                    more = mates[label[c]]
-                    free[more] = False
-                    frontier.extend(more)
-    return out
-
+class Group:
+    """The members of a group, opened: an inverted list of their shingles."""
+
+    def __init__(self, cls: np.ndarray, docs: np.ndarray, sets: list[np.ndarray], num: int, den: int):
+        self.cls, self.docs, self.num, self.den = cls, docs, num, den
+        self.size = np.array([len(s) for s in sets])
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.size)
+        order = np.argsort(flat, kind="stable")
+        flat, self.owner = flat[order], owner[order]
+        first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+        self.shingles, self.at = flat[first], np.append(first, len(flat))
+        self.label = np.arange(len(sets))           # connected so far
+        self.links = np.zeros(len(sets), dtype=np.int64)
+        self.edges: list[tuple[int, int]] = []
+
+    def linked(self, shingles: np.ndarray) -> np.ndarray:
+        """Places of the members that link with a set."""
+        n = len(shingles)
+        k = np.searchsorted(self.shingles, shingles)
+        k = k[self.shingles[np.minimum(k, len(self.shingles) - 1)] == shingles]
+        lo, size = self.at[k], self.at[k + 1] - self.at[k]
+        if not len(k):
+            return k
+        flat = np.arange(size.sum()) + np.repeat(lo - np.cumsum(size) + size, size)
+        both = np.bincount(self.owner[flat], minlength=len(self.size))
+        return np.flatnonzero(self.den * both >= self.num * (self.size + n - both))
+
+    def meet(self, cls: int, docs: int, shingles: np.ndarray, member: int | None = None) -> int:
+        """Link one set with the members; returns the documents it links with. A member is
+        met by all others, so its links are its own to count; a visitor adds to theirs."""
+        hit = self.linked(shingles)
+        if member is not None:
+            hit = hit[hit != member]
+        elif len(hit):
+            self.links[hit] += docs
+        if not len(hit):
+            return 0
+        labels, place = np.unique(self.label[hit], return_index=True)
+        own = None if member is None else self.label[member]
+        for lab, i in zip(labels.tolist(), place.tolist()):
+            if lab != own:
+                self.edges.append((cls, int(self.cls[hit[i]])))
+        if len(labels) > 1 or own is not None and labels[0] != own:
+            low = int(labels[0] if own is None else min(labels[0], own))
+            self.label[np.isin(self.label, labels if own is None else np.append(labels, own))] = low
+        return int(self.docs[hit].sum())
+
+
+def _open_groups(num: int, den: int):
+    """Rows sorted by (task, visitor): a spanning set of links (a, b), and (a, null, n) with the
+    linked documents of each class."""
+    def run(batches):
+        import pandas as pd
+        key, held, group, names = None, [], None, ["a", "b", "n"]
 
-def _consecutive(batches, key: str):
-    """Frames of equal ``key`` from batches sorted by it."""
-    import pandas as pd
-    held: list = []
-    for pdf in batches:
-        for _, part in pdf.groupby(key, sort=False):
-            if held and held[0][key].iloc[0] != part[key].iloc[0]:
-                yield pd.concat(held)
-                held = []
-            held.append(part)
-    if held:
-        yield pd.concat(held)
+        def opened():
+            got = Group(np.array([h[0] for h in held]), np.array([h[1] for h in held]), [h[2] for h in held], num, den)
+            if held and held[0][3]:                 # the first task of a group compares its members
+                for i, (cls, docs, shingles, _) in enumerate(held):
+                    got.links[i] += got.meet(cls, docs, shingles, i)
+            return got
 
+        def closed():
+            n = group.links > 0
+            rows = [(a, b, 0) for a, b in group.edges] + [(c, None, k) for c, k in zip(group.cls[n].tolist(), group.links[n].tolist())]
+            return pd.DataFrame({"a": [r[0] for r in rows], "b": pd.array([r[1] for r in rows], dtype="Int64"), "n": [r[2] for r in rows]},
+                                columns=names)
 
-def _open_groups(num: int, den: int, paired: bool):
-    def run(batches):
-        import pandas as pd
-        for g in _consecutive(batches, "grp"):
-            g = g.drop_duplicates("cls")
-            cls = g["cls"].to_numpy()
-            sets = [np.frombuffer(b, "<u8") for b in g["shingles"]]
-            need = [int(shared_at_least(len(s), num, den)) for s in sets]
-            pairs = link_members(sets, [signatures(s, num, den) for s in sets], need, num, den,
-                                 g["root"].to_numpy() if paired else None, g["side"].to_numpy() if paired else None)
-            if pairs:
-                a, b = np.array(pairs).T
-                yield pd.DataFrame({"a": cls[a], "b": cls[b]})
+        for pdf in batches:
+            met = []
+            for r in pdf.itertuples(index=False):
+                if (r.grp, r.block) != key:
+                    if key is not None:
+                        group = group or opened()
+                        yield closed()
+                    key, held, group = (r.grp, r.block), [], None
+                shingles = np.frombuffer(r.shingles, "<u8")
+                if not r.visitor:
+                    held.append((r.cls, r.docs, shingles, r.block == 0))
+                    continue
+                group = group or opened()
+                n = group.meet(r.cls, r.docs, shingles)
+                if n:
+                    met.append((r.cls, None, n))
+            if met:
+                yield pd.DataFrame({"a": [m[0] for m in met], "b": pd.array([None] * len(met), dtype="Int64"), "n": [m[2] for m in met]})
+        if key is not None:
+            group = group or opened()
+            yield closed()
     return run
 
 
@@ -196,19 +210,21 @@ def _few(df: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, rows: DataFrame, key: str, text: str, n: int, num: int, den: int) -> DataFrame:
-    """A spanning set of links (a, b) between classes of ``rows``."""
+    """Links between classes of ``rows``, as written rows: (a, b, 0) is a spanning set, (a, null,
+    k) says that class a links with k documents of other classes (to be summed)."""
     spark = docs.sparkSession
-    none = spark.createDataFrame([], "a long, b long")
     classes = cut_lineage(rows.filter("cls is not null").groupBy("cls").agg(
-        F.min(F.struct("doc_id", "th")).alias("first"), F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens")))
+        F.min(F.struct("doc_id", "th")).alias("first"), F.first("n_shingles").alias("n"), F.count("*").alias("docs"),
+        F.first("tokens").alias("tokens")))
     spare = F.greatest(F.lit(1), F.floor(F.floor((F.col("n") * num + (den - 1)) / den) / 8)).cast("int") - 1
-    entries = classes.select("cls", spare.alias("spare"), F.explode("tokens").alias("token")).repartition("token")
-    # tokens of one class alone need no partner: a class keeps, of its shared tokens, all
-    # but the most frequent that it may leave out
+    entries = classes.select("cls", spare.alias("spare"), F.explode("tokens").alias("token"))
+    # tokens of one class alone need no partner; a class's other tokens are its overlap with
+    # all classes. It keeps all but the most frequent that it may leave out
     counts = entries.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    rank = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("df"), F.desc("token")))
-    entries = cut_lineage(entries.join(counts, "token").withColumn("from_top", rank)
-                          .filter("from_top > spare").select("cls", "token"))
+    own = Window.partitionBy("cls")
+    rank = F.row_number().over(own.orderBy(F.desc("df"), F.desc("token")))
+    entries = cut_lineage(entries.join(counts, "token").withColumn("from_top", rank).withColumn("overlap", F.count(F.lit(1)).over(own))
+                          .filter("from_top > spare AND overlap > spare").select("cls", "token"))
     # clusters: every class with the smallest class of each of its tokens
     lows = entries.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low < high")
     edges = cut_lineage(entries.join(lows, "token").select(F.col("cls").alias("a"), F.col("low").alias("b"))
@@ -219,48 +235,54 @@ def links(docs: DataFrame, rows: DataFrame, key: str, text: str, n: int, num: in
     width = members.groupBy("root").agg(F.ceil(F.sum("n") / F.lit(GROUP_SHINGLES)).alias("parts"))
     members = cut_lineage(
         members.join(width, "root").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")))
-        .select("cls", "root", "parts", "part", F.xxhash64("root", "part").alias("grp"),
+        .select("cls", "docs", (spare + 1).alias("need"), "parts", F.xxhash64("root", "part").alias("grp"),
                 F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th")))
 
     def sets(batches):
         import pandas as pd
         for pdf in batches:
             got = shingle_sets(pdf["t"].tolist(), n)
-            yield pd.DataFrame({"cls": pdf["cls"], "grp": pdf["grp"], "shingles": [s.tobytes() for s in got]})
+            yield pd.DataFrame({"cls": pdf["cls"], "docs": pdf["docs"], "grp": pdf["grp"], "shingles": [s.tobytes() for s in got]})
 
     t = F.coalesce(F.col(text), F.lit(""))
     texts = docs.select(F.col(key).cast("long").alias("d"), t.alias("t"), F.xxhash64(t).alias("h"))
-    wanted = _few(members.select("cls", "grp", "doc_id", "th"))
+    wanted = _few(members.select("cls", "docs", "grp", "doc_id", "th"))
     picked = (texts.join(wanted, (F.col("h") == F.col("th")) & F.col("d").eqNullSafe(F.col("doc_id")))
-              .select("cls", "grp", "t").mapInPandas(sets, "cls long, grp long, shingles binary"))
-    large = not members.filter("parts > 1").isEmpty()
-    if large:                                  # groups that meet others are read again
-        picked = cut_lineage(picked)
-    found = cut_lineage(picked.repartition("grp").sortWithinPartitions("grp")
-                        .mapInPandas(_open_groups(num, den, False), "a long, b long"))
-    if not large:
-        return found
-    # the token unions of groups of split clusters, and the pairs of groups that share a token
-    split = members.filter("parts > 1")
-    matrix = cut_lineage(entries.join(split.select("cls", "grp"), "cls").select("token", "grp").distinct())
-    pairs = (matrix.join(matrix.withColumnRenamed("grp", "other"), "token").filter("grp < other")
-             .select("grp", "other").distinct())
-    inner = components(found, spark)
-    state = (picked.join(split.select("cls"), "cls").join(inner, F.col("cls") == F.col("node"), "left")
-             .select("cls", "shingles", "grp", F.coalesce("root", "cls").alias("root")))
-    pairs = cut_lineage(pairs.withColumn("pair", F.xxhash64("grp", "other")))
-    both = (state.join(pairs.select("grp", "pair", F.lit(0).alias("side")), "grp")
-            .unionByName(state.join(pairs.select(F.col("other").alias("grp"), "pair", F.lit(1).alias("side")), "grp"))
-            .drop("grp").withColumnRenamed("pair", "grp"))
-    crossed = (both.repartition("grp").sortWithinPartitions("grp")
-               .mapInPandas(_open_groups(num, den, True), "a long, b long"))
-    return none.unionByName(found).unionByName(crossed)
+              .select("cls", "docs", "grp", "t").mapInPandas(sets, "cls long, docs long, grp long, shingles binary"))
+    stream = picked.select("cls", "docs", "shingles", "grp", F.lit(0).alias("block"), F.lit(False).alias("visitor"))
+    split = members.filter("parts > 1").select("cls", "grp", "need")
+    if not split.isEmpty():
+        picked = cut_lineage(picked)               # read by its own group and by those it visits
+        visits = cut_lineage(visits_of(split, classes))
+        tasks = visits.groupBy("other").agg(F.ceil(F.count(F.lit(1)) / F.lit(VISITORS)).cast("int").alias("blocks"))
+        blocks = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("block")
+        inside = picked.join(tasks.withColumnRenamed("other", "grp"), "grp", "left").select(
+            "cls", "docs", "shingles", "grp", blocks, F.lit(False).alias("visitor"))
+        outside = (picked.drop("grp").join(visits.join(tasks, "other"), "cls")
+                   .select("cls", "docs", "shingles", F.col("other").alias("grp"),
+                           F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block"), F.lit(True).alias("visitor")))
+        stream = inside.unionByName(outside)
+    return cut_lineage(stream.repartition("grp", "block").sortWithinPartitions("grp", "block", "visitor", "cls")
+                       .mapInPandas(_open_groups(num, den), "a long, b long, n long"))
+
+
+def visits_of(split: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cls, other): the classes of split clusters with the later groups whose token union
+    they overlap by ``need`` or more. ``split``: (cls, grp, need)."""
+    tokens = cut_lineage(split.join(classes.select("cls", "tokens"), "cls").select("cls", "grp", "need", F.explode("tokens").alias("token")))
+    matrix = tokens.select("token", F.col("grp").alias("other")).distinct()
+    # tokens of one group alone open no other
+    wide = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("groups")).filter("groups > 1").select("token")
+    met = tokens.join(wide, "token").join(matrix, "token").filter("other > grp")
+    return met.groupBy("cls", "other").agg(F.count(F.lit(1)).alias("overlap"), F.first("need").alias("need")).filter(
+        "overlap >= need").select("cls", "other")
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3,
                        num: int = 90, den: int = 100, with_hash: bool = False) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row: two rows link when
-    den * intersection >= num * union; component_id is the smallest key reachable.
+    """(doc_id, n_shingles, component_id, n_links) of every row: two rows link when
+    den * intersection >= num * union; component_id is the smallest key reachable, n_links
+    the number of other rows it links with.
 
     ``with_hash`` gives (doc_id, th, comp) instead: the text's xxhash64 and a component
     number that is null for the empty set, to tell rows of one key apart."""
@@ -269,15 +291,19 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = classes_of(docs, key, text, n, num, den)
-    roots = components(links(docs, rows, key, text, n, num, den), spark)
+    found = links(docs, rows, key, text, n, num, den)
+    roots = components(found.filter("b IS NOT NULL").select("a", "b"), spark)
     slim = rows.select("doc_id", "th", "n_shingles", "cls")
     placed = slim.join(roots, F.col("cls") == F.col("node"), "left").select(
-        "doc_id", "th", "n_shingles", F.coalesce("root", "cls").alias("comp"))
+        "doc_id", "th", "n_shingles", "cls", F.coalesce("root", "cls").alias("comp"))
     if with_hash:
-        return placed.drop("n_shingles")
+        return placed.drop("n_shingles", "cls")
     lowest = placed.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("low"))
-    return placed.join(lowest, "comp", "left").select(
-        "doc_id", "n_shingles", F.coalesce("low", "doc_id").alias("component_id"))
+    others = found.filter("b IS NULL").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("others"))
+    copies = slim.filter("cls IS NOT NULL").groupBy("cls").agg((F.count("*") - 1).alias("copies"))
+    counted = copies.join(others, "cls", "left").select("cls", (F.col("copies") + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return placed.join(lowest, "comp", "left").join(counted, "cls", "left").select(
+        "doc_id", "n_shingles", F.coalesce("low", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-__all__ = ["jaccard_components", "link_members", "links", "shared_at_least", "shingle_sets", "signatures"]
+__all__ = ["Group", "jaccard_components", "links", "shared_at_least", "shingle_sets", "signatures", "visits_of"]
