@@ -7,7 +7,8 @@ passages; the weighted sum is scored by a logistic unit. Only document labels ar
 needed: the attention learns which passages tell.
 
 The network is fitted on a bounded sample of the labelled rows (``max_train``
-documents, the smallest key hashes), featurised on the executors. Scoring covers every
+documents, the smallest key hashes, of ``max_passages`` passages together), featurised on
+the executors. Scoring covers every
 row and its whole text.
 
 Defined cases: null or blank text is a bag with one empty passage and gets that bag's
@@ -24,6 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from claimlens.llm import words as W
 
@@ -105,6 +107,21 @@ def _forward(p: dict, x: np.ndarray, owner: np.ndarray, n: int):
     return h, tv, su, a, first, z, _sigmoid(z @ p["c"] + p["c0"])
 
 
+def gradients(p: dict, x: np.ndarray, owner: np.ndarray, label: np.ndarray) -> dict:
+    """Gradients of the mean log loss of bags; ``owner`` ascends and names every bag."""
+    n = len(label)
+    h, tv, su, a, first, z, out = _forward(p, x, owner, n)
+    dz_logit = ((out - label) / n).astype(x.dtype)
+    dz = dz_logit[:, None] * p["c"]
+    da = (dz[owner] * h).sum(axis=1)
+    de = a * (da - np.add.reduceat(a * da, first)[owner])
+    dg = de[:, None] * p["w"]
+    dtv, dsu = dg * su * (1 - tv ** 2), dg * tv * su * (1 - su)
+    dh = (a[:, None] * dz[owner] + dtv @ p["V"].T + dsu @ p["U"].T) * (1 - h ** 2)
+    return {"W": x.T @ dh, "b": dh.sum(axis=0), "V": h.T @ dtv, "U": h.T @ dsu,
+            "w": (de[:, None] * tv * su).sum(axis=0), "c": z.T @ dz_logit, "c0": np.array([dz_logit.sum()])}
+
+
 def fit(x: np.ndarray, owner: np.ndarray, label: np.ndarray, epochs: int = 40, batch: int = 256,
         rate: float = 0.01, decay: float = 1e-4, seed: int = 5) -> dict:
     """Adam on the log loss over bags; ``owner`` ascends."""
@@ -128,16 +145,7 @@ def fit(x: np.ndarray, owner: np.ndarray, label: np.ndarray, epochs: int = 40, b
             rows = np.concatenate([np.arange(bounds[d], bounds[d + 1]) for d in pick])
             own = np.repeat(np.arange(len(pick)), bounds[pick + 1] - bounds[pick])
             xb, y = x[rows], label[pick]
-            h, tv, su, a, first, z, out = _forward(p, xb, own, len(pick))
-            dz_logit = ((out - y) / len(pick)).astype(np.float32)
-            dz = dz_logit[:, None] * p["c"]
-            da = (dz[own] * h).sum(axis=1)
-            de = a * (da - np.add.reduceat(a * da, first)[own])
-            dg = de[:, None] * p["w"]
-            dtv, dsu = dg * su * (1 - tv ** 2), dg * tv * su * (1 - su)
-            dh = (a[:, None] * dz[own] + dtv @ p["V"].T + dsu @ p["U"].T) * (1 - h ** 2)
-            g = {"W": xb.T @ dh, "b": dh.sum(axis=0), "V": h.T @ dtv, "U": h.T @ dsu,
-                 "w": (de[:, None] * tv * su).sum(axis=0), "c": z.T @ dz_logit, "c0": np.array([dz_logit.sum()])}
+            g = gradients(p, xb, own, y)
             step += 1
             for k in p:
                 gk = g[k] + decay * p[k]
@@ -159,8 +167,12 @@ def score_texts(p: dict | None, texts: list) -> np.ndarray:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id",
-                label: str = "quality", max_train: int = 3000) -> dict | None:
-    """Fit on at most ``max_train`` documents that have a label (None: there is none)."""
+                label: str = "quality", max_train: int = 3000, max_passages: int = 300_000) -> dict | None:
+    """Fit on at most ``max_train`` documents that have a label (None: there is none).
+
+    Of these, taken by a hash of the key, the first that together have at most
+    ``max_passages`` passages are used, so long texts do not fill the driver; a document that
+    has over a twentieth of them by itself is not drawn."""
     marked = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(
         F.max(label).cast("double").alias("y"))
     picked = (docs.select(F.col(key).alias("k")).distinct().join(marked, "k")
@@ -177,6 +189,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, text: str = "text", key: str
     # at most max_train ids are broadcast, and as many documents' features collected
     sample = (docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
               .join(F.broadcast(picked), "k"))
+    # a passage has PASSAGE words, so at least 2 * PASSAGE characters with their spaces
+    bound = F.floor(F.length("t") / F.lit(2 * PASSAGE)) + 1
+    upto = Window.orderBy(F.xxhash64(F.col("k").cast("string")), "k")        # at most max_train keys
+    fits = (sample.groupBy("k").agg(F.sum(bound).alias("p")).filter(F.col("p") <= max_passages // 20)
+            .withColumn("upto", F.sum("p").over(upto)).filter(F.col("upto") <= max_passages).select("k"))
+    sample = sample.join(F.broadcast(fits), "k")
     rows = sorted({(r["k"], r["y"], bytes(r["x"])) for r in
                    sample.mapInPandas(bags, "k long, y double, x binary").toLocalIterator()})
     if not rows:

@@ -52,6 +52,110 @@ def test_imatch_edits_and_likeness(spark):
     assert near > 0.25 and near > 10 * np.mean([r["near_next"] for r in out.values()])
 
 
+def _xxh(data, seed):
+    """Spark's xxhash64 of a string, an int or a long, or of an array of longs in turn."""
+    import xxhash
+    for d in data if isinstance(data, list) else [data]:
+        raw = d.encode() if isinstance(d, str) else d
+        seed = xxhash.xxh64_intdigest(raw, seed)
+    return seed - (1 << 64) if seed >= 1 << 63 else seed
+
+
+def _plain_imatch(rows, low=imatch.LOW, high=imatch.HIGH):
+    """I-Match in plain Python: classes, document frequencies, band, subsets, hashes."""
+    import math
+    from collections import Counter
+
+    import regex
+
+    def long(v):
+        return v.to_bytes(8, "little", signed=True)
+
+    def md5(t):
+        return hashlib.md5(t.encode()).hexdigest()
+
+    def terms(text):
+        return set((regex.sub(r"[^\p{L}\p{N}]+", " ", text.lower()) + "  ").replace("  ", " ").split(" ")) | {""}
+
+    order = sorted(rows, key=lambda r: -r[0])
+    edits = {k: e for k, _, e in _next_edit(order)}
+    n, sketched = len(order), {}
+    for k, t in order:
+        h = [_xxh(x, 42) for x in terms(t) - {""}]
+        seeds = [int(md5(str(i))[:15], 16) for i in range(imatch.SKETCHES)]
+        sketched[k] = [_xxh([long(v) for v in sorted(x ^ s for x in h)[:imatch.LEAST]], _xxh(i.to_bytes(4, "little"), 42) % (1 << 64))
+                       for i, s in enumerate(seeds)]
+    most = max(2, math.ceil(low * n))
+    often = {s for s, c in Counter(s for v in sketched.values() for s in v).items() if c > most}
+    root = {s: s for s in often}
+
+    def top(s):
+        return s if root[s] == s else top(root[s])
+
+    pairs = Counter((v[i], v[j]) for v in sketched.values() for i in range(imatch.SKETCHES) for j in range(i + 1, imatch.SKETCHES))
+    for (a, b), c in pairs.items():
+        if c > most:
+            a, b = top(a), top(b)
+            root[max(a, b)] = min(a, b)
+    cls = {k: next((top(s) for s in v if s in often), None) for k, v in sketched.items()}
+    counted = lambda keys: sum(c if g is None else min(c, most) for g, c in Counter(cls[k] for k in keys).items())
+    holders = {}
+    for k, t in order:
+        for x in terms(t) - {""}:
+            holders.setdefault(x, []).append(k)
+    whole = counted(list(cls)) if often else n
+    words = {x for x, keys in holders.items() if max(2.0, low * whole) <= counted(keys) <= max(2.0, high * whole)}
+    drawn = {}
+    for x in words:
+        bits = [p for p in range(imatch.PLACES) if int(md5(f"{x}/{p}")[:4], 16) % imatch.DENSITIES[p // imatch.SUBSETS] == 0]
+        if bits:
+            drawn[x] = (md5(x)[:16], bits)
+
+    def fingerprint(text):
+        own = sorted(drawn[x] for x in terms(text) if x in drawn)
+        alone = md5(" ".join(sorted(terms(text))))[:imatch.HEX] * imatch.PLACES
+        if len(own) < imatch.FEW:
+            return alone
+        out = ""
+        for p in range(imatch.PLACES):
+            d = p // imatch.SUBSETS
+            dense = len(own) > imatch.MANY * imatch.DENSITIES[d] and d < len(imatch.DENSITIES) - 1
+            out += md5(",".join(c for c, bits in own if p in bits and not dense))[:imatch.HEX]
+        return alone if out == imatch._NONE * imatch.PLACES else out
+
+    def like(a, b):
+        if a == b:
+            return 1.0
+        cut = lambda s: [s[i:i + imatch.HEX] for i in range(0, len(s), imatch.HEX)]
+        shares, few = [], []
+        for d in range(len(imatch.DENSITIES)):
+            x, y = (cut(s)[d * imatch.SUBSETS:(d + 1) * imatch.SUBSETS] for s in (a, b))
+            some = sum(p != imatch._NONE or q != imatch._NONE for p, q in zip(x, y))
+            if some:
+                few.append(sum(p != imatch._NONE and p == q for p, q in zip(x, y)) / some)
+                if some >= imatch.FEW:
+                    shares.append(few[-1])
+        return max(shares, default=max(few, default=0.0))
+
+    prints = {k: fingerprint(t) for k, t in order}
+    for i, (k, t) in enumerate(order):
+        edited = fingerprint(edits[k])
+        nxt = prints[order[(i + 1) % n][0]]
+        yield k, prints[k], edited, like(prints[k], edited), like(prints[k], nxt)
+
+
+def test_imatch_equals_plain_python(spark):
+    docs = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()]
+    out = {r["doc_id"]: r for r in catalog.op1_imatch(spark, SF_SMALL).collect()}
+    kinds = set()
+    for k, own, edited, near_edited, near_next in _plain_imatch(docs):
+        r = out[k]
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (own, edited), k
+        assert abs(r["near_edited"] - near_edited) < 1e-12 and abs(r["near_next"] - near_next) < 1e-12
+        kinds.add(own[:6] * imatch.PLACES == own)
+    assert kinds == {True, False} or kinds == {False}
+
+
 def test_imatch_cases(spark):
     rows = [(1, "hello world a"), (2, None), (3, ""), (3, ""), (None, "x y"), (5, "same text here ok"), (6, "same text here ok")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.lit("clash"))

@@ -128,7 +128,41 @@ def test_quality_held_out(spark):
     assert ((out.score >= 0.3) == (out.predicted == 1)).all() and out.score.between(0, 1).all()
 
 
-def test_quality_gradients():
+def test_quality_gradients_equal_finite_differences():
+    rng = np.random.default_rng(2)
+    x, owner, y = rng.normal(size=(9, 5)), np.array([0, 0, 0, 1, 2, 2, 2, 2, 2]), np.array([1.0, 0.0, 1.0])
+    shapes = {"W": (5, 6), "b": (6,), "V": (6, 3), "U": (6, 3), "w": (3,), "c": (6,), "c0": (1,)}
+    p = {k: rng.normal(size=s) for k, s in shapes.items()}
+
+    def loss():
+        out = mil._forward(p, x, owner, 3)[-1]
+        return -(y * np.log(out) + (1 - y) * np.log(1 - out)).mean()
+
+    got = mil.gradients(p, x, owner, y)
+    for k, v in p.items():
+        for at in np.ndindex(v.shape):
+            old, d = v[at], 1e-6
+            v[at] = old + d
+            up = loss()
+            v[at] = old - d
+            slope = (up - loss()) / (2 * d)
+            v[at] = old
+            assert abs(got[k][at] - slope) < 1e-7, (k, at)
+
+
+def test_quality_sample_is_bounded_by_passages(spark, monkeypatch):
+    """Long texts do not fill the driver: no document over a twentieth, no more than the bound in all."""
+    rows = [(i, "word " * (64 * 40 if i == 3 else 64 * 2)) for i in range(30)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    seen = {}
+    monkeypatch.setattr(mil, "fit", lambda x, owner, label, **_: seen.update(passages=len(x), docs=len(label), most=np.bincount(owner).max()))
+    mil.fit_quality(docs, labels, max_passages=120)
+    assert 10 <= seen["docs"] < 29 and seen["passages"] <= 120 and seen["most"] <= 6
+    mil.fit_quality(docs, labels)
+    assert seen["docs"] == 30
+
+
+def test_quality_network_learns():
     rng = np.random.default_rng(1)
     x, owner = rng.normal(size=(9, 5)).astype(np.float32), np.array([0, 0, 0, 1, 2, 2, 2, 2, 2])
     y = np.array([1, 0, 1], np.float32)
