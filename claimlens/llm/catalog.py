@@ -30,7 +30,7 @@ def op1_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_cover_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bounded_batches(spark)
+    bounded_batches(spark, 64)             # a row may be a block of a megabyte
     return covertree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 

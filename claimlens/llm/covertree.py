@@ -5,8 +5,12 @@ each group carries a cover tree. A pair of tree nodes (Q, D) is skipped when
 <q0, d0> + |q0| rD + |d0| rQ + rQ rD, an upper bound for every pair below it (r:
 covering radius, 0: centre), is under the worst kth score that any query of Q has so
 far; otherwise the larger node is opened, and two leaves are scored as one matrix
-product. A task holds one query group and meets many blocks, nearest first, so its kth
-scores rise early. Only the k best per query and task are shuffled.
+product. A task holds one query group and meets blocks, highest bound first.
+
+Before blocks are shipped, groups and blocks are compared by their centres and radii alone:
+a seed visit to the ``SEEDS`` blocks of highest centre score gives each group's worst kth
+score, and only pairs whose bound reaches it are shuffled. A block's tree is built once and
+travels with it. Only the k best per query and task are shuffled.
 
 Every query meets every block that its bound does not exclude: the answer is exact.
 Blocks and groups have bounded sizes, also under repeated vectors (a frequent vector
@@ -22,6 +26,7 @@ ignored.
 from __future__ import annotations
 
 import math
+import pickle
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -31,6 +36,7 @@ from pyspark.sql.window import Window
 from claimlens.llm.common import cut_lineage, partitions
 
 BLOCK, GROUP, LEAF = 2048, 1024, 64
+SEEDS, CENTRES = 2, 1024              # blocks of a seed visit; centres that travel together
 
 
 class CoverTree:
@@ -41,10 +47,10 @@ class CoverTree:
     stay in the parent's own leaf, so a node is either a leaf (``rows``) or has
     ``children``. Node rows are consecutive in ``order``."""
 
-    def __init__(self, x: np.ndarray, leaf: int = LEAF):
+    def __init__(self, x: np.ndarray, leaf: int = LEAF, nodes: list | None = None):
         self.x, self.leaf = x, leaf
-        self.nodes: list = []                 # (centre, radius, row indices, children)
-        self.root = self._build(np.arange(len(x)))
+        self.nodes: list = nodes or []        # (centre, radius, row indices, children)
+        self.root = len(nodes) - 1 if nodes else self._build(np.arange(len(x)))
 
     def _build(self, rows: np.ndarray) -> int:
         pts = self.x[rows]
@@ -152,8 +158,24 @@ def search(qt: CoverTree, dt: CoverTree, ids: np.ndarray, best: Best) -> int:
     return opened
 
 
-def _pack(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """Rows (id, v) as blocks of at most ``size`` rows: (name, n, ids, vecs).
+def bound_of(q: np.ndarray, q_radius, d: np.ndarray, d_radius) -> np.ndarray:
+    """Upper bounds of the inner products between balls: centres in rows, radii beside."""
+    qn, dn = np.linalg.norm(q, axis=1)[:, None], np.linalg.norm(d, axis=1)[None]
+    rq, rd = np.asarray(q_radius)[:, None], np.asarray(d_radius)[None]
+    top = q @ d.T + qn * rd + dn * rq + rq * rd
+    return top + 1e-6 * (1 + np.abs(top))
+
+
+def _matrix(vecs: list, width: int) -> np.ndarray:
+    out = np.zeros((len(vecs), width))
+    for i, b in enumerate(vecs):
+        own = np.frombuffer(b, "<f8")
+        out[i, :len(own)] = own
+    return out
+
+
+def _pack(rows: DataFrame, size: int, name: str, width: int) -> DataFrame:
+    """Rows (id, v) as blocks of at most ``size`` rows: (name, ids, vecs, centre, radius, tree).
 
     Rows are range-partitioned on a signature of coordinate signs, so a block holds
     vectors that point alike; equal vectors spread over as many blocks as they fill."""
@@ -163,27 +185,59 @@ def _pack(rows: DataFrame, size: int, name: str) -> DataFrame:
         held: list = []
 
         def block(part):
-            return (part["id"].to_numpy("<i8").tobytes(), [np.asarray(v, "<f8").tobytes() for v in part["v"]])
+            x = _matrix([np.asarray(v, "<f8").tobytes() for v in part["v"]], width)
+            tree = CoverTree(x)
+            centre = x.mean(axis=0)
+            radius = float(np.sqrt(((x - centre) ** 2).sum(axis=1)).max())
+            return {"ids": part["id"].to_numpy("<i8").tobytes(), "vecs": x.astype("<f8").tobytes(), "centre": centre.astype("<f8").tobytes(),
+                    "radius": radius, "tree": pickle.dumps(tree.nodes)}
 
         for pdf in batches:
             held.append(pdf)
             if sum(map(len, held)) >= size:
                 whole = pd.concat(held, ignore_index=True)
                 cut = len(whole) // size * size
-                out = [block(whole.iloc[lo:lo + size]) for lo in range(0, cut, size)]
-                yield pd.DataFrame({"ids": [o[0] for o in out], "vecs": [o[1] for o in out]})
+                for lo in range(0, cut, size):
+                    yield pd.DataFrame([block(whole.iloc[lo:lo + size])])
                 held = [whole.iloc[cut:]]
         rest = pd.concat(held, ignore_index=True) if held else []
         if len(rest):
-            ids, vecs = block(rest)
-            yield pd.DataFrame({"ids": [ids], "vecs": [vecs]})
+            yield pd.DataFrame([block(rest)])
 
     signs = F.concat(*[F.when(F.coalesce(F.get("v", F.lit(i)), F.lit(0.0)) < 0, "0").otherwise("1") for i in range(16)])
     n = rows.count()
     packed = (rows.withColumn("s", signs)
               .repartitionByRange(max(1, min(partitions(rows.sparkSession), math.ceil(n / size))), "s", F.xxhash64("id"))
-              .sortWithinPartitions("s").select("id", "v").mapInPandas(pack, "ids binary, vecs array<binary>"))
-    return cut_lineage(packed.select(F.monotonically_increasing_id().alias(name), "ids", "vecs"))
+              .sortWithinPartitions("s").select("id", "v").mapInPandas(pack, "ids binary, vecs binary, centre binary, radius double, tree binary"))
+    return cut_lineage(packed.withColumn(name, F.monotonically_increasing_id()))
+
+
+def _bounds(groups: DataFrame, data: DataFrame, width: int, seed: bool) -> DataFrame:
+    """(grp, block, bound) of the pairs to visit, from centres and radii: the ``SEEDS`` blocks
+    of highest centre score, or all whose bound reaches the group's ``worst`` kth score.
+
+    Centres travel in packs of ``CENTRES``; every group meets every pack, some thousandth of
+    what the blocks themselves weigh."""
+    packs = (data.select("block", "centre", "radius").withColumn("pack", F.floor(F.row_number().over(
+        Window.partitionBy(F.spark_partition_id()).orderBy("block")) / CENTRES)).groupBy(F.spark_partition_id().alias("p"), "pack")
+        .agg(F.collect_list(F.struct("block", "centre", "radius")).alias("centres")).select("centres"))
+
+    def meet(batches):
+        import pandas as pd
+        for pdf in batches:
+            for r in pdf.itertuples():
+                q, d = np.frombuffer(r.q, "<f8")[None], _matrix([c["centre"] for c in r.centres], width)
+                top = bound_of(q, [r.q_radius], d, [c["radius"] for c in r.centres])[0]
+                score = (q @ d.T)[0]
+                keep = np.argsort(-score, kind="stable")[:SEEDS] if seed else np.flatnonzero(top >= r.worst)
+                yield pd.DataFrame({"grp": r.grp, "block": [r.centres[i]["block"] for i in keep], "bound": top[keep], "score": score[keep]})
+
+    met = (groups.select("grp", F.col("centre").alias("q"), F.col("radius").alias("q_radius"), "worst").crossJoin(packs)
+           .mapInPandas(meet, "grp long, block long, bound double, score double"))
+    if seed:
+        order = Window.partitionBy("grp").orderBy(F.desc("score"), "block")
+        met = met.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= SEEDS)
+    return met.select("grp", "block", "bound")
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id",
@@ -201,52 +255,62 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_i
         F.coalesce(is_query, F.lit(False)).alias("q"))
     # one row per id on both sides: copies would fill the places of other neighbours
     vecs = cut_lineage(rows.groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q")))
-    data = _pack(vecs.select("id", "v"), BLOCK, "block")
-    queries = _pack(vecs.filter("q").select("id", "v"), GROUP, "grp")
-    groups, blocks = queries.count(), data.count()
-    if not groups or not blocks:
+    width = max(1, vecs.agg(F.max(F.size("v"))).first()[0] or 0)
+    data = _pack(vecs.select("id", "v"), BLOCK, "block", width)
+    groups = _pack(vecs.filter("q").select("id", "v"), GROUP, "grp", width).drop("tree")
+    n_groups, n_blocks = groups.count(), data.count()
+    if not n_groups or not n_blocks:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    # every group with every block, dealt so that a task keeps one group: groups x lanes
-    # tasks, where lanes share the blocks out
-    lanes = max(1, min(blocks, math.ceil(partitions(spark) / groups)))
-    pairs = (data.select("block").withColumn("lane", (F.col("block").bitwiseAND((1 << 33) - 1)
-                                                      + F.shiftrightunsigned("block", 33)) % lanes)
-             .withColumn("grp", F.explode(F.lit([r["grp"] for r in queries.select("grp").toLocalIterator()]))))
-    pairs = (pairs.join(data, "block").withColumnRenamed("ids", "d_ids").withColumnRenamed("vecs", "d_vecs")
-             .join(queries, "grp"))
-
-    def matrix(vecs, width):
-        out = np.zeros((len(vecs), width))
-        for i, b in enumerate(vecs):
-            own = np.frombuffer(b, "<f8")
-            out[i, :len(own)] = own
-        return out
+    first = groups.withColumn("worst", F.lit(-math.inf))
+    seen = _visit(first, data, _bounds(first, data, width, True), n_groups, k, width)
+    full = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    kth = seen.withColumn("n", F.row_number().over(full)).filter(F.col("n") == k).groupBy("grp").agg(
+        F.min("score").cast("double").alias("low"), F.count("*").alias("filled"))
+    # the worst kth score holds for a group whose queries all have k candidates
+    known = cut_lineage(groups.join(kth, "grp", "left").withColumn("worst", F.when(
+        F.col("filled") * 8 == F.length("ids"), F.col("low")).otherwise(-math.inf)).drop("low", "filled"))
+    found = _visit(known, data, shipped_pairs(known, data, width), n_groups, k, width).drop("grp")
+    return (found.distinct().withColumn("rank", F.row_number().over(full)).filter(F.col("rank") <= k)
+            .select("query_id", "rank", "vec_id", "score"))
+
+
+def shipped_pairs(groups: DataFrame, data: DataFrame, width: int) -> DataFrame:
+    """The (grp, block, bound) pairs that the full visit shuffles."""
+    return _bounds(groups, data, width, False)
+
+
+def _visit(groups: DataFrame, data: DataFrame, pairs: DataFrame, n_groups: int, k: int, width: int) -> DataFrame:
+    """(grp, query_id, vec_id, score): the k best of each query and task among the pairs' blocks.
+
+    Groups x lanes tasks, where lanes share a group's blocks out, highest bound first."""
+    lanes = max(1, math.ceil(partitions(groups.sparkSession) / n_groups))
+    none = F.lit(None).cast("binary")
+    blocks = (pairs.join(data, "block").select(
+        "grp", F.pmod(F.xxhash64("block"), F.lit(lanes)).cast("int").alias("lane"), "bound", "ids", "vecs", "tree", F.lit(None).cast("double").alias("worst")))
+    heads = groups.select("grp", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), F.lit(math.inf).alias("bound"),
+                          "ids", "vecs", none.alias("tree"), "worst")
 
     def run(batches):
         import pandas as pd
-        group = best = qt = None
+        grp = best = qt = None
 
         def result():
-            rows = [(int(q), -neg, s) for q, heap in zip(best.q, best.score) for s, neg in heap]
-            return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
+            rows = [(grp, int(q), -neg, s) for q, heap in zip(best.q, best.score) for s, neg in heap]
+            return pd.DataFrame(rows, columns=["grp", "query_id", "vec_id", "score"]).astype("int64")
 
         for pdf in batches:
             for r in pdf.itertuples():
-                width = max(len(b) for b in [*r.vecs, *r.d_vecs]) // 8
-                if r.grp != group:
+                ids, x = np.frombuffer(r.ids, "<i8"), np.frombuffer(r.vecs, "<f8").reshape(-1, width)
+                if r.tree is None:                  # the group comes before its blocks
                     if best is not None:
                         yield result()
-                    group, best = r.grp, Best(np.frombuffer(r.ids, "<i8"), k)
-                    qt = None
-                if qt is None or qt.x.shape[1] < width:
-                    qt = CoverTree(matrix(r.vecs, width))
-                data_tree = CoverTree(matrix(r.d_vecs, qt.x.shape[1]))
-                search(qt, data_tree, np.frombuffer(r.d_ids, "<i8"), best)
+                    grp, best, qt = r.grp, Best(ids, k), CoverTree(x)
+                    best.worst = np.maximum(best.worst, r.worst)
+                elif r.bound >= best.worst.min():
+                    search(qt, CoverTree(x, nodes=pickle.loads(r.tree)), ids, best)
         if best is not None:
             yield result()
 
-    found = (pairs.repartition(groups * lanes, "grp", "lane").sortWithinPartitions("grp")
-             .mapInPandas(run, "query_id long, vec_id long, score long"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (found.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
+    return (heads.unionByName(blocks).repartition(n_groups * lanes, "grp", "lane")
+            .sortWithinPartitions("grp", "lane", F.desc("bound"), F.col("tree").isNotNull())
+            .mapInPandas(run, "grp long, query_id long, vec_id long, score long"))

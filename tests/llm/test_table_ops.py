@@ -254,7 +254,36 @@ def test_cover_tree_covers_and_prunes():
     q = covertree.CoverTree(x[:20])
     covertree.search(q, tree, np.arange(2000), best)
     assert covertree.search(q, tree, np.arange(2000) + 10_000, best) < len(tree.nodes)
-    assert covertree.top_k.__doc__
+
+
+def test_cover_tree_ships_few_pairs_of_clustered_data(spark, monkeypatch):
+    """Blocks that the bounds exclude are left out before the shuffle; the answer stays exact."""
+    monkeypatch.setattr(covertree, "BLOCK", 64)
+    monkeypatch.setattr(covertree, "GROUP", 4)
+    shipped = []
+    plain = covertree.shipped_pairs
+
+    def counted(groups, data, width):
+        out = plain(groups, data, width)
+        shipped.append((out.count(), groups.count() * data.count()))
+        return out
+
+    monkeypatch.setattr(covertree, "shipped_pairs", counted)
+    rng = np.random.default_rng(8)
+    centres = rng.normal(0, 1, (8, 16))
+    x = np.repeat(centres, 300, axis=0) + rng.normal(0, 0.01, (2400, 16))
+    x[:200] = x[0]                                      # a hot vector
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in covertree.top_k(df, F.col("vec_id") % 50 == 0).collect())
+    ints = np.floor(256 * x)
+    want = []
+    for q in range(0, 2400, 50):
+        s = ints @ ints[q]
+        best = [i for i in np.lexsort((np.arange(2400), -s)).tolist() if i != q][:5]
+        want += [(q, n, i, int(s[i])) for n, i in enumerate(best, 1)]
+    assert got == sorted(want)
+    pairs, whole = shipped[0]
+    assert pairs < 0.5 * whole
 
 
 def test_cover_tree_empty(spark):
