@@ -14,11 +14,13 @@ words, do not bring documents together; nearly copied texts meet in their own to
 * Groups: the other classes, connected by shared tokens, form clusters, which no link
   leaves. A cluster is one group, or is split into several of at most ``GROUP_SHINGLES``.
 * Matrix: (token, group) rows are the groups' token unions. The column of an undivided
-  cluster meets only its own members; between the groups of a split cluster the overlap of
-  every class with every group's union is counted, and a class visits only groups where it
-  reaches l, each pair of groups from one side.
-* Opening: a task holds the members of one group and streams at most ``VISITORS`` visitors
-  past them (a group with more is opened by several tasks), comparing shingle by shingle.
+  cluster meets only its own members; between the groups of a split cluster the tokens that
+  two unions share are counted, and the members of one visit the other, from one side, if
+  some class there could reach l. A visitor's overlap with the group's union decides whether
+  the group is opened for it.
+* Opening: a task holds the members of one group and compares some ``VISITORS`` of them and of
+  the group's visitors with all, shingle by shingle; a group with more is opened by several
+  tasks, each with its share.
   Every link between different sets is found and counted; as a group's links can be as many
   as its pairs, tasks return each class's number of linked documents and a spanning set of
   links, whose components are those of all links.
@@ -39,8 +41,8 @@ from pyspark.sql.window import Window
 from claimlens.llm import words as W
 from claimlens.llm.common import bounded_batches, components, cut_lineage
 
-GROUP_SHINGLES = 200_000        # shingles in a group, the unit of memory in a task
-VISITORS = 5_000                # classes that one task compares with a group from outside
+GROUP_SHINGLES = 1_000_000      # shingles in a group, the unit of memory in a task
+VISITORS = 2_500                # classes that one task compares with the members of a group
 BROADCAST_ROWS = 2_000_000      # ids; at 16 bytes each, more are joined by shuffle
 _K = [np.uint64(k) for k in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -106,6 +108,7 @@ class Group:
         self.shingles, self.at = flat[first], np.append(first, len(flat))
         self.label = np.arange(len(sets))           # connected so far
         self.links = np.zeros(len(sets), dtype=np.int64)
+        self.tokens = np.unique(np.concatenate([signatures(s, num, den) for s in sets]))
         self.edges: list[tuple[int, int]] = []
 
     def linked(self, shingles: np.ndarray) -> np.ndarray:
@@ -120,6 +123,13 @@ class Group:
         both = np.bincount(self.owner[flat], minlength=len(self.size))
         return np.flatnonzero(self.den * both >= self.num * (self.size + n - both))
 
+    def reached(self, shingles: np.ndarray) -> bool:
+        """Whether a visitor's overlap with the group's token union allows a link."""
+        own = signatures(shingles, self.num, self.den)
+        at = np.searchsorted(self.tokens, own)
+        overlap = (self.tokens[np.minimum(at, len(self.tokens) - 1)] == own).sum()
+        return bool(overlap >= shared_at_least(len(shingles), self.num, self.den))
+
     def meet(self, cls: int, docs: int, shingles: np.ndarray, member: int | None = None) -> int:
         """Link one set with the members; returns the documents it links with. A member is
         met by all others, so its links are its own to count; a visitor adds to theirs."""
@@ -150,8 +160,8 @@ def _open_groups(num: int, den: int):
 
         def opened():
             got = Group(np.array([h[0] for h in held]), np.array([h[1] for h in held]), [h[2] for h in held], num, den)
-            if held and held[0][3]:                 # the first task of a group compares its members
-                for i, (cls, docs, shingles, _) in enumerate(held):
+            for i, (cls, docs, shingles, own) in enumerate(held):
+                if own:                             # this task's share of the members
                     got.links[i] += got.meet(cls, docs, shingles, i)
             return got
 
@@ -171,10 +181,10 @@ def _open_groups(num: int, den: int):
                     key, held, group = (r.grp, r.block), [], None
                 shingles = np.frombuffer(r.shingles, "<u8")
                 if not r.visitor:
-                    held.append((r.cls, r.docs, shingles, r.block == 0))
+                    held.append((r.cls, r.docs, shingles, r.own))
                     continue
                 group = group or opened()
-                n = group.meet(r.cls, r.docs, shingles)
+                n = group.meet(r.cls, r.docs, shingles) if group.reached(shingles) else 0
                 if n:
                     met.append((r.cls, None, n))
             if met:
@@ -249,33 +259,40 @@ def links(docs: DataFrame, rows: DataFrame, key: str, text: str, n: int, num: in
     wanted = _few(members.select("cls", "docs", "grp", "doc_id", "th"))
     picked = (texts.join(wanted, (F.col("h") == F.col("th")) & F.col("d").eqNullSafe(F.col("doc_id")))
               .select("cls", "docs", "grp", "t").mapInPandas(sets, "cls long, docs long, grp long, shingles binary"))
-    stream = picked.select("cls", "docs", "shingles", "grp", F.lit(0).alias("block"), F.lit(False).alias("visitor"))
+    sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
     split = members.filter("parts > 1").select("cls", "grp", "need")
+    visits = None
     if not split.isEmpty():
         picked = cut_lineage(picked)               # read by its own group and by those it visits
         visits = cut_lineage(visits_of(split, classes))
-        tasks = visits.groupBy("other").agg(F.ceil(F.count(F.lit(1)) / F.lit(VISITORS)).cast("int").alias("blocks"))
-        blocks = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("block")
-        inside = picked.join(tasks.withColumnRenamed("other", "grp"), "grp", "left").select(
-            "cls", "docs", "shingles", "grp", blocks, F.lit(False).alias("visitor"))
-        outside = (picked.drop("grp").join(visits.join(tasks, "other"), "cls")
-                   .select("cls", "docs", "shingles", F.col("other").alias("grp"),
-                           F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block"), F.lit(True).alias("visitor")))
-        stream = inside.unionByName(outside)
+        outer = visits.join(sizes, "grp").groupBy(F.col("other").alias("grp")).agg(F.sum("size").alias("visitors"))
+        sizes = sizes.join(outer, "grp", "left").withColumn("size", F.greatest("size", F.coalesce("visitors", F.lit(0))))
+    tasks = cut_lineage(sizes.select("grp", F.ceil(F.col("size") / F.lit(VISITORS)).cast("int").alias("blocks")).filter("blocks > 1"))
+    blocks = F.coalesce("blocks", F.lit(1))
+    share = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
+    stream = (picked.join(tasks, "grp", "left").select("cls", "docs", "shingles", "grp", blocks.alias("blocks"))
+              .select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("visitor"))
+              .select("cls", "docs", "shingles", "grp", "block", "visitor", (share == F.col("block")).alias("own")))
+    if visits is not None:
+        stream = stream.unionByName(
+            picked.join(visits.join(tasks.withColumnRenamed("grp", "other"), "other", "left"), "grp")
+            .select("cls", "docs", "shingles", F.col("other").alias("grp"), blocks.alias("blocks"))
+            .select("cls", "docs", "shingles", "grp", share.alias("block"), F.lit(True).alias("visitor"), F.lit(True).alias("own")))
     return cut_lineage(stream.repartition("grp", "block").sortWithinPartitions("grp", "block", "visitor", "cls")
                        .mapInPandas(_open_groups(num, den), "a long, b long, n long"))
 
 
 def visits_of(split: DataFrame, classes: DataFrame) -> DataFrame:
-    """(cls, other): the classes of split clusters with the later groups whose token union
-    they overlap by ``need`` or more. ``split``: (cls, grp, need)."""
-    tokens = cut_lineage(split.join(classes.select("cls", "tokens"), "cls").select("cls", "grp", "need", F.explode("tokens").alias("token")))
-    matrix = tokens.select("token", F.col("grp").alias("other")).distinct()
+    """(grp, other): the groups of split clusters whose members visit a later group, as the
+    token unions of both share as many tokens as some member needs. ``split``: (cls, grp, need)."""
+    matrix = cut_lineage(split.join(classes.select("cls", "tokens"), "cls").select("grp", F.explode("tokens").alias("token")).distinct())
     # tokens of one group alone open no other
     wide = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("groups")).filter("groups > 1").select("token")
-    met = tokens.join(wide, "token").join(matrix, "token").filter("other > grp")
-    return met.groupBy("cls", "other").agg(F.count(F.lit(1)).alias("overlap"), F.first("need").alias("need")).filter(
-        "overlap >= need").select("cls", "other")
+    shared = matrix.join(wide, "token")
+    least = split.groupBy("grp").agg(F.min("need").alias("need"))
+    met = shared.join(shared.withColumnRenamed("grp", "other"), "token").filter("other > grp").groupBy("grp", "other").agg(
+        F.count(F.lit(1)).alias("overlap"))
+    return met.join(least, "grp").filter("overlap >= need").select("grp", "other")
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3,

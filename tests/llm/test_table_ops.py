@@ -434,13 +434,17 @@ def test_jaccard_equals_brute_force(spark, n, num, den, size, visitors, monkeypa
     assert got == _components(rows, n, num, den)
 
 
-def test_a_class_visits_only_groups_it_overlaps(spark):
-    """The overlap with a group's token union decides, counted on (token, group) rows."""
-    classes = spark.createDataFrame([(1, [1, 2, 3]), (2, [2, 3, 4]), (3, [1, 9, 8]), (4, [3, 4, 7]), (5, [50])], "cls long, tokens array<long>")
-    split = spark.createDataFrame([(1, 10, 2), (2, 20, 2), (3, 20, 2), (4, 30, 2), (5, 30, 1)], "cls long, grp long, need int")
-    got = {tuple(r) for r in jaccard.visits_of(split, classes).collect()}
-    # class 1 meets {2, 3, 4, 1, 9, 8} in three tokens, {3, 4, 7, 50} in one; class 2 meets the latter in two
-    assert got == {(1, 20), (2, 30)}
+def test_groups_are_opened_by_their_token_unions(spark):
+    """Group pairs by the tokens their unions share, then each visitor by its own overlap."""
+    classes = spark.createDataFrame([(1, [1, 2, 3]), (2, [2, 3, 4]), (3, [1, 9, 8]), (4, [3, 7, 6]), (5, [50])], "cls long, tokens array<long>")
+    split = spark.createDataFrame([(1, 10, 2), (2, 20, 2), (3, 20, 2), (4, 30, 2), (5, 30, 2)], "cls long, grp long, need int")
+    assert {tuple(r) for r in jaccard.visits_of(split, classes).collect()} == {(10, 20)}      # 3 tokens; (10, 30), (20, 30) share one
+    rng = np.random.default_rng(1)
+    base = np.sort(rng.integers(1, 1 << 62, 200).astype(np.uint64))
+    near, far = np.sort(np.append(base[:-6], rng.integers(1, 1 << 62, 6).astype(np.uint64))), np.sort(rng.integers(1, 1 << 62, 200).astype(np.uint64))
+    group = jaccard.Group(np.array([7, 8]), np.array([3, 1]), [base, far], 90, 100)
+    assert group.reached(near) and group.reached(base) and not group.reached(np.sort(np.append(far[:5], base[150:])))
+    assert group.meet(9, 5, near) == 3 and group.edges == [(9, 7)] and group.links.tolist() == [5, 0]
 
 
 def test_jaccard_tokens_are_shared_by_every_pair_at_the_limit():
