@@ -502,7 +502,7 @@ def test_pipeline_stages(spark):
             assert P_docs.join(before, ["doc_id", "text"], "left_semi").count() == seen[-1]
         if name == "near_duplicates":
             rows = [(r["doc_id"], r["text"]) for r in before.collect()]
-            want = {k for k, (_, c) in _components(rows, 5, 80, 100).items() if k == c}
+            want = {k for k, (_, c, _) in _components(rows, 5, 80, 100).items() if k == c}
             assert {r["doc_id"] for r in P_docs.collect()} == want
     assert seen == sorted(seen, reverse=True) and seen[-1] > 0
     assert sorted(map(tuple, P.run(spark, SF_SMALL).collect())) == sorted(map(tuple, P_docs.collect()))
