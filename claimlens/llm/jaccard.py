@@ -18,9 +18,9 @@ words, do not bring documents together; nearly copied texts meet in their own to
   two unions share are counted, and the members of one visit the other, from one side, if
   some class there could reach l. A visitor's overlap with the group's union decides whether
   the group is opened for it.
-* Opening: a task holds the members of one group and compares some ``VISITORS`` of them and of
-  the group's visitors with all, shingle by shingle; a group with more is opened by several
-  tasks, each with its share.
+* Opening: a task holds the members of one group, compares them with each other and then
+  some ``VISITORS`` visitors with them, shingle by shingle; a group with more visitors is opened
+  by several tasks.
   Every link between different sets is found and counted; as a group's links can be as many
   as its pairs, tasks return each class's number of linked documents and a spanning set of
   links, whose components are those of all links.
@@ -42,7 +42,7 @@ from claimlens.llm import words as W
 from claimlens.llm.common import bounded_batches, components, cut_lineage
 
 GROUP_SHINGLES = 1_000_000      # shingles in a group, the unit of memory in a task
-VISITORS = 2_500                # classes that one task compares with the members of a group
+VISITORS = 20_000               # classes that one task compares with a group from outside
 BROADCAST_ROWS = 2_000_000      # ids; at 16 bytes each, more are joined by shuffle
 _K = [np.uint64(k) for k in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -160,8 +160,8 @@ def _open_groups(num: int, den: int):
 
         def opened():
             got = Group(np.array([h[0] for h in held]), np.array([h[1] for h in held]), [h[2] for h in held], num, den)
-            for i, (cls, docs, shingles, own) in enumerate(held):
-                if own:                             # this task's share of the members
+            if held and held[0][3]:                 # the first task of a group compares its members
+                for i, (cls, docs, shingles, _) in enumerate(held):
                     got.links[i] += got.meet(cls, docs, shingles, i)
             return got
 
@@ -181,7 +181,7 @@ def _open_groups(num: int, den: int):
                     key, held, group = (r.grp, r.block), [], None
                 shingles = np.frombuffer(r.shingles, "<u8")
                 if not r.visitor:
-                    held.append((r.cls, r.docs, shingles, r.own))
+                    held.append((r.cls, r.docs, shingles, r.block == 0))
                     continue
                 group = group or opened()
                 n = group.meet(r.cls, r.docs, shingles) if group.reached(shingles) else 0
@@ -259,25 +259,20 @@ def links(docs: DataFrame, rows: DataFrame, key: str, text: str, n: int, num: in
     wanted = _few(members.select("cls", "docs", "grp", "doc_id", "th"))
     picked = (texts.join(wanted, (F.col("h") == F.col("th")) & F.col("d").eqNullSafe(F.col("doc_id")))
               .select("cls", "docs", "grp", "t").mapInPandas(sets, "cls long, docs long, grp long, shingles binary"))
-    sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
+    stream = picked.select("cls", "docs", "shingles", "grp", F.lit(0).alias("block"), F.lit(False).alias("visitor"))
     split = members.filter("parts > 1").select("cls", "grp", "need")
-    visits = None
     if not split.isEmpty():
         picked = cut_lineage(picked)               # read by its own group and by those it visits
         visits = cut_lineage(visits_of(split, classes))
-        outer = visits.join(sizes, "grp").groupBy(F.col("other").alias("grp")).agg(F.sum("size").alias("visitors"))
-        sizes = sizes.join(outer, "grp", "left").withColumn("size", F.greatest("size", F.coalesce("visitors", F.lit(0))))
-    tasks = cut_lineage(sizes.select("grp", F.ceil(F.col("size") / F.lit(VISITORS)).cast("int").alias("blocks")).filter("blocks > 1"))
-    blocks = F.coalesce("blocks", F.lit(1))
-    share = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    stream = (picked.join(tasks, "grp", "left").select("cls", "docs", "shingles", "grp", blocks.alias("blocks"))
-              .select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("visitor"))
-              .select("cls", "docs", "shingles", "grp", "block", "visitor", (share == F.col("block")).alias("own")))
-    if visits is not None:
-        stream = stream.unionByName(
-            picked.join(visits.join(tasks.withColumnRenamed("grp", "other"), "other", "left"), "grp")
-            .select("cls", "docs", "shingles", F.col("other").alias("grp"), blocks.alias("blocks"))
-            .select("cls", "docs", "shingles", "grp", share.alias("block"), F.lit(True).alias("visitor"), F.lit(True).alias("own")))
+        sizes = split.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
+        tasks = visits.join(sizes, "grp").groupBy("other").agg(F.ceil(F.sum("size") / F.lit(VISITORS)).cast("int").alias("blocks"))
+        blocks = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("block")
+        inside = picked.join(tasks.withColumnRenamed("other", "grp"), "grp", "left").select(
+            "cls", "docs", "shingles", "grp", blocks, F.lit(False).alias("visitor"))
+        outside = (picked.join(visits.join(tasks, "other"), "grp")
+                   .select("cls", "docs", "shingles", F.col("other").alias("grp"),
+                           F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block"), F.lit(True).alias("visitor")))
+        stream = inside.unionByName(outside)
     return cut_lineage(stream.repartition("grp", "block").sortWithinPartitions("grp", "block", "visitor", "cls")
                        .mapInPandas(_open_groups(num, den), "a long, b long, n long"))
 
