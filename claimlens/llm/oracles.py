@@ -116,3 +116,21 @@ n AS (
     AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
 SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
 """
+
+ORACLES["op7_jaccard_join"] = """
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(translate(
+    coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (
+  SELECT n, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS g FROM d),
+e AS (SELECT n, unnest(g) AS x FROM s),
+p AS (SELECT a.n AS a, b.n AS b, count(*) AS k FROM e a JOIN e b ON a.x = b.x AND a.n < b.n GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN s x ON x.n = a JOIN s y ON y.n = b WHERE 100 * k >= 90 * (len(x.g) + len(y.g) - k)),
+m AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a, b FROM m UNION SELECT r.a, m.b FROM r JOIN m ON r.b = m.a),
+c AS (SELECT a, min(t.doc_id) AS low FROM r JOIN s t ON t.n = r.b GROUP BY a),
+k AS (SELECT a, count(*) AS n_links FROM m GROUP BY a)
+SELECT s.doc_id, len(g)::BIGINT AS n_shingles, least(s.doc_id, low) AS component_id, coalesce(n_links, 0)::BIGINT AS n_links
+FROM s LEFT JOIN c ON c.a = s.n LEFT JOIN k ON k.a = s.n
+"""
