@@ -41,7 +41,7 @@ from pyspark.sql.window import Window
 from claimlens.llm import words as W
 from claimlens.llm.common import bounded_batches, components, cut_lineage
 
-GROUP_SHINGLES = 1_000_000      # shingles in a group, the unit of memory in a task
+GROUP_SHINGLES = 2_000_000      # shingles in a group, the unit of memory in a task
 VISITORS = 20_000               # classes that one task compares with a group from outside
 BROADCAST_ROWS = 2_000_000      # ids; at 16 bytes each, more are joined by shuffle
 _K = [np.uint64(k) for k in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
