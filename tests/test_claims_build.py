@@ -59,11 +59,12 @@ def test_claims_table_is_not_shuffled_whole_again(spark, tmp_path, monkeypatch):
 
 
 def test_shuffle_partitions_are_put_back(spark):
-    before = spark.conf.get("spark.sql.shuffle.partitions")
+    merged = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before, size = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get(merged)
     try:
         with shuffle_partitions(spark, 77) as n:
             assert n == int(spark.conf.get("spark.sql.shuffle.partitions")) == max(77, int(before))
             raise KeyError
     except KeyError:
         pass
-    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    assert (spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get(merged)) == (before, size)
