@@ -137,6 +137,72 @@ def test_mlp_learns(spark, split):
     assert table.count() == 2
 
 
+def _dense_epochs(W, X, y, act, adam, lr, batch, epochs, rng):
+    """Textbook mini-batch epochs over all columns."""
+    m, v, t = [np.zeros_like(a) for a in W], [np.zeros_like(a) for a in W], 0
+    for _ in range(epochs):
+        order = rng.permutation(len(X))
+        for s in range(0, len(X), batch):
+            x, want, t = X[order[s:s + batch]], y[order[s:s + batch]], t + 1
+            z = x @ W[0] + W[1]
+            h = np.maximum(z, 0) if act == "relu" else np.tanh(z)
+            d = ((h @ W[2] + W[3])[:, 0] - want)[:, None]
+            back = (d @ W[2].T) * ((z > 0) if act == "relu" else 1 - h ** 2)
+            for i, g in enumerate((x.T @ back, back.sum(axis=0), h.T @ d, d.sum(axis=0))):
+                g = g / len(x)
+                m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.999 * v[i] + 0.001 * g ** 2
+                W[i] = W[i] - (lr * (m[i] / (1 - 0.9 ** t)) / (np.sqrt(v[i] / (1 - 0.999 ** t)) + 1e-8) if adam else lr * g)
+    return W
+
+
+@pytest.mark.parametrize("act, solver", [("relu", "adam"), ("tanh", "adam"), ("relu", "sgd")])
+def test_mlp_epochs_without_zeros_equal_dense_ones(act, solver):
+    rng = np.random.default_rng(3)
+    n, wide = 500, 3000
+    X = np.zeros((n, 4 + wide))
+    X[:, :3] = rng.normal(size=(n, 3))
+    X[np.arange(n), 4 + rng.integers(0, wide, n)] = 1.0         # a wide category, and a column without rows
+    X[: n // 2, 4 + 7] = -2.5
+    X[5] = 0.0
+    y = X[:, 0] + X[:, 11] + rng.normal(size=n)
+    W = [rng.normal(0, 0.3, (4 + wide, 6)), np.zeros(6), rng.normal(0, 0.3, (6, 1)), np.zeros(1)]
+    row, col = np.nonzero(X)
+    rows = M._SparseRows(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]), col, X[row, col])
+    want = _dense_epochs(list(W), X, y, act, solver == "adam", 1e-2, 64, 40, np.random.default_rng(1))
+    (w0, b0), (w1, b1) = M._local_epochs([(W[0], W[1]), (W[2], W[3])], rows, y, act, solver, 1e-2, 64, 40, np.random.default_rng(1))
+    for a, b in zip(want, (w0, b0, w1, b1)):
+        np.testing.assert_allclose(a, b, rtol=1e-6, atol=1e-8)
+    assert (w0[3] == W[0][3]).all()                             # no row has this column
+    common, values, rare, where, value = rows.split()
+    assert values.shape[1] == 4 and where.shape == value.shape == (n, 1) and len(rare) < n   # not as wide as the table
+    np.testing.assert_allclose(rows.times(W[0]), X @ W[0], atol=1e-12)
+
+
+def test_mlp_scaled_moments_come_back_to_size(monkeypatch):
+    g = np.random.default_rng(0).normal(size=(300, 4, 2))
+
+    def after(limit):
+        monkeypatch.setattr(M, "SCALED", limit)
+        w = M._Weights(np.ones((4, 2)), True, 1e-2)
+        for x in g:
+            w.step(x[:2], np.array([0, 2]))
+        return w.w
+
+    np.testing.assert_allclose(after(1e100), after(1.5), rtol=1e-9)
+
+
+def test_mlp_takes_dense_and_sparse_vectors(spark):
+    from pyspark.ml.linalg import DenseVector, SparseVector
+    rng = np.random.default_rng(5)
+    x = np.where(rng.random((60, 7)) < 0.5, rng.normal(size=(60, 7)), 0.0)
+    rows = [(i, DenseVector(v) if i % 3 == 0 else SparseVector(7, np.flatnonzero(v), v[np.flatnonzero(v)]), float(v[0])) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, ["i", "features", "label"])
+    dense = spark.createDataFrame([(i, DenseVector(x[i]), y) for i, _, y in rows], ["i", "features", "label"])
+    est = M.mlp(hidden=(5,), maxIter=20, batchSize=16)
+    a, b = (est.fit(d.coalesce(1).orderBy("i").coalesce(1)).transform(df).orderBy("i").collect() for d in (df, dense))
+    np.testing.assert_allclose([r["prediction"] for r in a], [r["prediction"] for r in b], rtol=1e-9)
+
+
 def test_mlp_averages_weight_sets_by_rows():
     import pickle
 
